@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import queries_dedup
+from lectern.llm import queries_dedup, queries_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": queries_text.op2_sentencepiece,
+        "op4_decontaminate": queries_dedup.op4_decontaminate,
         "op9_simhash": queries_dedup.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontaminate": queries_dedup.OP4_SQL,
+    }
