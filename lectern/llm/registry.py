@@ -11,7 +11,9 @@ from lectern.llm import queries_dedup, queries_text
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": queries_text.op1_quality,
         "op2_sentencepiece": queries_text.op2_sentencepiece,
+        "op3_toxicity": queries_text.op3_toxicity,
         "op4_decontaminate": queries_dedup.op4_decontaminate,
         "op9_simhash": queries_dedup.op9_simhash,
     }
