@@ -15,6 +15,7 @@ only; a literal U+2581 is written as bytes, so that decoding returns it; repeate
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ class Vocabulary:
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - _UNKNOWN_PENALTY
         self.unknown_id = sp.unk_id()
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        self.inner = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}  # pairs that some piece spans
         self.split = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.raw = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         for b, i in self.bytes.items():
@@ -113,19 +115,56 @@ def viterbi(chars: str, v: Vocabulary, stride: int = _STRIDE) -> Iterator[list[i
         yield path(n)
 
 
+def _short(chars: str, v: Vocabulary) -> list[int]:
+    """Ids of a text shorter than a stride: the same search with nothing to commit before the end."""
+    n, longest, find, unknown = len(chars), v.longest, v.table.get, v.unknown
+    score, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    score[0] = 0.0
+    for i in range(n):
+        here = score[i]
+        if not find(chars[i]) and here + unknown > score[i + 1]:
+            score[i + 1], back[i + 1], ids[i + 1] = here + unknown, i, -1
+        for end in range(i + 1, min(n, i + longest) + 1):
+            found = find(chars[i:end])
+            if found is None:
+                break
+            if found and here + found[1] > score[end]:
+                score[end], back[end], ids[end] = here + found[1], i, found[0]
+    out: list[int] = []
+    while n:
+        at = back[n]
+        if ids[n] >= 0:
+            out.append(ids[n])
+        else:
+            out.extend(reversed(v.fallback(chars[at])))
+        n = at
+    out.reverse()
+    return out
+
+
 class _Words(dict):
-    """Ids, as bytes, of the words seen; at most ``room`` short ones are kept."""
+    """Ids, as bytes, of the words seen; at most ``room`` short ones are kept.
+
+    A new word is cut where no piece spans the two characters (before a mark, say): all paths meet there.
+    """
 
     def __init__(self, v: Vocabulary, room: int) -> None:
         super().__init__()
         self.v, self.room = v, room
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("i")
-        for part in viterbi(word, self.v):
-            ids.extend(part)
-        out = ids.tobytes()
-        if len(word) <= 64:
+        inner = self.v.inner
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
+        if cuts:
+            out = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+        elif len(word) < _STRIDE:
+            out = array("i", _short(word, self.v)).tobytes()
+        else:
+            ids = array("i")
+            for part in viterbi(word, self.v):
+                ids.extend(part)
+            return ids.tobytes()
+        if len(word) < _STRIDE:
             if len(self) >= self.room:
                 self.clear()
             self[word] = out
