@@ -11,7 +11,7 @@ from lectern.llm.common import table
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3, segments=2)
-    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fp0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

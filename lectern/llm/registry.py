@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lectern.llm import queries_dedup, queries_scan, queries_text
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": queries_scan.op8_licences,
         "op9_simhash": queries_dedup.op9_simhash,
         "op10_chat": queries_scan.op10_chat,
+        "pipeline": corpus_pipeline.run,
     }
 
 

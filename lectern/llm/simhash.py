@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,13 +38,21 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 _PART = 1 << 16  # shingles whose bits are counted at once
 
 
-def fingerprint(text: str, width: int = 3) -> int:
+def _remixed(x: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles, for further fingerprints."""
+    x = (x ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: str, width: int = 3, prints: int = 1) -> list[int]:
+    """The first fingerprint is of the XXH64 values, further ones are of values mixed from them."""
     words = _WORD.findall(text.translate(_LOWER))
     if not words:
-        return 0
+        return [0] * prints
     n = max(1, len(words) - width + 1)
     digest, seed = xxhash.xxh64_intdigest, 42
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros((prints, BITS), dtype=np.int64)
     for start in range(0, n, _PART):
         stop = min(n, start + _PART)
         if n == 1:
@@ -51,19 +60,21 @@ def fingerprint(text: str, width: int = 3) -> int:
         else:
             shingles = map(" ".join, zip(*(words[start + k : stop + k] for k in range(width)), strict=True))
         values = np.array([digest(s, seed) for s in shingles], dtype="<u8")
-        counts += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        for k in range(prints):
+            own = _remixed(values, k) if k else values
+            counts[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): the 64 bits as a signed long."""
-    src = texts(docs, id_col, text_col)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, prints: int = 1) -> DataFrame:
+    """(id, fp0, fp1, ...): 64 bits each, as signed longs."""
+    src, names = texts(docs, id_col, text_col), [f"fp{k}" for k in range(prints)]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+        found = np.array([fingerprint(c.as_py(), width, prints) for c in batch.column(1)], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(prints))], names=["id", *names])
 
-    return map_batches(src, work, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return map_batches(src, work, ", ".join([f"id {src.schema['id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
 
 
 def segment_spans(segments: int) -> list[tuple[int, int]]:
@@ -180,17 +191,26 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     return keys.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
-    """(id, fp, component): component is the smallest id reachable over links of at most ``radius`` bits.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, segments: int = 2, prints: int = 1) -> DataFrame:
+    """(id, fp0, component): component is the smallest id reachable over links of at most ``radius`` bits.
 
-    Ids are longs.
+    With several ``prints``, documents are linked if one of their fingerprints is that near: each has its own errors,
+    so more near copies are found at the same radius. Ids are longs.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
+    names = [f"fp{k}" for k in range(prints)]
+    found = materialize(fingerprints(docs, id_col, text_col, width, prints), "simhash")
+    nodes = materialize(found.groupBy(*names).agg(F.min("id").alias("node")), "simhash-nodes")
     known = nodes.where("node is not null")
-    components = connected_components(links(known, radius, segments))
-    classes = nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    edges = reduce(DataFrame.unionByName, (links(known.select(F.col(n).alias("fp"), "node"), radius, segments) for n in names))
+    components = connected_components(edges)
+    classes = nodes.join(components, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
+    return found.join(classes, names).select("id", "fp0", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 5, segments: int = 3, prints: int = 3) -> DataFrame:
+    """The documents, all columns, without those that a smaller id stands for; rows that share an id stay or go together."""
+    gone = near_duplicates(docs, id_col, text_col, width, radius, segments, prints).where("id <> component").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti")
 
 
 def hex_digits(fp: str) -> Column:
