@@ -57,7 +57,7 @@ def surname(name: Column) -> Column:
 def abstract_preview(text: Column, most: int = 320) -> Column:
     """At most so many characters, cut at the last blank, with an ellipsis."""
     cut = F.substring(text, 1, most)
-    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"\s+\S*\z", ""), F.lit("…")))
 
 
 def formula_guard(cell: Column) -> Column:

@@ -54,6 +54,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order cites the one and the one before that of its customer: src is the older."""
     seq = Window.partitionBy("graph_id").orderBy("at", "id")
     later = F.array(*(F.struct(F.lead("id", k).over(seq).alias("dst"), F.lead("yr", k).over(seq).alias("dst_year"), F.lead("priority", k).over(seq).alias("p"), F.lit(k).cast("long").alias("gap")) for k in (1, 2)))
-    return nodes(spark, sf_dir).select("graph_id", F.col("id").alias("src"), F.col("yr").alias("src_year"), F.explode(later).alias("x")).where("x.dst is not null").select(
+    return nodes(spark, sf_dir).select("graph_id", F.col("id").alias("src"), F.col("yr").alias("src_year"), later.alias("later")).withColumn("x", F.explode("later")).where("x.dst is not null").select(
         "graph_id", "src", "x.dst", "src_year", "x.dst_year", "x.gap", relation_of(F.col("x.p")).alias("relation")
     )
