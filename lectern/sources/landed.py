@@ -17,7 +17,8 @@ ATOM = "id string, title string, summary string, published string, author array<
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted newlines and doubled quotes are text; short rows are filled with nulls, further cells dropped."""
+    """Quoted newlines and doubled quotes are text; short rows are filled with nulls, further cells dropped,
+    blank rows skipped. A file keeps to one kind of line end."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
 
 
