@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +32,38 @@ def one_direction(edges: DataFrame, order: list[Column]) -> DataFrame:
     pair = [F.least("src", "dst"), F.greatest("src", "dst")]
     ranked = edges.withColumn("_r", F.row_number().over(Window.partitionBy(*pair).orderBy(*order)))
     return ranked.where("_r = 1").drop("_r")
+
+
+def merge_title_years(rows: DataFrame, gap: int = 2) -> DataFrame:
+    """(id, survivor) of rows(id, title_key, year, doi, cites): rows in order of id meet the records so far of the same
+    title within ``gap`` years, or of the same DOI; the one with more citations survives and stands for both.
+
+    Order matters, so rows run in sequence, but only inside one component of shared titles and DOIs.
+    """
+    keys = rows.select("id", F.explode(F.array_compact(F.array(F.concat(F.lit("t:"), "title_key"), F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("d:"), "doi"))))).alias("key"))
+    parts = rows.join(components_by_key(keys, "id", "key").withColumnRenamed("node", "id"), "id")
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        alive: list[dict] = []
+        into: dict = {}
+        for row in group.sort_values("id").to_dict("records"):
+            def same(x: dict, row=row) -> bool:
+                dated = row["year"] == row["year"] and x["year"] == x["year"] and row["year"] is not None and x["year"] is not None
+                return bool(row["doi"] and row["doi"] == x["doi"]) or (row["title_key"] == x["title_key"] and (not dated or abs(row["year"] - x["year"]) <= gap))
+
+            match = next((x for x in alive if same(x)), None)
+            if match is None:
+                alive.append(row)
+                continue
+            kept, gone = (row, match) if row["cites"] > match["cites"] else (match, row)
+            alive[next(k for k, x in enumerate(alive) if x is match)] = kept
+            into[gone["id"]] = kept["id"]
+
+        def final(i):
+            while i in into:
+                i = into[i]
+            return i
+
+        return pd.DataFrame({"id": group["id"], "survivor": [final(i) for i in group["id"]]})
+
+    return parts.groupBy("component").applyInPandas(work, "id long, survivor long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+from lectern.functions.highlight import client_key
 from lectern.operators import dedup, gates, windows
 
 from lectern.plans.registry import query
@@ -27,11 +28,36 @@ def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.components_by_key(rows, "l_orderkey", "l_partkey")
 
 
-@query("D04 D19", """WITH x AS (SELECT p_partkey, p_name || '/' || p_type AS k, 1990 + p_size % 12 AS yr, p_retailprice AS cites FROM part)
-SELECT p_partkey, first_value(p_partkey) OVER (PARTITION BY k, yr // 3 ORDER BY cites DESC, p_partkey) AS survivor FROM x""")
+@query("D04")
 def title_year_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_type").alias("k"), F.floor((1990 + F.col("p_size") % 12) / 3).alias("w"), F.col("p_retailprice").alias("cites"))
-    return dedup.survivors(rows, ["k", "w"], [F.desc("cites"), F.asc("p_partkey")], "p_partkey")
+    doi = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("10.1/"), F.col("p_brand"), F.lit("-"), F.col("p_size")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_name", "p_type", "p_brand").alias("title_key"), (1990 + F.col("p_size")).alias("year"), doi.alias("doi"), F.col("p_retailprice").alias("cites"))
+    return dedup.merge_title_years(rows)
+
+
+@query("D19", """SELECT p_partkey, coalesce(NULLIF(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END, ''), p_brand) AS title, greatest(p_retailprice, CAST(coalesce(n, 0) AS DOUBLE)) AS cites, CASE WHEN coalesce(n, 0) > p_retailprice THEN 'lines' ELSE 'part' END AS cites_from FROM part LEFT JOIN (SELECT l_partkey, count(*) * 40 AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
+def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field by field: the first source's value, blanks filled from the second, the larger count with its source."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg((F.count("*") * 40).alias("n"))
+    both = table(spark, sf_dir, "part").join(counts, "p_partkey", "left")
+    other, own = F.coalesce("n", F.lit(0)).cast("double"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name"))
+    return both.select("p_partkey", F.coalesce(F.nullif(own, F.lit("")), "p_brand").alias("title"), F.greatest("p_retailprice", other).alias("cites"), F.when(other > F.col("p_retailprice"), "lines").otherwise("part").alias("cites_from"))
+
+
+@query("J08 J09 J10")
+def linked_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' and suppliers' invented papers: most titles agree, some have a mistyped word, some authors only."""
+    from lectern.operators.linking import link
+
+    def papers_of(df: DataFrame, key: str, typo: bool) -> DataFrame:
+        k = F.col(key)
+        word = F.when(k % 5 == 0, "standart" if typo else "standard").otherwise("measured")
+        title = F.concat(F.lit("on "), word, F.lit(" nation "), (k % 977).cast("string"), F.lit(" of part "), (k % 31).cast("string"))
+        return df.select(k.alias("id"), title.alias("title"), F.array(F.concat(F.lit("Ann Lee"), (k % 400).cast("string")), F.concat(F.lit("Bo Yu"), (k % 7).cast("string"))).alias("authors"))
+
+    rows = papers_of(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", True)
+    records = papers_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", False)
+    return link(rows, records.withColumnRenamed("id", "record"))
 
 
 @query("D06 D10 D11 P21", f"""WITH {EDGES_SQL}, s AS (SELECT id, min(id) OVER (PARTITION BY graph_id, yr) AS kept FROM o),
@@ -104,7 +130,7 @@ def reconcile_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.reconcile(part.where("p_size < 25").select("p_name"), part.where("p_size > 20 and p_partkey % 3 = 0").select("p_name"), "p_name")
 
 
-@query("J10 J22", """SELECT o_orderkey, l_partkey AS best FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 365 DAY AND o_orderdate + INTERVAL 1095 DAY
+@query("J22", """SELECT o_orderkey, l_partkey AS best FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 365 DAY AND o_orderdate + INTERVAL 1095 DAY
 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_quantity DESC, l_discount DESC, l_partkey, l_linenumber) = 1""")
 def best_match_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity", "l_discount", "l_shipdate", "l_linenumber")
@@ -205,9 +231,8 @@ def offtopic_reference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("l_extendedprice <= 2 * o_totalprice or l_linestatus = 'O'").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("F57 D13", """SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'v6:' || lpad(to_hex(user_id), 4, '0') ELSE 'v4:' || user_id END AS client, count(*) AS n FROM events GROUP BY user_id""")
+@query("F57", """SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '2001:0db8:' || lpad(lower(to_hex(user_id)), 4, '0') || ':0000::/64' ELSE '10.0.0.' || user_id END AS client, count(*) AS n FROM events GROUP BY user_id""")
 def client_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses are reduced to the part that names a client."""
-    address = F.when(F.col("user_id") % 2 == 0, F.concat(F.lower(F.lpad(F.hex("user_id"), 4, "0")), F.lit(":1:2:3:a:b:c:d"))).otherwise(F.col("user_id").cast("string"))
-    client = F.when(F.contains(address, F.lit(":")), F.concat(F.lit("v6:"), F.upper(F.substring_index(address, ":", 1)))).otherwise(F.concat(F.lit("v4:"), address))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", client.alias("client"), "n")
+    address = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("2001:db8:"), F.lower(F.hex("user_id")), F.lit("::A"))).otherwise(F.concat(F.lit("10.0.0."), F.col("user_id")))
+    return table(spark, sf_dir, "events").select("user_id", client_key(address).alias("client")).groupBy("user_id", "client").agg(F.count("*").alias("n"))

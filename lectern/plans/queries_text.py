@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import highlight, text
 from lectern.plans.registry import query
 from lectern.plans.views import PAPERS_SQL, TITLE_SQL, papers, table, title_of
 
 _TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
-@query("F25 F44", """SELECT doc_id, CASE WHEN length(text) <= 320 THEN text ELSE regexp_replace(substring(text, 1, 320), '\\s+\\S*$', '') || '…' END AS preview FROM documents""")
+@query("F25", """SELECT doc_id, CASE WHEN length(text) <= 320 THEN text ELSE regexp_replace(substring(text, 1, 320), '\\s+\\S*$', '') || '…' END AS preview FROM documents""")
 def preview_320(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.abstract_preview(F.col("text")).alias("preview"))
 
@@ -25,7 +25,7 @@ def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "guarded", (text.formula_unguard(F.col("guarded")) == F.col("cell")).alias("undone"))
 
 
-@query("F20 F21 F22 F23 F32 D22 J09", f"""WITH {PAPERS_SQL}, p AS (SELECT *, count(*) OVER (PARTITION BY substr(title, 1, 6)) AS g FROM papers),
+@query("F20 F21 F22 F23 F32 D22", f"""WITH {PAPERS_SQL}, p AS (SELECT *, count(*) OVER (PARTITION BY substr(title, 1, 6)) AS g FROM papers),
 a AS (SELECT a.ord AS a, b.ord AS b, a.title AS x, b.title AS y FROM p a JOIN p b ON substr(a.title, 1, 6) = substr(b.title, 1, 6) AND a.ord < b.ord WHERE a.g <= 50),
 s AS (SELECT *, len(list_intersect({_TOKENS.format('x')}, {_TOKENS.format('y')})) AS i, len(list_distinct(list_concat({_TOKENS.format('x')}, {_TOKENS.format('y')}))) AS u FROM a)
 SELECT a, b, round(CASE WHEN x = y OR (regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(y), '[^a-z0-9]+', '', 'g') AND regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') <> '') THEN 1.0 WHEN u = 0 THEN 0.0 ELSE i / u END, 6) AS score FROM s""")
@@ -105,7 +105,7 @@ def listing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("D18 J08", """WITH n AS (SELECT p_partkey, p_name || ' gadget version ' || CASE WHEN p_partkey % 3 = 0 THEN 'standart' ELSE 'standard' END AS t FROM part), s AS (SELECT * FROM n)
+@query("D18", """WITH n AS (SELECT p_partkey, p_name || ' gadget version ' || CASE WHEN p_partkey % 3 = 0 THEN 'standart' ELSE 'standard' END AS t FROM part), s AS (SELECT * FROM n)
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM n a JOIN n b ON a.p_partkey < b.p_partkey AND regexp_replace(a.t, ' [^ ]+$', '') = regexp_replace(b.t, ' [^ ]+$', '') AND a.t <> b.t WHERE a.p_partkey % 40 = 0 AND b.p_partkey % 7 = 0 AND levenshtein(list_last(string_split(a.t, ' ')), list_last(string_split(b.t, ' '))) <= 2""")
 def single_word_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("p_name"), F.lit(" gadget version "), F.when(F.col("p_partkey") % 3 == 0, "standart").otherwise("standard"))
@@ -155,13 +155,37 @@ def abstract_contradicts_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", ((F.size("w") >= 3) & ~F.exists("w", lambda x: F.contains(F.col("body"), F.substring(x, 1, 5)))).alias("contradicts"))
 
 
-@query("F41 F56 F45 F61", """SELECT conv_id, turn, len(regexp_extract_all(text, '[.!?](\\s|$)')) AS sentences, len(regexp_extract_all(text, '[À-ÿ]')) * 2 >= greatest(length(text) / 10, 1) AS accented, strpos(lower(text), 'en') AS first_hit FROM conversations WHERE text IS NOT NULL""")
-def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").where("text is not null").select(
-        "conv_id", "turn", F.regexp_count(t, F.lit(r"[.!?](\s|$)")).cast("long").alias("sentences"),
-        (F.regexp_count(t, F.lit("[À-ÿ]")) * 2 >= F.greatest(F.char_length(t) / 10, F.lit(1))).alias("accented"), F.locate("en", F.lower(t)).cast("long").alias("first_hit"),
-    )
+@query("F45", """SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)(?:tion|der|en)')) AS hits, sha256(text) AS whole FROM conversations WHERE text IS NOT NULL""")
+def highlighted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments put together again are the text."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", highlight.highlight_segments(F.col("text"), ["en", "tion", "der"]).alias("s"))
+    whole = F.array_join(F.transform("s", lambda x: x["segment"]), "")
+    return rows.select("conv_id", "turn", F.size(F.filter("s", lambda x: x["hit"])).cast("long").alias("hits"), F.sha2(whole.cast("binary"), 256).alias("whole"))
+
+
+@query("F44", r"""WITH x AS (SELECT doc_id, text, strpos(lower(text), 'license') AS p FROM documents) SELECT doc_id, p > 120 AS cut, sha256(CASE WHEN p > 120 THEN substr(text, CAST(p - length(regexp_extract(substr(text, 1, CAST(p - 1 AS BIGINT)), '(\S+\s+)$', 1)) AS BIGINT)) ELSE text END) AS view FROM x""")
+def snippet_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = highlight.abstract_view(F.col("text"), "license")
+    return table(spark, sf_dir, "documents").select("doc_id", view.alias("v")).select("doc_id", F.col("v.leading").alias("cut"), F.sha2(F.col("v.view").cast("binary"), 256).alias("view"))
+
+
+@query("F56", """SELECT l_orderkey, l_linenumber, l_partkey, 2 + greatest(l_suppkey % 5 + 1, 1) + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS targets FROM lineitem""")
+def citation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = (F.col("l_suppkey") % 5 + 3).cast("string")
+    sentence = F.concat(F.lit("As shown in [1, 2] and ["), F.lit("3-"), last, F.lit("]"), F.when(F.col("l_quantity") > 25, " by Lee et al., 2019").otherwise(""), F.lit("."))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", highlight.citation_targets(sentence).cast("long").alias("targets"))
+
+
+@query("F41 F61 F24 P11", """WITH t AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part)
+SELECT p_partkey, p_partkey % 7 = 0 AS japanese, len(list_filter(w, lambda x: CASE WHEN length(x) > 5 THEN regexp_replace(x, '(?:ization|isation|ations?|ings?|ers?|ed|es|s)$', '') ELSE x END = 'widget')) > 0 AS stem,
+CASE WHEN list_contains(w, 'red') AND list_contains(w, 'widget') THEN abs(list_position(w, 'red') - list_position(w, 'widget')) END AS apart, list_contains(w, 'red') AND list_contains(w, 'widget') AS relevant FROM t""")
+def query_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    words = F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0))
+    asked = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("拡散モデルの研究 "), F.substring(name, 1, 3))).otherwise(name)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", highlight.is_japanese(asked).alias("japanese"), highlight.stem_contains(name, "widgets").alias("stem"),
+        highlight.token_distance(words, "red", "widget").cast("long").alias("apart"), highlight.topic_relevant(F.lit(""), "red widget", title=name).alias("relevant"))
 
 
 @query("F50 C19 F54", """SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY o_orderkey)) AS fingerprint, avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END) AS template_ratio,
