@@ -97,3 +97,48 @@ def suspect_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     young, event = F.col("o_totalprice") > 450000, (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000)
     reasons = F.array_join(F.array_compact(F.array(F.when(young, "young"), F.when(event, "event"))), ",")
     return table(spark, sf_dir, "orders").where(young | event).select("o_orderkey", reasons.alias("reasons"))
+
+
+def _theme(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from lectern.operators import lineage
+
+    papers = nodes(spark, sf_dir).select("graph_id", "id", F.col("yr").alias("year"), F.col("price").alias("impact"), (F.col("rn") <= 2).alias("is_focus"))
+    links = edges(spark, sf_dir).select("graph_id", "src", "dst", "dst_year", "relation", F.concat(F.lit("cites "), F.col("src")).alias("rationale"))
+    return lineage.build(papers, links, F.col("dst") % 11 == 0)
+
+
+@query("R28 R02 R04 R05 P13 P14 W15", f"""WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT graph_id, id FROM o WHERE rn <= 2),
+l1 AS (SELECT e.graph_id, e.dst AS id FROM seeds s JOIN edges e ON e.graph_id = s.graph_id AND e.src = s.id), l2 AS (SELECT e.graph_id, e.dst AS id FROM (SELECT DISTINCT * FROM l1) s JOIN edges e ON e.graph_id = s.graph_id AND e.src = s.id),
+n AS (SELECT o.graph_id, o.id, yr, price, rn <= 2 AS focus FROM o WHERE id IN (SELECT id FROM seeds UNION SELECT id FROM l1 UNION SELECT id FROM l2)),
+g AS (SELECT graph_id, src, dst, CASE WHEN dst % 11 = 0 THEN 'baseline_only' ELSE relation END AS relation FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) AND length('cites ' || src) >= 6),
+n2 AS (SELECT * FROM n WHERE focus OR id IN (SELECT src FROM g UNION SELECT dst FROM g)),
+g2 AS (SELECT * FROM g WHERE src IN (SELECT id FROM n2) AND dst IN (SELECT id FROM n2)),
+n3 AS (SELECT n2.* FROM n2 LEFT JOIN (SELECT graph_id, min(yr) - 5 AS lim FROM n2 WHERE focus GROUP BY 1) m USING (graph_id) WHERE focus OR yr >= lim OR id IN (SELECT unnest([src, dst]) FROM g2 WHERE relation IN ('supersedes', 'successor', 'extends'))),
+g3 AS (SELECT * FROM g2 WHERE src IN (SELECT id FROM n3) AND dst IN (SELECT id FROM n3)),
+n4 AS (SELECT * FROM n3 WHERE focus OR price >= 100000 OR id IN (SELECT src FROM g3) OR id IN (SELECT dst FROM g3 WHERE relation IN ('supersedes', 'successor', 'extends'))),
+g4 AS (SELECT * FROM g3 WHERE src IN (SELECT id FROM n4) AND dst IN (SELECT id FROM n4)),
+d AS (SELECT id, count(*) AS degree FROM (SELECT unnest([src, dst]) AS id FROM g4) GROUP BY id)
+SELECT n4.graph_id, n4.id, coalesce(degree, 0) AS degree, focus AND row_number() OVER (PARTITION BY n4.graph_id ORDER BY focus DESC, coalesce(degree, 0) DESC, n4.id) = 1 AS is_root FROM n4 LEFT JOIN d ON d.id = n4.id WHERE focus OR degree > 0""")
+def theme_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _theme(spark, sf_dir)[0].select("graph_id", "id", "degree", "is_root")
+
+
+@query("V01 V06", """SELECT * FROM (VALUES ('node_ids', 0::BIGINT), ('edge_ids', 0::BIGINT), ('one_root', 0::BIGINT), ('endpoints', 0::BIGINT), ('values', 0::BIGINT)) t(kind, violations)""")
+def lineage_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.operators import lineage
+
+    return lineage.contract(*_theme(spark, sf_dir))
+
+
+@query("R27 R26 W10")
+def edition_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best papers of each edition, their best references and citers, and the edges between."""
+    ranked = Window.partitionBy("yr").orderBy(F.desc("price"), "id")
+    seeds = nodes(spark, sf_dir).withColumn("r", F.row_number().over(ranked)).where("r <= 30").select("yr", F.col("id").alias("seed"))
+    links = edges(spark, sf_dir).select("src", "dst", "relation", "src_year", "dst_year")
+    def best(end: str, other: str, year: str) -> DataFrame:
+        order = Window.partitionBy("yr", "seed").orderBy(F.desc(year), other)
+        near = seeds.join(links.withColumnRenamed(end, "seed"), "seed").withColumn("r", F.row_number().over(order)).where("r <= 2")
+        return near.select("yr", F.col("seed").alias(end), F.col(other), "relation").select("yr", "src", "dst", "relation")
+
+    return best("src", "dst", "dst_year").unionByName(best("dst", "src", "src_year")).distinct()
