@@ -143,7 +143,8 @@ def _short(chars: str, v: Vocabulary) -> list[int]:
 
 
 class _Words(dict):
-    """Ids, as bytes, of the words seen; at most ``room`` short ones are kept.
+    """Ids, as bytes, of the words seen. When ``room`` short ones are held they become the old ones, from which words
+    that come again are taken back; what does not come again goes with the next change.
 
     A new word is cut where no piece spans the two characters (before a mark, say): all paths meet there.
     """
@@ -151,28 +152,34 @@ class _Words(dict):
     def __init__(self, v: Vocabulary, room: int) -> None:
         super().__init__()
         self.v, self.room = v, room
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        inner = self.v.inner
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
-        if cuts:
-            out = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-        elif len(word) < _STRIDE:
-            out = array("i", _short(word, self.v)).tobytes()
-        else:
-            ids = array("i")
-            for part in viterbi(word, self.v):
-                ids.extend(part)
-            return ids.tobytes()
+        out = self.old.get(word)
+        if out is None:
+            out = self._searched(word)
         if len(word) < _STRIDE:
             if len(self) >= self.room:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
 
+    def _searched(self, word: str) -> bytes:
+        inner = self.v.inner
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
+        if cuts:
+            return b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+        if len(word) < _STRIDE:
+            return array("i", _short(word, self.v)).tobytes()
+        ids = array("i")
+        for part in viterbi(word, self.v):
+            ids.extend(part)
+        return ids.tobytes()
+
 
 class Codec:
-    def __init__(self, path: str, room: int = 300_000) -> None:
+    def __init__(self, path: str, room: int = 200_000) -> None:
         self.v = Vocabulary(path)
         self.words = _Words(self.v, room)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.v.split else re.compile(r"(?s).+")
