@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +22,52 @@ def seed_weight(role: Column) -> Column:
 def admits(role: Column, z: Column) -> Column:
     """Subjects need no more than the mean, components more than others."""
     return z >= F.when(role == "subject", 0.0).when(role == "component", 1.25).otherwise(1.0)
+
+
+def version_of(title: Column) -> tuple[Column, Column]:
+    """(base, version) of titles that end in a version number of up to two digits; version 1 without one."""
+    low = F.trim(F.lower(title))
+    number = F.regexp_extract(low, r"[\s-]v?([0-9]{1,2})$", 1).try_cast("int")
+    return F.when(number.isNull(), low).otherwise(F.regexp_replace(low, r"[\s-]+v?[0-9]{1,2}$", "")), F.coalesce(number, F.lit(1))
+
+
+def is_version_increment(parent: Column, child: Column, most: int = 20) -> Column:
+    """The child has the parent's base and a larger version, or says that it improves the parent by name."""
+    (pb, pv), (cb, cv) = version_of(parent), version_of(child)
+    improved = F.regexp_extract(F.trim(F.lower(child)), r"^(?:improved|enhanced|better)\s+(.*)$", 1)
+    return ((pb == cb) & (cv > pv) & (cv <= most)) | ((improved != "") & (improved == pb))
+
+
+def initialism(title: Column) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(title), F.lit("[a-z][a-z0-9]*"), F.lit(0)), lambda w: F.substring(w, 1, 1)), "")
+
+
+def is_acronym_increment(parent: Column, child: Column, shared_authors: Column, least: int = 2) -> Column:
+    """The child is the parent's initials with a version of 2 or more, and they share an author."""
+    base, version = version_of(child)
+    letters = initialism(parent)
+    return (F.char_length(letters) >= least) & (F.regexp_replace(base, "[^a-z]", "") == letters) & (version >= 2) & shared_authors
+
+
+def evaluate_batches(rows: DataFrame, provider: Callable[[list[str]], list[tuple[int, str]]], text_col: str, size: int = 64) -> DataFrame:
+    """Adds relevance and summary from a provider that takes texts in batches; it runs on the executors."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "relevance int, summary string"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [x for at in range(0, len(batch), size) for x in provider(batch[text_col].iloc[at : at + size].tolist())]
+            yield batch.assign(relevance=[x[0] for x in found], summary=[x[1] for x in found])
+
+    return rows.mapInPandas(run, schema)
+
+
+def relabel(edges: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Provisional relations replaced where a second pass has answered; its keys are unique."""
+    late = answers.select(*keys, F.col("relation").alias("_late"))
+    return edges.join(late, keys, "left").withColumn("relation", F.coalesce("_late", "relation")).drop("_late")
+
+
+def first_unfinished(jobs: DataFrame, key: str, job: str, done: Column, order: list[str]) -> DataFrame:
+    """(key, stage): the first job in a fixed order that is not done; null if all are."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(job))
+    return jobs.groupBy(key).agg(F.min_by(F.when(~done, F.col(job)), F.when(~done, place)).alias("stage"))

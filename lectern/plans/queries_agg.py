@@ -173,7 +173,7 @@ def context_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", relation.alias("relation"), confidence.alias("confidence"))
 
 
-@query("C02 C03 C04 C09 C13 C14 C15 C22", f"""WITH {EDGES_SQL} SELECT src, dst, CASE WHEN dst % 9 = 0 THEN 'version' WHEN relation = 'extends' THEN 'intent' WHEN src_year < dst_year - 1 THEN 'year_cite' ELSE 'llm' END AS method,
+@query("C02 C03 C09 C13 C14 C15", f"""WITH {EDGES_SQL} SELECT src, dst, CASE WHEN dst % 9 = 0 THEN 'version' WHEN relation = 'extends' THEN 'intent' WHEN src_year < dst_year - 1 THEN 'year_cite' ELSE 'llm' END AS method,
 CASE WHEN dst % 9 = 0 THEN 'successor' WHEN relation = 'extends' THEN 'extends' WHEN src_year < dst_year - 1 THEN 'baseline_only' ELSE relation END AS relation, CASE WHEN dst % 9 = 0 THEN 0.9 WHEN relation = 'extends' THEN 0.8 WHEN src_year < dst_year - 1 THEN 0.4 ELSE 0.5 END::DOUBLE AS confidence FROM edges WHERE src % 13 <> 0""")
 def relation_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first producer that answers wins; answers are structs joined by coalesce."""
@@ -188,7 +188,7 @@ def relation_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).where("src % 13 <> 0").select("src", "dst", chosen.alias("c")).select("src", "dst", "c.method", "c.relation", "c.confidence")
 
 
-@query("C07 C12 C24 C05 C10 C16", f"""WITH {EDGES_SQL} SELECT src, dst, CASE WHEN dst % 5 = 0 OR relation = 'contrasts' AND src % 2 = 0 THEN 'baseline_only' ELSE relation END AS relation, CASE WHEN dst % 5 = 0 OR relation = 'contrasts' AND src % 2 = 0 THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence FROM edges""")
+@query("C07 C12 C24", f"""WITH {EDGES_SQL} SELECT src, dst, CASE WHEN dst % 5 = 0 OR relation = 'contrasts' AND src % 2 = 0 THEN 'baseline_only' ELSE relation END AS relation, CASE WHEN dst % 5 = 0 OR relation = 'contrasts' AND src % 2 = 0 THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence FROM edges""")
 def relation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.operators.classify import guard
 
@@ -196,7 +196,7 @@ def relation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard(judged, F.col("survey"), (F.col("relation") == "contrasts") & ~F.col("context")).select("src", "dst", "relation", "confidence")
 
 
-@query("C17 C20 C23 P09 P15 P16 P17", """SELECT p_partkey, regexp_matches(lower(p_name), 'widget|gadget') AS foundational, p_type = 'PROMO' OR regexp_matches(lower(p_name), '\\b(?:red|blue)\\b') AS survey, len(string_split(p_name, ' ')) <= 2 AND p_size < 10 AS bogus FROM part""")
+@query("C17 P09 P15 P16 P17", """SELECT p_partkey, regexp_matches(lower(p_name), 'widget|gadget') AS foundational, p_type = 'PROMO' OR regexp_matches(lower(p_name), '\\b(?:red|blue)\\b') AS survey, len(string_split(p_name, ' ')) <= 2 AND p_size < 10 AS bogus FROM part""")
 def record_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.functions.rules import any_of
 
@@ -206,7 +206,7 @@ def record_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.size(F.split("p_name", " ")) <= 2) & (F.col("p_size") < 10)).alias("bogus"))
 
 
-@query("P10 P11 F24 P19", """WITH k AS (SELECT DISTINCT p_type AS slug, string_split(p_name, ' ')[1] AS word FROM part WHERE p_size < 3) SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.slug = p.p_type AND contains(p.p_name, k.word))""")
+@query("P10 P19", """WITH k AS (SELECT DISTINCT p_type AS slug, string_split(p_name, ' ')[1] AS word FROM part WHERE p_size < 3) SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.slug = p.p_type AND contains(p.p_name, k.word))""")
 def theme_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a theme forbids: equal theme first, then containment."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_size")

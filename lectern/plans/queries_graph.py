@@ -17,7 +17,7 @@ def strong_hop_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(strong, 3)
 
 
-@query("R01 R27 R28", f"""WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT graph_id, min(id) AS node FROM o WHERE graph_id < 300 GROUP BY graph_id),
+@query("R01", f"""WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT graph_id, min(id) AS node FROM o WHERE graph_id < 300 GROUP BY graph_id),
 l1 AS (SELECT s.graph_id, e.dst AS node FROM seeds s JOIN edges e ON e.graph_id = s.graph_id AND e.src = s.node QUALIFY row_number() OVER (PARTITION BY s.graph_id, e.src ORDER BY e.dst_year DESC, e.dst) <= 1),
 l2 AS (SELECT s.graph_id, e.dst AS node FROM l1 s JOIN edges e ON e.graph_id = s.graph_id AND e.src = s.node QUALIFY row_number() OVER (PARTITION BY s.graph_id, e.src ORDER BY e.dst_year DESC, e.dst) <= 1)
 SELECT graph_id, node, CAST(min(d) AS BIGINT) AS depth FROM (SELECT *, 0 AS d FROM seeds UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY graph_id, node""")
