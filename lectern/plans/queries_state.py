@@ -33,7 +33,7 @@ def seen_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.sum("hits").alias("hits"))
 
 
-@query("T07 T08 T09", """WITH p AS (SELECT c_nationkey AS venue, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY venue ORDER BY y) AS before FROM p)
+@query("T09", """WITH p AS (SELECT c_nationkey AS venue, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY venue ORDER BY y) AS before FROM p)
 SELECT venue, y, n, CASE WHEN before IS NULL THEN 'first' WHEN n < 0.8 * before THEN 'partial' WHEN n > 1.25 * before THEN 'anomaly' ELSE 'ready' END AS state FROM l""")
 def previous_edition_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").cast("long").alias("y"))
@@ -87,3 +87,22 @@ def streamed_hour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T01", """SELECT DISTINCT user_id FROM events""")
 def streamed_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.first_seen(spark, f"{sf_dir}/events.parquet")
+
+
+def _probes(events: DataFrame) -> DataFrame:
+    hours = F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600
+    return events.select(F.col("user_id").alias("edition"), "event_id", hours.alias("hours"), (F.col("event_type") != "error").alias("ok"), F.floor("value").cast("long").alias("count_"), F.floor(F.col("value") / 40).cast("string").alias("fingerprint"))
+
+
+@query("T07 T08")
+def readiness_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.streaming import readiness
+
+    return readiness.verdicts(_probes(table(spark, sf_dir, "events")))
+
+
+@query("T07 T08")
+def streamed_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.streaming import readiness
+
+    return jobs.drained(readiness.streamed(_probes(jobs.landed(spark, f"{sf_dir}/events.parquet"))), "readiness", "append")

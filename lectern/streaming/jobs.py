@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from lectern.plans.storage import shared_dir
 
 
-def _landed(spark: SparkSession, path: str) -> DataFrame:
+def landed(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the files of a landed table: a folder of files, or one file of a folder."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}" + "*")
 
 
-def _drained(stream: DataFrame, label: str, mode: str) -> DataFrame:
+def drained(stream: DataFrame, label: str, mode: str) -> DataFrame:
     spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
     out = f"{base}/table"
 
@@ -36,15 +36,15 @@ def _drained(stream: DataFrame, label: str, mode: str) -> DataFrame:
 
 def hour_counts(spark: SparkSession, path: str) -> DataFrame:
     """Tumbling hours per event type."""
-    hours = _landed(spark, path).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    found = _drained(hours.select(F.col("window.start").alias("hour"), "event_type", "n"), "hours", "update")
+    hours = landed(spark, path).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    found = drained(hours.select(F.col("window.start").alias("hour"), "event_type", "n"), "hours", "update")
     return found.groupBy("hour", "event_type").agg(F.max("n").alias("n"))
 
 
 def first_seen(spark: SparkSession, path: str) -> DataFrame:
     """Each key once, whatever arrives again while the watermark holds it."""
-    keys = _landed(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
-    return _drained(keys, "seen", "append").distinct()
+    keys = landed(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
+    return drained(keys, "seen", "append").distinct()
 
 
 def leases(events: DataFrame, hours: int) -> DataFrame:

@@ -165,3 +165,34 @@ def test_leases(spark):
     rows = [("u", k, f"2024-01-01 0{k}:00:00") for k in range(8)]
     df = spark.createDataFrame(rows, "user_id string, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r["event_id"] for r in jobs.leases(df, 3).collect() if r["granted"]) == [0, 3, 6]
+
+
+def test_streamed_readiness_equals_the_fold(spark):
+    from lectern.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    a, b = (sorted(map(tuple, QUERIES[n].plan(spark, sf).collect())) for n in ("readiness_states", "streamed_readiness"))
+    assert a == b and {r[2] for r in a} >= {"unavailable", "stabilizing", "ready"}
+
+
+def test_readiness_reducer():
+    from lectern.streaming.readiness import EMPTY, Limits, reduce
+
+    state, seen = EMPTY, []
+    for probe in [(0, 1, True, 20, "a"), (1, 2, True, 20, "a"), (8, 3, True, 20, "a"), (9, 4, True, 21, "b"), (9, 4, True, 21, "b"), (5, 5, True, 21, "b"), (20, 6, True, 9, "c"), (21, 7, False, 0, ""), (22, 8, True, 30, "d")]:
+        state, verdict = reduce(state, probe, Limits())
+        seen.append(verdict)
+    assert seen == ["stabilizing", "stabilizing", "ready", "stabilizing", "repeat", "late", "anomaly", "unavailable", "stabilizing"]
+
+
+def test_link_passes(spark):
+    from lectern.operators.linking import link
+
+    rows = spark.createDataFrame([(1, "On big standard nets", ["Ann Lee"]), (2, "On big standart things", ["Bo Yu"]), (3, "A title about the same nets", ["C D", "E F"]), (4, "Only here", ["X Y"])], "id long, title string, authors array<string>")
+    records = spark.createDataFrame([(10, "On Big Standard Nets!", ["A. Lee"]), (20, "On big standard things", ["B. Yu"]), (30, "Other title about nets", ["E F", "C D"]), (40, "only here", ["Q Z"])], "record long, title string, authors array<string>")
+    assert sorted(map(tuple, link(rows, records).collect())) == [(1, 10, 1), (2, 20, 1), (3, 30, 2), (4, 40, 3)]
+
+
+def test_merge_title_years(spark):
+    rows = spark.createDataFrame([(1, "t", 2000, None, 5.0), (2, "t", 2002, None, 9.0), (3, "t", 2004, None, 1.0), (4, "t", 2010, None, 1.0), (5, "u", 1990, "d", 1.0), (6, "v", 1999, "d", 0.0)], "id long, title_key string, year long, doi string, cites double")
+    assert dict(dedup.merge_title_years(rows).collect()) == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5}
