@@ -8,8 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Word boundaries between ASCII words: the JVM's own take accented letters as word characters.
+BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.regexp(text, F.lit(p)) for p in patterns))
+    return reduce(lambda a, b: a | b, (F.regexp(text, F.lit(p.replace(r"\b", BOUNDARY))) for p in patterns))
 
 
 def tags(text: Column, rules: list[tuple[str, list[str]]], default: str = "Other") -> Column:
