@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.rules import first_rule, quality_tier
+from lectern.functions.rules import any_of, first_rule
 from lectern.operators import quality, windows
 from lectern.plans.registry import query
 from lectern.plans.views import EDGES_SQL, edges, nodes, table
@@ -167,7 +167,7 @@ _EVIDENCE = [("extends", "(?:ing|tion) (?:the|of)"), ("contrasts", "unter|contre
 @query("C01 C06 C08 C11", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{r}'" for r, p in _EVIDENCE) + " END AS relation, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {0.88 - 0.04 * k:.2f}" for k, (_, p) in enumerate(_EVIDENCE)) + " END::DOUBLE AS confidence FROM conversations WHERE text IS NOT NULL")
 def context_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
-    hit = [F.regexp(low, F.lit(p)) for _, p in _EVIDENCE]
+    hit = [any_of(low, [p]) for _, p in _EVIDENCE]
     relation = first_rule([(h, r) for h, (r, _) in zip(hit, _EVIDENCE, strict=True)])
     confidence = F.coalesce(*(F.when(h, round(0.88 - 0.04 * k, 2)) for k, h in enumerate(hit)))
     return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", relation.alias("relation"), confidence.alias("confidence"))
@@ -198,8 +198,6 @@ def relation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("C17 P09 P15 P16 P17", """SELECT p_partkey, regexp_matches(lower(p_name), 'widget|gadget') AS foundational, p_type = 'PROMO' OR regexp_matches(lower(p_name), '\\b(?:red|blue)\\b') AS survey, len(string_split(p_name, ' ')) <= 2 AND p_size < 10 AS bogus FROM part""")
 def record_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.functions.rules import any_of
-
     low = F.lower("p_name")
     return table(spark, sf_dir, "part").select(
         "p_partkey", any_of(low, ["widget", "gadget"]).alias("foundational"), ((F.col("p_type") == "PROMO") | any_of(low, [r"\b(?:red|blue)\b"])).alias("survey"),
