@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.storage import shared_dir
+from lectern.streaming.folds import ordered_fold
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
@@ -51,13 +52,8 @@ def leases(events: DataFrame, hours: int) -> DataFrame:
     """(event_id, granted): an arrival is granted if its key's lease has run out, and then holds it."""
     span = pd.Timedelta(hours=hours)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        held, granted = None, []
-        for at in rows["ts"]:
-            free = held is None or at >= held + span
-            held = at if free else held
-            granted.append(free)
-        return pd.DataFrame({"event_id": rows["event_id"], "granted": granted})
+    def step(state: tuple, row) -> tuple[tuple, bool]:
+        free = state[0] is None or row.ts >= state[0] + span
+        return ((row.ts,) if free else state), free
 
-    return events.groupBy("user_id").applyInPandas(fold, "event_id long, granted boolean")
+    return ordered_fold(events, "user_id", ["ts", "event_id"], (None,), step, ["event_id"], "granted", "boolean")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.streaming.folds import ordered_fold
+
 OUT = "edition long, event_id long, state string"
 STATE = "last double, event_id long, state string, fingerprint string, since double, ready_count long"
 EMPTY = (-1.0, -1, "unavailable", "", 0.0, 0)
@@ -59,10 +61,10 @@ def _fold(rows: pd.DataFrame, state: tuple, limits: Limits) -> tuple[tuple, list
 def verdicts(probes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """probes(edition, event_id, hours, ok, count_, fingerprint), each edition in order of time."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(rows, EMPTY, limits)[1], columns=["edition", "event_id", "state"])
+    def step(state: tuple, row) -> tuple[tuple, str]:
+        return reduce(state, (row.hours, row.event_id, row.ok, row.count_, row.fingerprint), limits)
 
-    return probes.groupBy("edition").applyInPandas(work, OUT)
+    return ordered_fold(probes, "edition", ["hours", "event_id"], EMPTY, step, ["edition", "event_id"], "state", "string")
 
 
 def streamed(probes: DataFrame, limits: Limits = Limits()) -> DataFrame:
