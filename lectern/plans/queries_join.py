@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 from lectern.functions.highlight import client_key
 from lectern.operators import dedup, gates, windows
-
 from lectern.plans.registry import query
 from lectern.plans.views import EDGES_SQL, PAPERS_SQL, edges, nodes, papers, table
 
