@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import texts
+from lectern.llm.common import sliced, texts
 from lectern.llm.labelled import logistic, sigmoid, training_texts
 from lectern.plans.storage import materialize
 
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     sample = materialize(training_texts(docs, labels, label, per_class), "quality-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(indicators(c.as_py())) for c in batch.column(0)], pa.list_(pa.string())), batch.column(1)], names=["found", "label"])
 
     got = sample.mapInArrow(run, "found array<string>, label int").toArrow()
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     held = src.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores([c.as_py() for c in batch.column(1)]))], names=["id", "score"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
@@ -164,7 +164,7 @@ def keep(docs: DataFrame, model: Classifier, least: float = 0.7, text_col: str =
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(held.value.scores([c.as_py() or "" for c in batch.column(at)]) >= least))
 
     return docs.mapInArrow(run, docs.schema)

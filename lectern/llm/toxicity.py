@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import texts
+from lectern.llm.common import sliced, texts
 from lectern.llm.labelled import logistic, sigmoid, training_texts
 from lectern.plans.storage import materialize
 
@@ -109,7 +109,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
     """(entry, contexts) over toxic texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = set()
             for cell in batch.column(0):
                 w = ["", *folded_words(cell.as_py()), ""]
@@ -127,7 +127,7 @@ def _frequencies(sample: DataFrame, entries: list[str]) -> DataFrame:
     held = sample.sparkSession.sparkContext.broadcast(frozenset(entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n = Counter()
             for cell in batch.column(0):
                 n.update({e for w in set(folded_words(cell.as_py())) for e in entries_of(w)} & held.value)
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([held.value.features(c.as_py()) for c in batch.column(0)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], names=["a", "b", "label"])
 
@@ -169,7 +169,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     held = src.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores([c.as_py() for c in batch.column(1)]))], names=["id", "score"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
@@ -180,7 +180,7 @@ def keep(docs: DataFrame, lexicon: Lexicon, below: float = 0.3, text_col: str =
     held, at = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(held.value.scores([c.as_py() or "" for c in batch.column(at)]) < below))
 
     return docs.mapInArrow(run, docs.schema)
