@@ -11,8 +11,10 @@ under all values in the small Hamming ball around it. Rows that share a key are
 key with many rows only a spanning forest of its links is kept, which joins the same fingerprints in linear space.
 Components are found by star rounds on the links.
 
-Defined cases: null text is empty; a null id is dropped from nothing but takes part as its own smallest id
-(nulls sort last); repeated ids give one row each; other columns are ignored; an empty table gives no rows.
+Defined cases: null text is empty; a row without an id takes the component of its fingerprint, which is null, without
+links, if no row of that fingerprint has an id; repeated ids give one row each; other columns are ignored; an empty
+table gives no rows. A task holds the distinct fingerprints of one key at a time, and compares those of a key with many
+in time that grows with their square; copies do not add to them.
 """
 
 from __future__ import annotations
