@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lectern.llm.common import sliced, texts
 from lectern.llm.labelled import logistic, sigmoid, training_texts
@@ -64,7 +64,7 @@ def indicators(text: str) -> set[str]:
     return out
 
 
-def log_count_ratios(rows: list[list[int]], y: np.ndarray, n: int, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, n: int, alpha: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of smoothed indicator counts of the classes 1 and 0."""
     p, q = np.full(n, alpha), np.full(n, alpha)
     for own, label in zip(rows, y, strict=True):
@@ -122,15 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(indicators(c.as_py())) for c in batch.column(0)], pa.list_(pa.string())), batch.column(1)], names=["found", "label"])
 
-    got = sample.mapInArrow(run, "found array<string>, label int").toArrow()
+    found = materialize(sample.mapInArrow(run, "found array<string>, label int"), "quality-indicators")
+    counts = found.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    names = [r["f"] for r in counts.orderBy(F.desc("n"), "f").limit(max_indicators).collect()]
+    number = {f: k for k, f in enumerate(names)}
+    held = sample.sparkSession.sparkContext.broadcast(number)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            own = [sorted(held.value[f] for f in c.as_py() if f in held.value) for c in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], names=["found", "label"])
+
+    got = found.mapInArrow(numbered, "found array<int>, label int").toArrow()
     y = got.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return Classifier({}, 0.0, 0.0, 0.0)
-    counts = Counter(f for cell in got.column("found") for f in cell.as_py())
-    names = [f for f, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_indicators] if n >= least]
-    number = {f: k for k, f in enumerate(names)}
-    rows = [sorted(number[f] for f in cell.as_py() if f in number) for cell in got.column("found")]
-    del got, counts
+    rows = [np.array(c.as_py(), dtype=np.int64) for c in got.column("found")]
     order = np.random.default_rng(0).permutation(len(y))
     y, rows = y[order], [rows[i] for i in order]
     seen = np.arange(len(y)) % 5 > 0
@@ -138,11 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         seen[:] = True
     at = np.flatnonzero(seen)
     ratio = log_count_ratios([rows[i] for i in at], y[at], len(names))
-    index = [np.array(r, dtype=np.int64) for r in rows]
-    values = [v / (np.linalg.norm(v) or 1.0) for v in (ratio[i] for i in index)]
-    w = dual_coordinate_descent([index[i] for i in at], [values[i] for i in at], y[at], len(names))
+    values = [v / (np.linalg.norm(v) or 1.0) for v in (ratio[i] for i in rows)]
+    w = dual_coordinate_descent([rows[i] for i in at], [values[i] for i in at], y[at], len(names))
     rest = np.flatnonzero(~seen) if not seen.all() else at
-    margins = np.array([w[index[i]] @ values[i] + w[-1] for i in rest])
+    margins = np.array([w[rows[i]] @ values[i] + w[-1] for i in rest])
     a, b = logistic(margins[:, None], y[rest], ridge=1.0)
     return Classifier({f: (float(w[k] * ratio[k]), float(ratio[k] ** 2)) for f, k in number.items()}, float(w[-1]), float(a), float(b))
 
