@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if len(set(y.tolist())) < 2:
         return Classifier({}, 0.0, 0.0, 0.0)
     rows = [np.array(c.as_py(), dtype=np.int64) for c in got.column("found")]
-    order = np.random.default_rng(0).permutation(len(y))
+    order = sorted(range(len(y)), key=lambda i: (y[i], rows[i].tobytes()))  # rows come in any order
+    order = np.array(order)[np.random.default_rng(0).permutation(len(y))]
     y, rows = y[order], [rows[i] for i in order]
     seen = np.arange(len(y)) % 5 > 0
     if len(set(y[seen].tolist())) < 2 or len(set(y[~seen].tolist())) < 2:
