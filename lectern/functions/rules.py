@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: Word boundaries between ASCII words: the JVM's own take accented letters as word characters.
-BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+def ascii_boundaries(pattern: str) -> str:
+    r"""A pattern whose \b, at the start or end of an ASCII word, minds ASCII words only: the JVM's own takes accented
+    letters as word characters."""
+    pattern = re.sub(r"\\b(?=$|[)|])", "(?![0-9A-Za-z_])", pattern)
+    return pattern.replace(r"\b", "(?<![0-9A-Za-z_])")
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.regexp(text, F.lit(p.replace(r"\b", BOUNDARY))) for p in patterns))
+    return reduce(lambda a, b: a | b, (F.regexp(text, F.lit(ascii_boundaries(p))) for p in patterns))
 
 
-def tags(text: Column, rules: list[tuple[str, list[str]]], default: str = "Other") -> Column:
-    """Tags of all rules that match the lower-cased text, in rule order; the default if none does."""
-    low = F.lower(text)
-    found = F.array_compact(F.array(*(F.when(any_of(low, patterns), F.lit(tag)) for tag, patterns in rules)))
+def matched_tags(low: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """Tags of all rules that match a lower-cased text, in rule order. Give it a column, not an expression: it is read
+    once for each pattern."""
+    return F.array_compact(F.array(*(F.when(any_of(low, patterns), F.lit(tag)) for tag, patterns in rules)))
+
+
+def or_default(found: Column, default: str = "Other") -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
 
 

@@ -79,11 +79,13 @@ def inverted_index_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN regexp_matches(lower(abstract), '\\b(?:der|und)\\b') THEN 'German' END, CASE WHEN regexp_matches(lower(abstract), '!!|\\$\\$\\$') THEN 'Noise' END], lambda x: x IS NOT NULL) AS tags FROM papers))
 SELECT source, tag, count(*) AS n, min(ord) AS first FROM t GROUP BY source, tag QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(ord), tag) <= 6""")
 def tag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.functions.rules import tags
+    from lectern.functions.rules import matched_tags, or_default
     from lectern.operators.windows import first_by
 
     rules = [("There", [r"\bthe(?:re|m)\w*"]), ("Licence", ["licen[sc]e"]), ("German", [r"\b(?:der|und)\b"]), ("Noise", ["!!", r"\$\$\$"])]
-    exploded = papers(spark, sf_dir).select("ord", "source", F.explode(tags(text.strip_zero_width(F.col("abstract")), rules)).alias("tag"))
+    low = papers(spark, sf_dir).select("ord", "source", F.lower(text.strip_zero_width(F.col("abstract"))).alias("low"))
+    found = low.select("ord", "source", matched_tags(F.col("low"), rules).alias("found"))
+    exploded = found.select("ord", "source", F.explode(or_default(F.col("found"))).alias("tag"))
     counts = exploded.groupBy("source", "tag").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     return first_by(counts, ["source"], [F.desc("n"), F.asc("first"), F.asc("tag")], 6)
 
