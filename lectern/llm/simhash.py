@@ -40,6 +40,10 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 _PART = 1 << 16  # shingles whose bits are counted at once
 
 
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.translate(_LOWER))
+
+
 def _remixed(x: np.ndarray, k: int) -> np.ndarray:
     """Other hashes of the same shingles, for further fingerprints."""
     x = (x ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,18 +53,18 @@ def _remixed(x: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str, width: int = 3, prints: int = 1) -> list[int]:
     """The first fingerprint is of the XXH64 values, further ones are of values mixed from them."""
-    words = _WORD.findall(text.translate(_LOWER))
-    if not words:
+    found = words(text)
+    if not found:
         return [0] * prints
-    n = max(1, len(words) - width + 1)
+    n = max(1, len(found) - width + 1)
     digest, seed = xxhash.xxh64_intdigest, 42
     counts = np.zeros((prints, BITS), dtype=np.int64)
     for start in range(0, n, _PART):
         stop = min(n, start + _PART)
         if n == 1:
-            shingles = [" ".join(words[:width])]
+            shingles = [" ".join(found[:width])]
         else:
-            shingles = map(" ".join, zip(*(words[start + k : stop + k] for k in range(width)), strict=True))
+            shingles = map(" ".join, zip(*(found[start + k : stop + k] for k in range(width)), strict=True))
         values = np.array([digest(s, seed) for s in shingles], dtype="<u8")
         for k in range(prints):
             own = _remixed(values, k) if k else values
@@ -163,31 +167,31 @@ def key_links(key: np.ndarray, fps: np.ndarray, nodes: np.ndarray, probe: np.nda
     return (np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The first ``width`` columns of batches sorted by the first, cut between keys only."""
+    pending: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+        last = cols[0][-1]
+        cut = int(np.searchsorted(cols[0], last))  # the last key may go on in the next batch
+        pending.append([c[:cut] for c in cols] if cut else cols)
+        if cut:
+            whole = [np.concatenate(x) for x in zip(*pending, strict=True)]
+            pending = [[c[cut:] for c in cols]]
+            yield whole
+    if pending:
+        yield [np.concatenate(x) for x in zip(*pending, strict=True)]
+
+
 def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     """(a, b) links that join all (fp, node) rows within ``radius`` bits; fps are distinct, node is a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+        for cols in whole_keys(batches, 4):
             a, b = key_links(cols[0], cols[1].view(np.uint64), cols[2], cols[3], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        pending: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            last = cols[0][-1]
-            cut = int(np.searchsorted(cols[0], last))  # the last key may go on in the next batch
-            pending.append([c[:cut] for c in cols] if cut else cols)
-            if cut:
-                whole = [np.concatenate(x) for x in zip(*pending, strict=True)]
-                pending = [[c[cut:] for c in cols]]
-                yield out(whole)
-        if pending:
-            kept = [np.concatenate(x) for x in zip(*pending, strict=True)]
-            yield out(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     keys = table_keys(nodes, radius, segments).repartition("key").sortWithinPartitions("key")
     return keys.mapInArrow(run, "a long, b long").distinct()
@@ -210,8 +214,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 5, segments: int = 3, prints: int = 3) -> DataFrame:
-    """The documents, all columns, without those that a smaller id stands for; rows that share an id stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col, width, radius, segments, prints).where("id <> component").select(F.col("id").alias(id_col)).distinct()
+    """The documents, all columns, without those that a smaller id stands for; rows that share an id stay or go together.
+
+    One document stands for another if pairs with a 5-word Jaccard similarity of 0.8 or more lead from one to the
+    other; fingerprints within ``radius`` bits only propose pairs.
+    """
+    from lectern.llm.overlap import near_copies
+
+    gone = near_copies(docs, id_col, text_col, width, radius, segments, prints).where("id <> keeper").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")
 
 
