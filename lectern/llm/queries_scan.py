@@ -34,7 +34,7 @@ SELECT d.doc_id, d.slot, printf('shard-%02d', t.turn % {len(SHARDS)}) AS shard F
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.extract(table(spark, sf_dir, "pages"))
-    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +137,68 @@ def test_differencing_removes_what_neighbours_share(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_pages(rows):
+    """Texts over all pages in order at once: each page against the nearest one to either side with other html."""
+    parsed = []
+    for page, url, source in rows:
+        m = re.match(r"(?:(?:[a-z]+:)?//([^/?#]*))?([^?#]*)", url or "")
+        parsed.append(((m[1] or "").lower(), m[2], page is not None, page or 0, source or ""))
+    parsed.sort()
+    out = {}
+    for at, (host, _, _, page, source) in enumerate(parsed):
+        lines, shared = pages.page_lines(source), set()
+        for side in (parsed[:at][::-1], parsed[at + 1 :]):
+            other = next((x for x in side if x[0] == host and x[4] != source), None)
+            if other:
+                theirs = pages.page_lines(other[4])
+                before = [x for x in parsed if x[4] == other[4] and x[0] == host]
+                assert before
+                a, b = (lines, theirs) if side is not None and parsed.index(other) > at else (theirs, lines)
+                here, there = pages.shared_lines([t for _, t in a], [t for _, t in b])
+                if not len(here) == len(a) == len(b):
+                    shared |= here if a is lines else there
+        out.setdefault(page, []).append(pages.main_text(lines, shared))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 50])
+def test_differencing_does_not_depend_on_the_ranges(spark, ranges):
+    rng = random.Random(7)
+    menu, foot = ["<li>Home<li>News<li>About", "<li>Home<li>Shop"], ["<div>All rights reserved</div>", "<div>Contact us</div>"]
+    rows = [(k, f"http://{'hot' if k % 3 else 'h' + str(k % 7)}/{k % 50:03d}", f"<ul>{rng.choice(menu)}</ul><p>own {k % 40 if k % 4 else 1}</p>{rng.choice(foot)}") for k in range(300)]
+    rows += [(1000 + k, "http://hot/025", "<p>one page that many copies hold</p>") for k in range(120)]
+    rows += [(2000, None, None), (2001, "http://hot/025", "<article><p>kept</p></article><p>Contact us</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    got = {}
+    for r in pages.extract(frame, range_bytes=1 << 30).collect():
+        got.setdefault(r["id"], []).append((r["text"], r["n_shared"], r["n_marked"]))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == plain_pages(rows)
+    assert sum(x[1] for v in got.values() for x in v) > 200
+
+
+def test_differencing_deletes_lines_of_the_given_pages(spark):
+    given_pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    deleted = pages.extract(given_pages).agg(F.sum("n_shared"), F.count_if(F.col("n_shared") > 0)).first()
+    assert deleted[0] > 0 and deleted[1] > 0
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for source in ("<a " * 350_000, "<!--" * 250_000, '<a b="' * 170_000, "<![CDATA[" * 110_000, "<p>" + "<span>" * 80_000 + "</b>" * 80_000, "<p><body>" + "<span>" * 40_000 + "<div></div>" * 40_000, "<" * 1_000_000):
+        pages.page_lines(source)
+    assert time.time() - began < 15
+    left, right = pages.shared_lines(["x"] * 5000 + ["y"], ["y"] + ["x"] * 5000)
+    assert len(left) == len(right) == 5000
+
+
+def test_names_inside_an_article():
+    lines = pages.page_lines('<article><p class="related-work">Prior work</p><div class="share-buttons">Tweet</div><p id="header-files">C headers</p></article>')
+    assert lines == [(1, "Prior work"), (-1, "Tweet"), (1, "C headers")]
+    assert pages.main_text([(1, "teaser"), (0, "the long text of the page itself"), (-1, "menu")], set())[0] == "teaser\nthe long text of the page itself"
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
 @settings(max_examples=200, deadline=None)
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
