@@ -243,3 +243,51 @@ def test_templates_that_rewrite_history_are_found(spark):
     found = sorted((r["conv"], r["turn"]) for r in chat.spans(rows, template=forgetful).collect() if r["rewrites"])
     assert found == [(1, 2)]
     assert chat.spans(rows.limit(0)).count() == 0
+
+
+def alternating(turns):
+    """Refuses an empty list and turns out of order."""
+    if not turns or any(r != ("user", "assistant")[k % 2] for k, (r, _) in enumerate(turns)):
+        raise ValueError("roles must alternate from the user on")
+    return "".join(f"[{r}]{t}\n" for r, t in turns)
+
+
+def blanking(turns):
+    """Blanks turns more than 30 back."""
+    return "".join(f"[{r}]{t if len(turns) - k <= 30 else ''}\n" for k, (r, t) in enumerate(turns))
+
+
+def numbered(turns):
+    return "".join(f"{k}. {r}: {t}\n" for k, (r, t) in enumerate(turns))
+
+
+def shouting(turns):
+    return "".join(f"<{r}>{t.upper()}" for r, t in turns)
+
+
+def plain_spans(template, turns):
+    """(piece, whether history was rewritten) of each turn, by rendering every prefix whole."""
+    out, before = [], ""
+    for n in range(1, len(turns) + 1):
+        after = template(turns[:n])
+        kept = next((k for k, (a, b) in enumerate(zip(after, before)) if a != b), min(len(after), len(before)))
+        out.append((after[kept:], kept < len(before)))
+        before = after
+    return out
+
+
+@pytest.mark.parametrize("template", [alternating, blanking, numbered, shouting, chat.chatml])
+@pytest.mark.parametrize("window", [None, 4, 16])
+def test_long_conversations_are_rendered_as_whole_prefixes_are(spark, template, window):
+    turns = [(("user", "assistant")[k % 2], f"text {k}") for k in range(75)]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
+    got = chat.spans(rows, template, window=window).orderBy("turn").collect()
+    assert [(r["piece"], r["rewrites"]) for r in got] == plain_spans(template, turns)
+    assert all(r["altered"] == (template is shouting) for r in got)
+    assert "".join(r["piece"] for r in got)[got[40]["text_start"] : got[40]["text_stop"]] == (turns[40][1].upper() if template is shouting else turns[40][1]) or template is blanking
+
+
+def test_what_was_not_checked_is_null(spark):
+    rows = spark.createDataFrame([(1, k, "user", "x" * 50) for k in range(60)] + [(2, 0, "user", "short")], "conv_id long, turn long, role string, text string")
+    got = {r["conv"]: r["rewrites"] for r in chat.digests(rows, window=4, held_chars=500).collect()}
+    assert got == {1: None, 2: False}
