@@ -4,13 +4,17 @@ The best segmentation has the largest sum of the vocabulary's piece scores; of e
 wins. Scores are read from the file as they are, also from one whose scores are merge ranks. A character that no
 piece covers costs ten more than the worst piece and is written as its UTF-8 bytes' pieces (or the unknown id).
 
-Streaming: scores are kept for a window as long as the longest piece. The backpointers of the window's states are
-followed until they meet; the ids before the meeting boundary are final and leave the pending part. Where the
-vocabulary lets no piece continue past a word's end (checked when it is loaded), all paths meet at each word's
-start, and the ids of short words are kept in a bounded table.
+Streaming: scores are kept for a window as long as the longest piece. At a boundary that no piece found so far spans
+all surviving paths meet, and the ids before it are final; where pieces keep overlapping, the backpointers of the
+window's states are followed every ``_STRIDE`` characters until they meet. Pairs of characters that no piece of the
+vocabulary spans (a word's end and the next blank, a letter and a mark) are such boundaries in every text, so what lies
+between them is searched on its own, and its ids are kept in a bounded table.
+
+The model file is handed to the executors with the job; none needs to have it.
 
 Defined cases: null and empty texts give no ids; a text of any length needs memory for its ids and the pending part
-only; a literal U+2581 is written as bytes, so that decoding returns it; repeated rows give one row each.
+only; a literal U+2581 is written as bytes, so that decoding returns it, and so is every other character without a
+piece; repeated rows give one row each.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable
+from pathlib import PurePath
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import map_batches, texts
 
@@ -30,7 +36,7 @@ SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNKNOWN_PENALTY = 10.0
 _STRIDE = 64  # characters between looks for a common boundary
-_LITERAL = "﷐"  # stands for a literal U+2581 inside the encoder
+_LITERAL = "\ud800"  # stands for a literal U+2581 inside the encoder; a lone surrogate is in no text that Spark holds
 
 
 class Vocabulary:
@@ -42,7 +48,12 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        self.table: dict = {p[:k]: False for p in self.pieces for k in range(1, len(p))} | self.pieces  # False: a prefix only
+        self.trie: dict = {}  # by character; under "" the id and score of the piece that ends there
+        for piece, found in self.pieces.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = found
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - _UNKNOWN_PENALTY
         self.unknown_id = sp.unk_id()
@@ -63,90 +74,78 @@ class Vocabulary:
         return [self.bytes[b] for b in data] if len(self.bytes) == 256 else [self.unknown_id]
 
 
-def viterbi(chars: str, v: Vocabulary, stride: int = _STRIDE) -> Iterator[list[int]]:
-    """Ids of the best segmentation, part by part, each as soon as all surviving paths share it."""
-    n, longest, find = len(chars), v.longest, v.table.get
-    score = {0: 0.0}  # of the boundaries in the window
-    back: dict[int, tuple[int, int]] = {}  # boundary: where its last piece starts, its id (-1: bytes); pending ones only
-    base = 0
+def viterbi(chars: str, v: Vocabulary, emit: Callable[[list[int]], None], stride: int = _STRIDE) -> None:
+    """Gives the ids of the best segmentation to ``emit``, part by part, each as soon as all surviving paths share it."""
+    n, root, unknown = len(chars), v.trie, v.unknown
+    base = reach = 0  # where the pending part begins, and the last boundary that a piece has reached
+    score, back, ids = [0.0], [0], [-1]  # of the pending boundaries: best sum, start and id (-1: bytes) of the last piece
 
     def path(to: int) -> list[int]:
-        steps = []
-        while to > base:
-            start, piece = back[to]
-            steps.append((start, piece))
-            to = start
         out: list[int] = []
-        for start, piece in reversed(steps):
-            if piece >= 0:
-                out.append(piece)
+        while to:
+            if ids[to] >= 0:
+                out.append(ids[to])
             else:
-                out.extend(v.fallback(chars[start]))
+                out.extend(reversed(v.fallback(chars[base + back[to]])))
+            to = back[to]
+        out.reverse()
         return out
 
     for i in range(n):
-        here = score.pop(i, None)
-        if here is None:
-            continue
-        one = find(chars[i : i + 1])
-        if not one and (i + 1 not in score or here + v.unknown > score[i + 1]):
-            score[i + 1], back[i + 1] = here + v.unknown, (i, -1)
-        if one is not None:
-            for end in range(i + 1, min(n, i + longest) + 1):
-                found = find(chars[i:end])
-                if found is None:
-                    break
-                if found:
-                    total = here + found[1]
-                    if end not in score or total > score[end]:
-                        score[end], back[end] = total, (i, found[0])
-        if i + 1 - base >= stride and (i + 1) % stride == 0:
-            live = set(score)
+        at = i - base
+        if i == reach and at:
+            emit(path(at))
+            base, at = i, 0
+            score, back, ids = [0.0], [0], [-1]
+        elif at >= stride and at % stride == 0:
+            live = {k for k in range(at, len(score)) if score[k] > -math.inf}
             while len(live) > 1:
                 top = max(live)
                 live.remove(top)
-                live.add(back[top][0])
+                live.add(back[top])
             meet = live.pop()
-            if meet > base:
-                yield path(meet)
-                base = meet
-                back = {k: x for k, x in back.items() if k > base}
-    if n > base:
-        yield path(n)
-
-
-def _short(chars: str, v: Vocabulary) -> list[int]:
-    """Ids of a text shorter than a stride: the same search with nothing to commit before the end."""
-    n, longest, find, unknown = len(chars), v.longest, v.table.get, v.unknown
-    score, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    score[0] = 0.0
-    for i in range(n):
-        here = score[i]
-        if not find(chars[i]) and here + unknown > score[i + 1]:
-            score[i + 1], back[i + 1], ids[i + 1] = here + unknown, i, -1
-        for end in range(i + 1, min(n, i + longest) + 1):
-            found = find(chars[i:end])
-            if found is None:
+            if meet:
+                emit(path(meet))
+                base, at = base + meet, at - meet
+                del score[:meet], back[:meet], ids[:meet]
+                back = [k - meet for k in back]
+        here, end, node, whole = score[at], at + 1, root.get(chars[i]), False
+        if end == len(score):
+            score.append(-math.inf)
+            back.append(at)
+            ids.append(-1)
+        if node is not None and "" in node:
+            whole = True
+        if not whole and here + unknown > score[end]:
+            score[end], back[end], ids[end] = here + unknown, at, -1
+        if reach <= i:
+            reach = i + 1
+        k = i + 1
+        while node is not None:
+            if "" in node:
+                piece, value = node[""]
+                while end >= len(score):
+                    score.append(-math.inf)
+                    back.append(at)
+                    ids.append(-1)
+                if here + value > score[end]:
+                    score[end], back[end], ids[end] = here + value, at, piece
+                if k > reach:
+                    reach = k
+            if k == n:
                 break
-            if found and here + found[1] > score[end]:
-                score[end], back[end], ids[end] = here + found[1], i, found[0]
-    out: list[int] = []
-    while n:
-        at = back[n]
-        if ids[n] >= 0:
-            out.append(ids[n])
-        else:
-            out.extend(reversed(v.fallback(chars[at])))
-        n = at
-    out.reverse()
-    return out
+            node = node.get(chars[k])
+            k += 1
+            end += 1
+    if n > base:
+        emit(path(n - base))
 
 
 class _Words(dict):
     """Ids, as bytes, of the words seen. When ``room`` short ones are held they become the old ones, from which words
     that come again are taken back; what does not come again goes with the next change.
 
-    A new word is cut where no piece spans the two characters (before a mark, say): all paths meet there.
+    A new word is cut where the vocabulary has no piece that spans the two characters: all paths meet there.
     """
 
     def __init__(self, v: Vocabulary, room: int) -> None:
@@ -170,11 +169,8 @@ class _Words(dict):
         cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
         if cuts:
             return b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-        if len(word) < _STRIDE:
-            return array("i", _short(word, self.v)).tobytes()
         ids = array("i")
-        for part in viterbi(word, self.v):
-            ids.extend(part)
+        viterbi(word, self.v, ids.extend)
         return ids.tobytes()
 
 
@@ -206,12 +202,20 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _shipped(spark: SparkSession, model: str) -> Callable[[], Codec]:
+    """The codec of a model file that the job carries to its executors."""
+    spark.sparkContext.addFile(model)
+    name = PurePath(model).name
+    return lambda: codec(SparkFiles.get(name))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
     """(id, ids, n_tokens, round_trip): round_trip tells whether decoding the ids returned the text."""
     src = texts(docs, id_col, text_col)
+    shipped = _shipped(src.sparkSession, model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, ids, same = codec(model), [], []
+        own, ids, same = shipped(), [], []
         for cell in batch.column(1):
             text = cell.as_py()
             got = own.encode(text)
@@ -228,8 +232,10 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", model:
     """(id, text) of id lists; a null list is an empty text."""
     src = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
 
+    shipped = _shipped(src.sparkSession, model)
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(model)
+        own = shipped()
         out = [own.decode(np.array(cell.as_py() or [], dtype=np.int32)) for cell in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
 

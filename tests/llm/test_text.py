@@ -89,7 +89,7 @@ def best(text, v):
     return out
 
 
-@given(st.text(alphabet=st.sampled_from("abcdehiorstn é漢😀\n.▁"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("abcdehiorstn é漢😀\n.▁\ufdd0"), max_size=40))
 @settings(max_examples=150, deadline=None)
 def test_encoding_is_the_best_path_and_decodes(text):
     c = pieces.codec(pieces.DEFAULT_MODEL)
@@ -102,9 +102,21 @@ def test_encoding_is_the_best_path_and_decodes(text):
 def test_streaming_commits_early_and_changes_nothing(codec):
     rng = random.Random(2)
     text = "".join(rng.choices("abcdefghij", k=20_000))
-    parts = list(pieces.viterbi(text, codec.v))
+    parts = []
+    pieces.viterbi(text, codec.v, parts.append)
     assert len(parts) > 100 and max(map(len, parts)) < 300
     assert sum(parts, []) == best(text, codec.v)
+    overlapping = []
+    pieces.viterbi("ab" * 3000, Overlapping, overlapping.append, stride=8)
+    assert sum(overlapping, []) == best("ab" * 3000, Overlapping) and max(map(len, overlapping)) < 20
+
+
+class Overlapping:
+    """A vocabulary whose pieces span every boundary."""
+
+    pieces = {"a": (0, -5.0), "b": (1, -5.0), "ab": (2, -1.0), "ba": (3, -1.5), "aba": (4, -2.0), "bab": (5, -2.0)}
+    unknown, longest = -20.0, 3
+    trie = {"a": {"": (0, -5.0), "b": {"": (2, -1.0), "a": {"": (4, -2.0)}}}, "b": {"": (1, -5.0), "a": {"": (3, -1.5), "b": {"": (5, -2.0)}}}}
 
 
 def test_encode_and_decode_frames(spark):
