@@ -6,8 +6,12 @@ scaled by the log ratio of its smoothed relative counts in the two classes, the
 a support vector machine is fitted to it by dual coordinate descent. A logistic curve, fitted to a fifth of the
 sample that the machine did not see, makes a score of the margin.
 
+Only labelled rows are bounded in number: every indicator that ``least`` of them hold counts, unless
+``max_indicators`` is given.
+
 Defined cases: null and empty texts have no indicators and score by the constant; without training rows of both
-classes every text scores 0.5; further columns are ignored; repeated rows give one row each.
+classes nothing is known, so every text scores 0.5 and ``keep`` keeps all; a document with several labels counts as
+good if one says so; further columns are ignored; repeated rows give one row each.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ class _Shapes(dict):
 
     def __missing__(self, token: str) -> str:
         if not token[0].isalnum() and token[0] != "_":
-            shape = token[:4]
+            shape = token
         elif token.isdigit():
             shape = "0"
         elif token.isupper() and len(token) > 1:
@@ -100,6 +104,7 @@ class Classifier:
 
     def __init__(self, known: dict[str, tuple[float, float]], constant: float, a: float, b: float) -> None:
         self.known, self.constant, self.a, self.b = known, constant, a, b
+        self.fitted = a != 0.0
 
     def margin(self, text: str) -> float:
         total = square = 0.0
@@ -114,8 +119,8 @@ class Classifier:
         return sigmoid(self.a * np.array([self.margin(t) for t in batch], dtype=np.float64) + self.b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, max_indicators: int = 100_000, least: int = 3) -> Classifier:
-    """A classifier from at most ``per_class`` training texts of each class and the commonest ``max_indicators``."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, max_indicators: int | None = None, least: int = 3) -> Classifier:
+    """A classifier from at most ``per_class`` training texts of each class."""
     sample = materialize(training_texts(docs, labels, label, per_class), "quality-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
     found = materialize(sample.mapInArrow(run, "found array<string>, label int"), "quality-indicators")
     counts = found.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    names = [r["f"] for r in counts.orderBy(F.desc("n"), "f").limit(max_indicators).collect()]
+    common = counts.orderBy(F.desc("n"), "f")
+    names = [r["f"] for r in (common.limit(max_indicators) if max_indicators else common).collect()]
     number = {f: k for k, f in enumerate(names)}
     held = sample.sparkSession.sparkContext.broadcast(number)
 
@@ -167,7 +173,9 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, model: Classifier, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that score at least ``least``."""
+    """The documents, all columns, that score at least ``least``; all of them if the model was fitted to nothing."""
+    if not model.fitted:
+        return docs
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

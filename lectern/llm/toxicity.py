@@ -1,16 +1,18 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are lower-cased, compatibility forms and homoglyphs are folded to the letters they imitate and digits to the
-letters they stand for; words are then set apart by single spaces. Lexicon entries are whole words and word
-beginnings. A word counts once, with its heaviest entry; hits inside an exception phrase do not count. The sum is
-taken as it is and normalised by length, and a logistic curve makes a score of both.
+Texts are lower-cased, compatibility forms and homoglyphs are folded to the letters they imitate, and digits and signs
+next to letters to the letters they stand for (a number stays one). Accents, soft hyphens and characters without width
+go, letters set apart by dots or blanks are joined, and words are then set apart by single spaces. Lexicon entries are
+whole words, word beginnings and pairs of words. A word counts once, with its heaviest entry; hits inside an exception
+phrase do not count. The sum is taken as it is and normalised by length, and a logistic curve makes a score of both.
 
 Weights are log ratios of an entry's frequency in toxic and other labelled texts. Of toxic texts no more count than
 the entry has distinct contexts (the word with its neighbours) in them, so that copies of one text do not make its
-words entries.
+words entries. Only labelled rows are bounded in number: every entry that is frequent enough in them and heavy enough
+is taken, unless ``max_entries`` is given.
 
 Defined cases: null and empty texts score as texts without hits; without labels of both kinds the seed words and
-default coefficients hold; further columns are ignored; repeated rows give one row each.
+default coefficients hold; a document with several labels counts as toxic if one says so; further columns are ignored; repeated rows give one row each.
 """
 
 from __future__ import annotations
@@ -36,22 +38,27 @@ HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e", "η": "n", "ɡ": "g", "ı": "i", "ɑ": "a", "ո": "n", "ս": "u", "օ": "o",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SEED_WORDS = ("idiot", "moron", "scum", "stupid", "loser", "pathetic", "worthless", "disgusting")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "sore loser", "stupid simple", "worthless check")
 SEED_WEIGHT = 6.0
 DEFAULT_COEFFICIENTS = (2.0, 0.5, -3.0)
 
-_FOLD = str.maketrans(HOMOGLYPHS | DIGITS)
+_FOLD, _SUBSTITUTES = str.maketrans(HOMOGLYPHS), str.maketrans(DIGITS)
 _WORD = re.compile(r"[^\W_]+")
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")  # accents, and characters without width
+_SUBSTITUTED = re.compile(r"(?<=[^\W\d_])[\d@$]+(?=[^\W\d_])|(?<=[^\W\d_])\d+|\d+(?=[^\W\d_])|(?<![\w@$])[@$](?=[^\W\d_])")
+_APART = re.compile(r"(?<!\w)[a-z](?:[.*_-][a-z]){2,}(?!\w)|(?<!\w)[a-z](?: [a-z]){3,}(?!\w)")
+_LETTER = re.compile("[a-z]")
 _BEGINNINGS = (4, 5, 6)
 
 
 def folded_words(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _WORD.findall(text.translate(_FOLD))
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).translate(_FOLD)
+    text = _SUBSTITUTED.sub(lambda m: m[0].translate(_SUBSTITUTES), text)
+    return _WORD.findall(_APART.sub(lambda m: "".join(_LETTER.findall(m[0])), text))
 
 
 def entries_of(word: str) -> list[str]:
@@ -116,6 +123,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
                 for k in range(1, len(w) - 1):
                     context = zlib.crc32(" ".join(w[k - 1 : k + 2]).encode("utf-8", "replace"))
                     rows.update((e, context) for e in entries_of(w[k]))
+                    rows.add((f" {w[k]} {w[k + 1]} ", context))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["entry", "context"])
 
     found = sample.select("text").mapInArrow(run, "entry string, context long")
@@ -130,14 +138,16 @@ def _frequencies(sample: DataFrame, entries: list[str]) -> DataFrame:
         for batch in sliced(batches):
             n = Counter()
             for cell in batch.column(0):
-                n.update({e for w in set(folded_words(cell.as_py())) for e in entries_of(w)} & held.value)
+                words = folded_words(cell.as_py())
+                pairs = {f" {a} {b} " for a, b in zip(words, words[1:], strict=False)}
+                n.update((pairs | {e for w in set(words) for e in entries_of(w)}) & held.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])
 
     return sample.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000, max_entries: int = 50_000, least_weight: float = 2.5) -> Lexicon:
-    """A lexicon of at most ``max_entries`` entries, from at most ``per_class`` toxic and as many other training texts."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000, max_entries: int | None = None, least_weight: float = 2.5) -> Lexicon:
+    """A lexicon from at most ``per_class`` toxic and as many other training texts."""
     sample = materialize(training_texts(docs, labels, label, per_class), "toxic-sample")
     counts = dict(sample.groupBy("label").count().collect())
     seed = {f" {w} ": SEED_WEIGHT for w in SEED_WORDS}
@@ -145,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return Lexicon(seed)
     toxic, other = (sample.where(F.col("label") == k) for k in (1, 0))
     least = 3 + 0.002 * counts[1]
-    seen = _contexts(toxic).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(max_entries).collect()
+    frequent = _contexts(toxic).where(F.col("n") >= least).orderBy(F.desc("n"), "entry")
+    seen = (frequent.limit(max_entries) if max_entries else frequent).collect()
     entries = [r["entry"] for r in seen]
     hits, common = (dict(_frequencies(part, entries).collect()) for part in (toxic, other))
     found = {r["entry"]: min(r["n"], hits.get(r["entry"], 0)) for r in seen}
