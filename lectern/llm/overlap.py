@@ -8,7 +8,9 @@ Search, in two steps that only propose pairs; every pair is verified by its sets
 1. Fingerprints within a radius, of which a spanning forest is kept. That joins large groups of near copies with few
    pairs, and may miss some.
 2. A prefix filter, which misses none: shingles have one order everywhere, rare ones first, and two sets of that
-   similarity share one of the first ``n - ceil(0.8 n) + 1``. Only pairs that step 1 has not joined are proposed. What
+   similarity share one of the first ``n - ceil(0.8 n) + 1``. Beyond these prefixes they can share no more than the
+   longer of the two rests holds, so the pair must share enough of the prefixes themselves (near half of them, for sets
+   of one size): a passage that two texts quote is not enough. Only pairs that step 1 has not joined are proposed. What
    counts as rare is estimated from a bounded sample; it decides how many pairs are proposed, never the result.
 
 Shingles are compared by their XXH64 values. Time grows with the square of the texts that share a rare shingle,
@@ -32,6 +34,7 @@ from lectern.operators.components import connected_components
 from lectern.plans.storage import materialize
 
 WIDTH = 5
+_TOLD = 1 << 20  # pairs that a task counts at once
 SAMPLE, COMMON = 4_000, 100_000  # texts of the sample, and shingles that are known to be common
 
 
@@ -54,6 +57,12 @@ def similar(shared: int, n: int, m: int) -> bool:
     return shared * 9 >= (n + m) * 4
 
 
+def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many shingles the prefixes of similar sets of n and m shingles share at least."""
+    rest = np.maximum((4 * n + 4) // 5, (4 * m + 4) // 5) - 1
+    return np.maximum(1, (4 * (n + m) + 8) // 9 - rest)
+
+
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles, one of which any similar set has among its own."""
     n = len(own)
@@ -82,8 +91,9 @@ def common_shingles(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], counts[order]
 
 
-def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of a key, sorted by size, that may be similar and lie in different components."""
+def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of nodes of a key, sorted by size, that may be similar and lie in different components, and what they
+    must share."""
     key, size, node, comp = cols
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
@@ -93,7 +103,7 @@ def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         if len(k) <= d:
             break
         near = (k[d:] == k[:-d]) & (4 * n[d:] <= 5 * n[:-d]) & (c[d:] != c[:-d])
-        yield v[:-d][near], v[d:][near]
+        yield v[:-d][near], v[d:][near], least_shared(n[:-d][near], n[d:][near])
     for i in np.flatnonzero(sizes > 8):
         s = slice(starts[i], starts[i] + sizes[i])
         n, v, c = size[s], node[s], comp[s]
@@ -101,21 +111,42 @@ def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
             continue
         ends = np.searchsorted(4 * n, 5 * n, side="right")
         for at, end in enumerate(ends):
-            other = v[at + 1 : end][c[at + 1 : end] != c[at]]
-            if len(other):
-                yield np.full(len(other), v[at]), other
+            far = c[at + 1 : end] != c[at]
+            if far.any():
+                yield np.full(int(far.sum()), v[at]), v[at + 1 : end][far], least_shared(n[at], n[at + 1 : end][far])
 
 
 def prefix_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b) of the (key, n, node, component) rows: pairs that share a key and may be similar."""
+    """(a, b) of the (key, n, node, component) rows: pairs that share so many keys that they may be similar.
+
+    Each pair is told once for each key that it shares, and counted; counting begins in the task.
+    """
+
+    def told(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b, need = (np.concatenate(c) for c in zip(*found, strict=True))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        shared = np.diff(np.r_[first, len(a)])
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(need[first]), pa.array(shared)], names=["a", "b", "need", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for whole in simhash.whole_keys(batches, 4):
-            for a, b in _group_pairs(whole):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for some in _group_pairs(whole):
+                if len(some[0]):
+                    found.append(some)
+                    size += len(some[0])
+                if size > _TOLD:
+                    yield told(found)
+                    found, size = [], 0
+        if found:
+            yield told(found)
 
     dealt = keyed.select("key", "n", "node", "component").repartition("key").sortWithinPartitions("key", "n")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    counted = dealt.mapInArrow(run, "a long, b long, need long, shared long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
+    return counted.where("shared >= need").select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:

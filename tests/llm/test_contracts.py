@@ -7,9 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from lectern.llm import decontaminate, pieces, quality, registry, simhash, toxicity
-from tests.llm.test_dedup import plain_components, plain_fingerprint, plain_matches
+from lectern.llm import pieces, registry
+from tests.llm.test_dedup import plain_components, plain_fingerprint
 from tests.llm.test_scan import plain_nearest
 from tests.llm.test_text import best
 
@@ -68,24 +67,3 @@ def test_simhash(spark, docs):
     fps = [plain_fingerprint(t) for _, t in docs]
     want = plain_components([i for i, _ in docs], fps, 3)
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in run(spark, "op9_simhash")} == {(i, f"{f:016x}", want[i]) for (i, _), f in zip(docs, fps, strict=True)}
-
-
-def test_pipeline_against_plain_stages(spark, docs):
-    frame, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    kept = [d for d, s in zip(docs, toxicity.fit(frame, labels).scores([t for _, t in docs]), strict=True) if s < 0.3]
-    model = quality.fit(frame.where(frame.doc_id.isin([i for i, _ in kept])), labels)
-    kept = [d for d, s in zip(kept, model.scores([t for _, t in kept]), strict=True) if s >= 0.7]
-    prints = [simhash.fingerprint(t, 3, 3) for _, t in kept]
-    label = {i: i for i, _ in kept}
-    while True:
-        near = {i: min(label[j] for (j, _), q in zip(kept, prints, strict=True) if any((a ^ b).bit_count() <= 5 for a, b in zip(p, q, strict=True))) for (i, _), p in zip(kept, prints, strict=True)}
-        if near == label:
-            break
-        label = near
-    kept = [d for d in kept if label[d[0]] == d[0]]
-    leaks = {m[0] for m in plain_matches(kept, items)}
-    codec = pieces.codec(pieces.DEFAULT_MODEL)
-    want = {i: codec.encode(t).tolist() for i, t in kept if i not in leaks}
-    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == want and len(want) < len(docs) and decontaminate.shingles("a", 5) == [("a",)]
