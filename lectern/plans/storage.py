@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,10 +13,16 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is made only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary folder,
+    removed at the end; on a cluster, whose executors would each write to a disk of their own, that is an error."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
@@ -24,3 +32,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized frame that no plan reads any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for folder in folders:
+        if f"{folder}/".replace("file:///", "/").startswith(f"{root}/".replace("file://", "")):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
