@@ -5,9 +5,10 @@ distances. A query at distance d from the vantage point is at least max(d - high
 side is skipped if that bound times ``factor`` exceeds the query's k-th best distance so far. Factor 1 is the
 triangle inequality and gives exact results; a larger factor skips more.
 
-Vectors are dealt to shards of about ``shard_rows`` by a hash of the id, queries to blocks of ``block_rows``; each
-shard meets each block in one task of bounded size, and the k best of all shards are ranked. All queries of a block
-descend a tree together, so distances are computed as arrays.
+Vectors are dealt to shards of at most about ``shard_rows`` by a hash of the id. A task holds one shard, builds its tree
+once, and all queries stream past it in blocks; each block's k best of the shard go on to be ranked with those of the
+other shards. So every vector is shuffled once and every query once a shard, and a task's memory is bounded by a shard and
+a block. All queries of a block descend a tree together, so distances are computed as arrays.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do null ids;
 vectors of another length than the query's are no candidates; of rows with the same id one takes part; equal distances
@@ -17,9 +18,10 @@ rank by id; any number of equal vectors is one leaf; further columns are ignored
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,33 +99,56 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, factor: float = 1.0, shard_rows: int = 4000, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score) of the k nearest other vectors of every vector for which ``is_query`` holds."""
+def _searched(batches: Iterator[pa.RecordBatch], k: int, factor: float, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query in each (dim, shard) of a partition. Rows come sorted: of a shard the vectors, then the
+    queries."""
+    held: list[pa.RecordBatch] = []
+    shard, tree = None, None
+
+    def block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(3).to_numpy()
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, block_rows):
+            part = whole.slice(at, block_rows)
+            marks = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1).astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1)])
+            for first, stop in zip(cuts, np.r_[cuts[1:], len(marks)], strict=True):
+                own, rows = tuple(marks[first, :2]), part.slice(first, stop - first)
+                if own != shard:
+                    shard, tree, held = own, None, []
+                if not marks[first, 2]:
+                    held.append(rows)
+                    continue
+                if tree is None:
+                    tree = Tree(*_distinct(*(np.concatenate(x) for x in zip(*map(block, held), strict=True)))) if held else Tree(np.zeros((0, own[0])), np.zeros(0, np.int64))
+                    held = []
+                asked, names = block(rows)
+                best, who, _ = tree.search(asked, names, k, factor)
+                found = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)[found.ravel()]), pa.array(who[found]), pa.array(best[found])], names=["query_id", "id", "score"])
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, factor: float = 1.0, shard_rows: int = 1 << 16, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score) of the k nearest other vectors of every vector for which ``is_query`` holds.
+
+    There are as many shards as the cores that work at once, if ``shard_rows`` asks for fewer and each has a thousand rows.
+    """
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     base = whole.where(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("dim", F.size("v"))
-    n, asked = base.agg(F.count("*"), F.count_if("asked")).first()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
-    dealt = base.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    queries = base.where("asked").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return empty
-        (points, ids), (asked, names) = (_distinct(x) for x in (left, right))
-        best, who, _ = Tree(points, ids).search(asked, names, k, factor)
-        found = np.isfinite(best)
-        return pd.DataFrame({"query_id": np.repeat(names, k)[found.ravel()], "id": who[found], "score": best[found]})
-
-    keys = ("dim", "shard", "block")
-    found = dealt.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(work, "query_id long, id long, score double")
+    n = base.count()
+    shards = max(1, math.ceil(n / shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 1000))
+    dealt = base.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    one_each = base.where("asked").groupBy("dim", "id").agg(F.min("v").alias("v"))
+    queries = one_each.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    together = dealt.unionByName(queries).repartitionById(shards, "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = together.mapInArrow(lambda batches: _searched(batches, k, factor, block_rows), "query_id long, id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _distinct(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(points: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and ids; of rows with one id the smallest vector."""
-    points, ids = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
     if len(np.unique(ids)) < len(ids):
         order = np.lexsort((*points.T[::-1], ids))
         order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
