@@ -74,6 +74,9 @@ def test_licence_places(spark):
     assert (got[3]["n_words"], got[3]["n_base"], got[3]["first_word"], got[3]["labels"], got[3]["score"]) == (0, 0, None, "", 0.0)
     assert got[4]["labels"] == got[7]["labels"] == "" and got[5]["labels"] == "mit" and got[5]["base_labels"] == "" and got[6]["labels"] == "gpl-3" and got[6]["score"] == 1.0
     assert licences.report(licences.scan(df.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, "filler words " * 200_000 + "under the MIT license"), (2, "cc cc by by nc cc by nc nc"), (3, "cc by n\u212a nc")], "doc_id long, text string")
+    got = {r["id"]: (r["n_words"], r["n_base"], r["first_word"], r["labels"]) for r in licences.report(licences.scan(long)).collect()}
+    assert got == {1: (400_004, 1, 400_000, "mit"), 2: (9, 1, 5, "cc-by-nc"), 3: (4, 0, None, "")}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
