@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 from lectern.plans.storage import discard, materialize
 
-_HUBS = 512
+_PARTS = 16
 
 
-def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """rows (a, b) with m, the least of a. Nodes with more than ``limit`` rows, which are few, are looked up where their
-    rows are, so that a hub's rows never meet in one task; ``least`` holds a, m and the number n of its rows."""
-    hubs, rest = F.broadcast(least.where(F.col("n") > limit).select("a", "m")), least.where(F.col("n") <= limit).select("a", "m")
-    return rows.join(hubs, "a").unionByName(rows.join(hubs, "a", "left_anti").join(rest, "a"))
+def _least(rows: DataFrame) -> DataFrame:
+    """rows (a, b, part) with m, the least b of a. A hub's rows lie in ``_PARTS`` parts, each with its own least first,
+    so that they never meet in one task."""
+    parts = rows.groupBy("a", "part").agg(F.min("b").alias("m"))
+    return parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts")).select("a", "m", F.explode("parts").alias("part"))
 
 
-def _large_star(edges: DataFrame, limit: int) -> DataFrame:
+def _parted(rows: DataFrame) -> DataFrame:
+    return rows.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(_PARTS)).alias("part"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest of the node and its neighbours."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    return _with_least(both.where("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = _parted(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return both.where("b > a").join(_least(both), ["a", "part"]).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame, limit: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, is linked to the smallest neighbour."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(edges, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    rows = _parted(edges)
+    least = _least(rows)
+    moved = rows.join(least, ["a", "part"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -39,23 +43,20 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the smallest node reachable.
 
-    Self loops keep their node; null endpoints are ignored. Only two numbers a round reach the driver. What is broadcast
-    are hubs, at most ``4 * _HUBS`` rows, since each has more than a ``_HUBS``-th of the links. Rounds before the last
-    one leave no files.
+    Self loops keep their node; null endpoints are ignored. Only two numbers a round reach the driver. Rounds before
+    the last one leave no files.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     now, before = pairs.where("a <> b"), None
-    count = now.count()
     for _ in range(max_rounds):
-        limit = max(16, count // _HUBS)
-        last, now = now, materialize(_small_star(_large_star(now, limit), limit), "cc-round")
+        last, now = now, materialize(_small_star(_large_star(now)), "cc-round")
         if before is not None:
             discard(last)
         after = _state(now)
         if after == before:
             break
-        before, count = after, after[0]
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
