@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.storage import materialize
 
-def dense_ordinal(df: DataFrame, group: str, order: list[str], buckets: int = 64) -> DataFrame:
-    """0..n-1 in (group, order): rows are ranked inside range buckets of a group, then offset by the buckets before.
+_LOCAL = (1 << 33) - 1  # the part of Spark's increasing ids that counts within a partition
 
-    Only bucket counts (groups * buckets) are summed in one window.
+
+def sorted_ordinal(df: DataFrame, order: list[str]) -> DataFrame:
+    """0..n-1 in the given order: rows are dealt by ranges, numbered within each, and offset by the ranges before.
+
+    Ranges follow a sample of the rows, so any distribution is dealt evenly. The window holds one row a range.
     """
-    split = _bucketed(df, order[0], buckets)
-    counts = split.groupBy(group, "_b").agg(F.count("*").alias("_n"))
-    before = counts.select(group, "_b", (F.sum("_n").over(Window.orderBy(group, "_b")) - F.col("_n")).alias("_before"))
-    ranked = split.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_b").orderBy(*order)))
-    return ranked.join(before, [group, "_b"]).withColumn("ordinal", F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
-
-
-def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
-    """Equal-width buckets of a numeric column over the whole table; any split in order gives the same ordinals."""
-    ends = df.agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
-    width = F.greatest((F.col("_high") - F.col("_low") + 1) / buckets, F.lit(1.0))
-    return df.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor((F.col(by) - F.col("_low")) / width)).drop("_low", "_high")
+    ordered = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "ordinals")
+    placed = ordered.select(*df.columns, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit(_LOCAL)).alias("_i"))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").select(*df.columns, (F.col("_before") + F.col("_i")).alias("ordinal"))
+
+
+def dense_ordinal(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """0..n-1 in (group, order)."""
+    return sorted_ordinal(df, [group, *order])

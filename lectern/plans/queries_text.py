@@ -17,23 +17,24 @@ def preview_320(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.abstract_preview(F.col("text")).alias("preview"))
 
 
-@query("F27 F28 K01 K11", """SELECT conv_id, turn, CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN '''' || cell ELSE cell END AS guarded, true AS undone
-FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '=' ELSE '' END || substring(text, 1, 40) AS cell FROM conversations)""")
+@query("F27 F28 K01 K11", """SELECT conv_id, turn, CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN '''' || cell ELSE cell END AS guarded, cell IS NOT NULL AS undone
+FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '=' ELSE '' END || text AS cell FROM conversations)""")
 def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.concat(F.when(F.col("turn") % 3 == 0, "=").otherwise(""), F.substring("text", 1, 40))
+    cell = F.concat(F.when(F.col("turn") % 3 == 0, "=").otherwise(""), F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", cell.alias("cell"), text.formula_guard(cell).alias("guarded"))
-    return rows.select("conv_id", "turn", "guarded", (text.formula_unguard(F.col("guarded")) == F.col("cell")).alias("undone"))
+    return rows.select("conv_id", "turn", "guarded", F.coalesce(text.formula_unguard(F.col("guarded")) == F.col("cell"), F.lit(False)).alias("undone"))
 
 
-@query("F20 F21 F22 F23 F32 D22", f"""WITH {PAPERS_SQL}, p AS (SELECT *, count(*) OVER (PARTITION BY substr(title, 1, 6)) AS g FROM papers),
-a AS (SELECT a.ord AS a, b.ord AS b, a.title AS x, b.title AS y FROM p a JOIN p b ON substr(a.title, 1, 6) = substr(b.title, 1, 6) AND a.ord < b.ord WHERE a.g <= 50),
-s AS (SELECT *, len(list_intersect({_TOKENS.format('x')}, {_TOKENS.format('y')})) AS i, len(list_distinct(list_concat({_TOKENS.format('x')}, {_TOKENS.format('y')}))) AS u FROM a)
-SELECT a, b, round(CASE WHEN x = y OR (regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(y), '[^a-z0-9]+', '', 'g') AND regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') <> '') THEN 1.0 WHEN u = 0 THEN 0.0 ELSE i / u END, 6) AS score FROM s""")
+@query("F20", f"""WITH {PAPERS_SQL}, c AS (SELECT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS k, {_TOKENS.format('title')} AS w, ord FROM papers),
+t AS (SELECT min(ord) AS id, k, any_value(w ORDER BY ord) AS w, count(*) AS n FROM c WHERE k <> '' GROUP BY k)
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score FROM t a JOIN t b ON a.id < b.id AND list_has_any(a.w, b.w) WHERE 5 * len(list_intersect(a.w, b.w)) >= 3 * len(list_distinct(list_concat(a.w, b.w)))""")
 def near_title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titled = papers(spark, sf_dir).select("ord", "title", F.substring("title", 1, 6).alias("k"))
-    small = titled.join(titled.groupBy("k").agg(F.count("*").alias("g")).where("g <= 50").select("k"), "k")
-    pairs = small.alias("a").join(small.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.ord") < F.col("b.ord")))
-    return pairs.select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), F.round(text.title_score(F.col("a.title"), F.col("b.title")), 6).alias("score"))
+    """Pairs of distinct titles, each named by its least paper, that share three fifths of their words."""
+    from lectern.operators.matching import similar_sets
+
+    titled = papers(spark, sf_dir).select("ord", text.compact_key(F.col("title")).alias("k"), text.tokens(F.col("title")).alias("w")).where("k <> ''")
+    distinct = titled.groupBy("k").agg(F.min_by("w", "ord").alias("items"), F.min("ord").alias("id"))
+    return similar_sets(distinct.select("id", "items"), 3, 5).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("D14 D12 F53", """SELECT p_partkey, substr(sha256('lectern:v1:part:' || p_partkey), 1, 40) AS paper_id, substr(sha256('lectern:v1:part:' || p_partkey), 1, 2) AS shard FROM part""")
@@ -65,13 +66,13 @@ def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.lenient_int(cell).alias("whole"), text.year_bucket(1850 + n % 400).alias("bucket"), text.age_text(n % 800).alias("age"), text.duration_ms(minutes).alias("ms"))
 
 
-@query("F11", """SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 12), ' ') AS decoded FROM documents WHERE length(trim(text)) > 0""")
+@query("F11", """SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS decoded FROM documents WHERE length(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ')) > 0""")
 def inverted_index_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word positions are inverted to a map and decoded again."""
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 12)
-    placed = table(spark, sf_dir, "documents").where(F.char_length(F.trim("text")) > 0).select("doc_id", words.alias("w"))
-    entries = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("key"), F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i) == x).alias("value")))
-    return placed.select("doc_id", text.decode_inverted_index(F.map_from_entries(entries)).alias("decoded"))
+    """Whole texts are inverted to maps from word to positions and decoded again."""
+    words = F.split(text.collapse(F.col("text")), " ")
+    placed = table(spark, sf_dir, "documents").where(F.char_length(text.collapse(F.col("text"))) > 0).select("doc_id", F.posexplode(words).alias("at", "word"))
+    entries = placed.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("at")).alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return entries.select("doc_id", text.decode_inverted_index(F.col("index")).alias("decoded"))
 
 
 @query("F29 G01 F30", f"""WITH {PAPERS_SQL}, t AS (SELECT ord, source, unnest(CASE WHEN len(tags) = 0 THEN ['Other'] ELSE tags END) AS tag FROM (SELECT ord, source, list_filter([
@@ -107,13 +108,15 @@ def listing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("D18", """WITH n AS (SELECT p_partkey, p_name || ' gadget version ' || CASE WHEN p_partkey % 3 = 0 THEN 'standart' ELSE 'standard' END AS t FROM part), s AS (SELECT * FROM n)
-SELECT a.p_partkey AS a, b.p_partkey AS b FROM n a JOIN n b ON a.p_partkey < b.p_partkey AND regexp_replace(a.t, ' [^ ]+$', '') = regexp_replace(b.t, ' [^ ]+$', '') AND a.t <> b.t WHERE a.p_partkey % 40 = 0 AND b.p_partkey % 7 = 0 AND levenshtein(list_last(string_split(a.t, ' ')), list_last(string_split(b.t, ' '))) <= 2""")
+@query("D18")
 def single_word_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.col("p_name"), F.lit(" gadget version "), F.when(F.col("p_partkey") % 3 == 0, "standart").otherwise("standard"))
-    named = table(spark, sf_dir, "part").select("p_partkey", name.alias("t"), F.regexp_replace(name, " [^ ]+$", "").alias("k"))
-    pairs = named.where("p_partkey % 40 = 0").alias("a").join(named.where("p_partkey % 7 = 0").alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.where(text.single_word_typo(F.col("a.t"), F.col("b.t"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    """Pairs of titles, each named by its least part, that differ in one long word at any place; tested against a plain
+    version."""
+    from lectern.operators.matching import typo_pairs
+
+    v = F.col("p_partkey")
+    name = F.concat_ws(" ", F.col("p_name"), F.when(v % 3 == 0, "standart").when(v % 3 == 1, "standard").otherwise("measured"), F.col("p_type"), F.lit("series"))
+    return typo_pairs(table(spark, sf_dir, "part").select(v.alias("id"), name.alias("title")))
 
 
 @query("F16 F12 F17", """SELECT o_orderkey, CASE WHEN m BETWEEN 1 AND 12 THEN CASE WHEN yy >= 91 THEN 1900 + yy ELSE 2000 + yy END END AS id_year, CASE WHEN yr - (1990 + o_orderkey % 10) >= 3 THEN 1990 + o_orderkey % 10 END AS trusted
@@ -149,11 +152,11 @@ def unescaped_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_unescape(F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1)).alias("heading"))
 
 
-@query("F31", f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower({TITLE_SQL}), '[a-z0-9]+'), lambda w: length(w) >= 5)) AS w, lower(substring(text, 200, 2000)) AS body FROM documents)
-SELECT doc_id, len(w) >= 3 AND len(list_filter(w, lambda x: contains(body, substr(x, 1, 5)))) = 0 AS contradicts FROM t""")
+@query("F31", f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower({TITLE_SQL}), '[a-z0-9]+'), lambda w: length(w) >= 5)) AS w, lower(text) AS body FROM documents)
+SELECT doc_id, len(w) >= 3 AND len(list_filter(w, lambda x: contains(substr(body, 200), substr(x, 1, 5)))) = 0 AS contradicts FROM t""")
 def abstract_contradicts_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(text.tokens(title_of(F.col("text"))), lambda w: F.char_length(w) >= 5)
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.lower(F.substring("text", 200, 2000)).alias("body"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.lower(F.substring("text", 200, 2147483647)).alias("body"))
     return rows.select("doc_id", ((F.size("w") >= 3) & ~F.exists("w", lambda x: F.contains(F.col("body"), F.substring(x, 1, 5)))).alias("contradicts"))
 
 

@@ -12,10 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def title_of(text, n: int = 8):
     """The first words of a text, white space runs as one blank."""
-    return F.substring_index(F.trim(F.regexp_replace(F.substring(text, 1, 400), r"[ \t\r\n]+", " ")), " ", n)
+    head = F.regexp_extract(text, rf"^[ \t\r\n]*+((?:[^ \t\r\n]++[ \t\r\n]++){{0,{n - 1}}}[^ \t\r\n]*+)", 1)
+    return F.trim(F.regexp_replace(head, r"[ \t\r\n]+", " "))
 
 
-TITLE_SQL = "array_to_string(list_slice(string_split(trim(regexp_replace(substring(text, 1, 400), '[ \\t\\r\\n]+', ' ', 'g'), ' '), ' '), 1, 8), ' ')"
+TITLE_SQL = "trim(regexp_replace(regexp_extract(text, '^[ \\t\\r\\n]*((?:[^ \\t\\r\\n]+[ \\t\\r\\n]+){0,7}[^ \\t\\r\\n]*)', 1), '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
 
 PAPERS_SQL = f"""papers AS (SELECT doc_id AS ord, 'doc:' || doc_id AS uid, {TITLE_SQL} AS title, text AS abstract, lang AS category, d.source, n_chars,
   CAST(DATE '2018-01-01' + CAST(doc_id * 37 % 2900 AS INTEGER) AS VARCHAR) AS published_date, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))"""
