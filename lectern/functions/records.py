@@ -82,7 +82,7 @@ def is_survey(title: Column, abstract: Column, venue: Column, kind: Column) -> C
 
 
 def is_dataset(title: Column, abstract: Column) -> Column:
-    introduced = r"(?i)\b(?:introduce|present|release|collect|construct|build|propose)(?:s|d|ed)?\b[^.]{0,80}\b(?:data\s*set|benchmark|database|corpus)\b"
+    introduced = r"(?i)\b(?:introduce|present|release|collect|construct|build|propose)(?:s|d|ed)?(?![0-9A-Za-z_])[^.]{0,80}\b(?:data\s*set|benchmark|database|corpus)\b"
     return holds(title, DATASET_TITLE) | holds(abstract, introduced)
 
 

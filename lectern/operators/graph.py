@@ -16,12 +16,14 @@ STRONG = frozenset(("supersedes", "successor", "extends"))
 
 
 def hops(edges: DataFrame, most: int) -> DataFrame:
-    """(root, node, hop) for all nodes within ``most`` edges of each root, by the fewest."""
-    step = found = edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct().withColumn("hop", F.lit(1).cast("long"))
+    """(root, node, hop, chain) for all nodes within ``most`` edges of each root: by the fewest, and of those by the chain
+    whose nodes come first."""
+    step = found = edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct().select("root", "node", F.lit(1).cast("long").alias("hop"), F.array("root", "node").alias("chain"))
     for k in range(2, most + 1):
-        step = step.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("hop", F.lit(k).cast("long"))
+        further = step.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"))
+        step = further.groupBy("root", "node").agg(F.lit(k).cast("long").alias("hop"), F.min("chain").alias("chain"))
         found = found.unionByName(step)
-    return found.groupBy("root", "node").agg(F.min("hop").alias("hop"))
+    return found.groupBy("root", "node").agg(F.min(F.struct("hop", "chain")).alias("best")).select("root", "node", "best.hop", "best.chain")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
@@ -104,33 +106,69 @@ def _topological(rows: pd.DataFrame) -> list[tuple[int, int]]:
     return order
 
 
+# How much a relation counts on the main path.
+MAIN_PATH_WEIGHTS = {"supersedes": 3.0, "extends": 3.0, "successor": 2.5, "ablation": 2.0, "contrasts": 1.5, "baseline_only": 1.0}
+
+
+def oriented(edges: DataFrame) -> DataFrame:
+    """Edges from the older to the newer end: a citation against the years is turned round, loops go."""
+    against = F.coalesce(F.col("src_year"), F.lit(1 << 30)) > F.coalesce(F.col("dst_year"), F.lit(1 << 30))
+    turned = {"src": F.when(against, F.col("dst")).otherwise(F.col("src")), "dst": F.when(against, F.col("src")).otherwise(F.col("dst"))}
+    years = {"src_year": F.when(against, F.col("dst_year")).otherwise(F.col("src_year")), "dst_year": F.when(against, F.col("src_year")).otherwise(F.col("dst_year"))}
+    return edges.where("src <> dst").withColumns({**turned, **years})
+
+
+def _main_path(rows: pd.DataFrame) -> list:
+    """Nodes of one graph's main path. rows: oriented edges, parallel ones kept, each a claim of its own."""
+    place = {n: k for k, (_, n) in enumerate(_topological(rows.drop_duplicates(["src", "dst"])))}
+    links = []
+    for s, d, relation, confidence in zip(rows["src"], rows["dst"], rows["relation"], rows["confidence"], strict=True):
+        first, last = (s, d) if place[s] < place[d] else (d, s)  # a cycle within a year is cut by the order
+        sure = min(1.0, max(0.05, confidence)) if confidence == confidence and confidence is not None else 0.5
+        links.append((first, last, MAIN_PATH_WEIGHTS.get(relation, 1.0) * sure, (place[first], s, d, relation)))
+    into, out = defaultdict(list), defaultdict(list)
+    for link in links:
+        out[link[0]].append(link)
+        into[link[1]].append(link)
+    order = sorted(place, key=place.get)
+    before, after = {}, {}
+    for n in order:
+        before[n] = sum(before[x[0]] for x in into[n]) if into[n] else 1
+    for n in reversed(order):
+        after[n] = sum(after[x[1]] for x in out[n]) if out[n] else 1
+    top = max(before[x[0]] * after[x[1]] for x in links)
+    score, via = {}, {}
+    for n in order:
+        score[n], via[n] = 0.0, None
+        for x in into[n]:
+            total = score[x[0]] + before[x[0]] * after[x[1]] / top * x[2]
+            if via[n] is None or total > score[n] + 1e-12 or (abs(total - score[n]) <= 1e-12 and x[3] < via[n][3]):
+                score[n], via[n] = total, x
+    at = None
+    for n in order:
+        if not out[n] and (at is None or score[n] > score[at] + 1e-12):
+            at = n
+    path = [at]
+    while via[at]:
+        at = via[at][0]
+        path.append(at)
+    return path[::-1]
+
+
 def main_paths(edges: DataFrame) -> DataFrame:
-    """(graph_id, pos, node): the chain whose edges lie on most source-to-sink paths; ties take the smaller node."""
+    """(graph_id, pos, node): the chain of the largest sum of path counts, weighted by relation and confidence.
+
+    An edge counts by the source-to-sink paths that use it, relative to the most used one. Ties take the edge of the
+    older, then smaller nodes. Edges without a ``confidence`` column count half.
+    """
+    known = edges if "confidence" in edges.columns else edges.withColumn("confidence", F.lit(0.5))
+    links = oriented(known.select("graph_id", "src", "dst", "src_year", "dst_year", "relation", F.col("confidence").cast("double").alias("confidence")))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["src", "dst"])
-        place = {n: k for k, (_, n) in enumerate(_topological(rows))}
-        out, into = defaultdict(list), defaultdict(list)
-        for s, d in zip(rows["src"], rows["dst"], strict=True):
-            if place[s] < place[d]:
-                out[s].append(d)
-                into[d].append(s)
-        order = sorted(place, key=place.get)
-        before, after, best, following = {}, {}, {}, {}
-        for n in order:
-            before[n] = sum(before[s] for s in into[n]) or 1
-        for n in reversed(order):
-            after[n] = sum(after[d] for d in out[n]) or 1
-        for n in reversed(order):
-            options = [(-(before[n] * after[d] + best[d]), d) for d in out[n]]
-            best[n], following[n] = (-min(options)[0], min(options)[1]) if options else (0, None)
-        at, path = min((n for n in order if not into[n]), key=lambda n: (-best[n], n)), []
-        while at is not None:
-            path.append(at)
-            at = following[at]
+        path = _main_path(rows)
         return pd.DataFrame({"graph_id": rows["graph_id"].iloc[0], "pos": range(len(path)), "node": path})
 
-    return edges.groupBy("graph_id").applyInPandas(work, "graph_id long, pos long, node long")
+    return links.groupBy("graph_id").applyInPandas(work, "graph_id long, pos long, node long")
 
 
 def shortest_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
@@ -158,30 +196,74 @@ def shortest_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def families(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(graph_id, node, first, second): the node without which the graph falls into the best second component."""
+    """(graph_id, node, first, second): the node without which the graph falls into the best second component.
+
+    One walk in depth first order tells for every node what falls off without it: a subtree from which no edge leads
+    above the node is a component of its own. Time is linear in a graph's edges.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         near = defaultdict(set)
         for s, d in zip(rows["src"], rows["dst"], strict=True):
             near[s].add(d)
             near[d].add(s)
+        seen, low, size, cut, tops = {}, {}, {}, defaultdict(list), []
+        for top in sorted(near):
+            if top in seen:
+                continue
+            first = len(seen)
+            stack = [(top, None, iter(near[top] - {top}))]
+            seen[top] = low[top] = len(seen)
+            size[top] = 1
+            while stack:
+                at, above, others = stack[-1]
+                for n in others:
+                    if n not in seen:
+                        seen[n] = low[n] = len(seen)
+                        size[n] = 1
+                        stack.append((n, at, iter(near[n] - {n})))
+                        break
+                    if n != above:
+                        low[at] = min(low[at], seen[n])
+                else:
+                    stack.pop()
+                    if above is not None:
+                        size[above] += size[at]
+                        low[above] = min(low[above], low[at])
+                        if low[at] >= seen[above]:
+                            cut[above].append(size[at])
+            tops.append((len(seen) - first, top, first))
+        sizes = sorted((t[0] for t in tops), reverse=True)
         best = None
         for gone in sorted(near):
-            sizes, seen = [], {gone}
-            for start in near:
-                if start not in seen:
-                    stack, size = [start], 0
-                    seen.add(start)
-                    while stack:
-                        size += 1
-                        for n in near[stack.pop()] - seen:
-                            seen.add(n)
-                            stack.append(n)
-                    sizes.append(size)
-            sizes.sort(reverse=True)
-            if len(sizes) > 1 and sizes[1] >= least and (best is None or sizes[1] > best[2]):
-                best = (gone, sizes[0], sizes[1])
+            whole = next(t[0] for t in reversed(tops) if t[2] <= seen[gone])
+            rest = whole - 1 - sum(cut[gone])
+            others = list(sizes[:3])
+            if whole in others:
+                others.remove(whole)
+            parts = sorted([*cut[gone], *([rest] if rest else []), *others], reverse=True)
+            if len(parts) > 1 and parts[1] >= least and (best is None or parts[1] > best[2]):
+                best = (gone, parts[0], parts[1])
         found = [(rows["graph_id"].iloc[0], *best)] if best else []
         return pd.DataFrame(found, columns=["graph_id", "node", "first", "second"])
 
     return edges.groupBy("graph_id").applyInPandas(work, "graph_id long, node long, first long, second long")
+
+
+def genealogy_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, mean, x): within its year's line a node stands by the mean place of its parents, those without any last, then
+    by citations and id. nodes(graph_id, node, yr, cites), edges(src, dst); lines are laid from the oldest year on.
+    """
+    every, links = materialize(nodes, "genealogy-nodes"), materialize(edges.select("src", "dst").distinct(), "genealogy-edges")
+    place = Window.partitionBy("graph_id").orderBy(F.asc_nulls_last("mean"), F.desc("cites"), "node")
+    laid = None
+    for row in every.select("yr").distinct().orderBy("yr").collect():  # one round a year
+        line = every.where(F.col("yr") == row["yr"])
+        if laid is None:
+            told = line.withColumn("mean", F.lit(None).cast("double"))
+        else:
+            mean = links.join(laid.select(F.col("node").alias("src"), "x"), "src").groupBy(F.col("dst").alias("node")).agg(F.avg("x").alias("mean"))
+            told = line.join(mean, "node", "left")
+        now = materialize(told.select("node", "mean", (F.row_number().over(place) - 1).cast("long").alias("x")), "genealogy")
+        laid = now if laid is None else laid.unionByName(now)
+    return laid

@@ -10,8 +10,8 @@ from lectern.plans.registry import query
 from lectern.plans.views import EDGES_SQL, edges, nodes, table
 
 
-@query("R09 R01", f"""WITH RECURSIVE {EDGES_SQL}, h(root, node, hop) AS (SELECT src, dst, 1 FROM edges WHERE relation <> 'baseline_only' UNION SELECT h.root, e.dst, hop + 1 FROM h JOIN edges e ON e.src = h.node AND e.relation <> 'baseline_only' WHERE hop < 3)
-SELECT root, node, CAST(min(hop) AS BIGINT) AS hop FROM h GROUP BY root, node""")
+@query("R09", f"""WITH RECURSIVE {EDGES_SQL}, h(root, node, hop, chain) AS (SELECT DISTINCT src, dst, 1, [src, dst] FROM edges WHERE relation <> 'baseline_only' UNION SELECT h.root, e.dst, hop + 1, list_append(chain, e.dst) FROM h JOIN edges e ON e.src = h.node AND e.relation <> 'baseline_only' WHERE hop < 3),
+m AS (SELECT root, node, min(hop) AS hop FROM h GROUP BY ALL) SELECT root, node, CAST(hop AS BIGINT) AS hop, min(chain) AS chain FROM h JOIN m USING (root, node, hop) GROUP BY ALL""")
 def strong_hop_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     strong = edges(spark, sf_dir).where("relation <> 'baseline_only'").select("src", "dst")
     return graph.hops(strong, 3)
@@ -45,9 +45,10 @@ def shortest_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(edges(spark, sf_dir), ends)
 
 
-@query("R11 R12")
+@query("R11")
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.families(edges(spark, sf_dir))
+    """The best cut node of each customer's chain of orders."""
+    return graph.families(edges(spark, sf_dir).where("gap = 1"))
 
 
 @query("R03 R04 R05 R33", f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT id FROM o WHERE priority = '1-URGENT'), r(node) AS (SELECT id FROM s UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node AND e.relation IN ('extends', 'supersedes'))
@@ -60,11 +61,43 @@ def weak_entry_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(F.col("id").alias("node"), "graph_id").join(reached, "node", "left_anti")
 
 
-@query("R15 R24 R25 R32", """WITH o AS (SELECT o_orderkey AS id, o_custkey AS g, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice AS c FROM orders)
-SELECT id, dense_rank() OVER (PARTITION BY g ORDER BY y) AS x, row_number() OVER (PARTITION BY g, y ORDER BY c DESC, id) AS slot, CAST(floor((row_number() OVER (PARTITION BY g, y ORDER BY c DESC, id) - 1) / 2) AS BIGINT) AS line, round(log10(c + 1), 6) AS height FROM o""")
+_YEARS = range(1990, 2003)
+
+
+def _genealogy_sql() -> str:
+    lines = "SELECT CAST(NULL AS BIGINT) AS node, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS BIGINT) AS x WHERE false"
+    parts, laid = [f"l{_YEARS[0] - 1} AS ({lines})"], f"l{_YEARS[0] - 1}"
+    for y in _YEARS:
+        mean = f"SELECT dst AS node, avg(x) AS mean FROM (SELECT DISTINCT src, dst FROM edges) JOIN {laid} p ON p.node = src GROUP BY dst"
+        line = f"SELECT o.id AS node, m.mean, row_number() OVER (PARTITION BY graph_id ORDER BY m.mean NULLS LAST, price DESC, o.id) - 1 AS x FROM o LEFT JOIN ({mean}) m ON m.node = o.id WHERE yr = {y}"
+        parts.append(f"l{y} AS MATERIALIZED (SELECT * FROM {laid} UNION ALL {line})")
+        laid = f"l{y}"
+    return f"WITH {EDGES_SQL}, {', '.join(parts)} SELECT node, round(mean, 6) AS mean, x FROM {laid}"
+
+
+@query("R15", _genealogy_sql())
+def genealogy_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = graph.genealogy_order(nodes(spark, sf_dir).select("graph_id", F.col("id").alias("node"), "yr", F.col("price").alias("cites")), edges(spark, sf_dir))
+    return laid.select("node", F.round("mean", 6).alias("mean"), "x")
+
+
+@query("R14", f"""WITH {EDGES_SQL}, c AS (SELECT dst, count(*) FILTER (WHERE relation IN ('supersedes', 'contrasts')) AS d, count(*) FILTER (WHERE relation IN ('successor', 'extends', 'ablation')) AS i FROM edges GROUP BY dst)
+SELECT id AS node, CASE WHEN coalesce(d, 0) > coalesce(i, 0) THEN 'disrupt' WHEN coalesce(i, 0) > coalesce(d, 0) THEN 'incremental' ELSE 'neutral' END AS mode FROM o LEFT JOIN c ON dst = id""")
+def novelty_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a node's incoming relations disrupt its ancestors or go on from them."""
+    relation = F.col("relation")
+    counts = edges(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.count_if(relation.isin("supersedes", "contrasts")).alias("d"), F.count_if(relation.isin("successor", "extends", "ablation")).alias("i"))
+    d, i = F.coalesce("d", F.lit(0)), F.coalesce("i", F.lit(0))
+    return nodes(spark, sf_dir).select("id").join(counts, "id", "left").select(F.col("id").alias("node"), F.when(d > i, "disrupt").when(i > d, "incremental").otherwise("neutral").alias("mode"))
+
+
+@query("R24", """WITH o AS (SELECT o_orderkey AS id, o_custkey AS g, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice AS c FROM orders)
+SELECT id, 130.0 + 260 * (dense_rank() OVER (PARTITION BY g ORDER BY y) - 1) AS x, round(log10(c + 1), 6) AS height, row_number() OVER (PARTITION BY g, y ORDER BY c DESC, id) AS fan FROM o""")
 def timeline_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slot = F.row_number().over(Window.partitionBy("graph_id", "yr").orderBy(F.desc("price"), "id"))
-    return nodes(spark, sf_dir).select("id", F.dense_rank().over(Window.partitionBy("graph_id").orderBy("yr")).alias("x"), slot.alias("slot"), F.floor((slot - 1) / 2).alias("line"), F.round(F.log10(F.col("price") + 1), 6).alias("height"))
+    """A column for each year, its centre as x; in it, height by citations and a fan by citations, then id."""
+    fan = F.row_number().over(Window.partitionBy("graph_id", "yr").orderBy(F.desc("price"), "id"))
+    column = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("yr"))
+    return nodes(spark, sf_dir).select("id", (F.lit(130.0) + 260 * (column - 1)).alias("x"), F.round(F.log10(F.col("price") + 1), 6).alias("height"), fan.alias("fan"))
 
 
 @query("R22", """WITH a AS (SELECT p_partkey, upper(string_agg(substr(w, 1, 1), '' ORDER BY i)) AS acronym FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) GROUP BY p_partkey)

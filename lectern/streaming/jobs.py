@@ -43,17 +43,22 @@ def hour_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_seen(spark: SparkSession, path: str) -> DataFrame:
-    """Each key once, whatever arrives again while the watermark holds it."""
-    keys = landed(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
+    """Each key once, however late a row comes: the keys seen are the state, which grows with the keys only."""
+    keys = landed(spark, path).select("user_id").dropDuplicates(["user_id"])
     return drained(keys, "seen", "append").distinct()
 
 
-def leases(events: DataFrame, hours: int) -> DataFrame:
-    """(event_id, granted): an arrival is granted if its key's lease has run out, and then holds it."""
+def leases(moves: DataFrame, hours: int) -> DataFrame:
+    """(event_id, outcome) of moves(user_id, event_id, ts, owner, done): a claim is granted if no live one holds the key;
+    a release takes it back if its owner makes it."""
     span = pd.Timedelta(hours=hours)
 
-    def step(state: tuple, row) -> tuple[tuple, bool]:
-        free = state[0] is None or row.ts >= state[0] + span
-        return ((row.ts,) if free else state), free
+    def step(state: tuple, row) -> tuple[tuple, str]:
+        owner, until = state
+        if row.done:
+            return ((None, None), "released") if owner == row.owner and owner is not None else (state, "not_owner")
+        if owner is not None and until > row.ts:
+            return state, "held"
+        return (row.owner, row.ts + span), "claimed"
 
-    return ordered_fold(events, "user_id", ["ts", "event_id"], (None,), step, ["event_id"], "granted", "boolean")
+    return ordered_fold(moves, "user_id", ["ts", "event_id"], (None, None), step, ["event_id"], "outcome", "string")

@@ -98,7 +98,8 @@ def test_main_path_against_enumeration(spark):
         sources = {r[1] for r in own} - {r[2] for r in own}
         paths = [p for s in sources for p in all_paths(own, s)]
         weight = {(r[1], r[2]): sum((r[1], r[2]) in zip(p, p[1:]) for p in paths) for r in own}
-        total = lambda p: sum(weight[e] for e in zip(p, p[1:]))
+        counts = {(r[1], r[2]): {"extends": 3, "baseline_only": 1}[r[5]] for r in own}
+        total = lambda p: sum(weight[e] * counts[e] for e in zip(p, p[1:]))
         assert got[g] in paths and total(got[g]) == max(map(total, paths))
 
 
@@ -114,10 +115,61 @@ def test_shortest_path_against_enumeration(spark):
         assert got.get(g) == (min(costs) if costs else None)
 
 
+MAIN = "graph_id long, src long, dst long, src_year long, dst_year long, relation string, confidence double"
+
+
+def main_path_of(spark, rows):
+    return [r["node"] for r in graph.main_paths(spark.createDataFrame(rows, MAIN)).orderBy("pos").collect()]
+
+
+def test_main_path_turns_inverted_edges_and_keeps_parallel_ones(spark):
+    chain = [(1, 1, 2, 2000, 2001, "extends", 0.9), (1, 2, 3, 2001, 2002, "extends", 0.9)]
+    assert main_path_of(spark, chain) == [1, 2, 3]
+    assert main_path_of(spark, [chain[0], (1, 3, 2, 2002, 2001, "extends", 0.9)]) == [1, 2, 3]
+    fork = [(1, 1, 2, 2000, 2001, "baseline_only", 0.9), (1, 1, 3, 2000, 2001, "extends", 0.9), (1, 2, 4, 2001, 2002, "baseline_only", 0.9), (1, 3, 4, 2001, 2002, "extends", 0.9)]
+    assert main_path_of(spark, fork) == [1, 3, 4]
+    sure = [(1, 1, 2, 2000, 2001, "extends", 0.3), (1, 1, 3, 2000, 2001, "extends", 0.9), (1, 2, 4, 2001, 2002, "extends", 0.3), (1, 3, 4, 2001, 2002, "extends", 0.9)]
+    assert main_path_of(spark, sure) == [1, 3, 4]
+    parallel = [(1, 1, 2, 2000, 2001, "contrasts", 0.5), (1, 1, 2, 2000, 2001, "contrasts", 0.5), (1, 1, 3, 2000, 2001, "contrasts", 0.5), (1, 2, 4, 2001, 2002, "contrasts", 0.5), (1, 3, 4, 2001, 2002, "contrasts", 0.5)]
+    assert main_path_of(spark, parallel) == [1, 2, 4]
+    cycle = [(1, 1, 2, 2000, 2000, "extends", 0.5), (1, 2, 1, 2000, 2000, "extends", 0.5), (1, 2, 3, 2000, 2001, "extends", 0.5)]
+    assert main_path_of(spark, cycle) == [1, 2, 3]
+
+
+def plain_families(rows):
+    near = {}
+    for _, s, d, *_ in rows:
+        near.setdefault(s, set()).add(d)
+        near.setdefault(d, set()).add(s)
+    best = None
+    for gone in sorted(near):
+        sizes, seen = [], {gone}
+        for start in near:
+            if start in seen:
+                continue
+            stack, size = [start], 0
+            seen.add(start)
+            while stack:
+                size += 1
+                for n in near[stack.pop()] - seen:
+                    seen.add(n)
+                    stack.append(n)
+            sizes.append(size)
+        sizes.sort(reverse=True)
+        if len(sizes) > 1 and sizes[1] >= 2 and (best is None or sizes[1] > best[2]):
+            best = (gone, sizes[0], sizes[1])
+    return best
+
+
 def test_families(spark):
     star = [(1, 1, 9, 0, 0, "x"), (1, 2, 9, 0, 0, "x"), (1, 2, 1, 0, 0, "x"), (1, 9, 10, 0, 0, "x"), (1, 10, 11, 0, 0, "x")]
     got = graph.families(spark.createDataFrame(star, GRAPH)).collect()
     assert [tuple(r) for r in got] == [(1, 9, 2, 2)]
+    rng = random.Random(13)
+    rows = [(g, *rng.sample(range(14), 2), 0, 0, "x") for g in range(60) for _ in range(rng.randrange(3, 16))]
+    found = {r["graph_id"]: (r["node"], r["first"], r["second"]) for r in graph.families(spark.createDataFrame(rows, GRAPH)).collect()}
+    for g in range(60):
+        assert found.get(g) == plain_families([r for r in rows if r[0] == g])
 
 
 def test_components(spark):
@@ -162,9 +214,9 @@ def test_csv_dict_reader(spark, tmp_path):
 
 
 def test_leases(spark):
-    rows = [("u", k, f"2024-01-01 0{k}:00:00") for k in range(8)]
-    df = spark.createDataFrame(rows, "user_id string, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    assert sorted(r["event_id"] for r in jobs.leases(df, 3).collect() if r["granted"]) == [0, 3, 6]
+    rows = [("u", k, f"2024-01-01 0{k}:00:00", k, False) for k in range(8)]
+    df = spark.createDataFrame(rows, "user_id string, event_id long, ts string, owner long, done boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r["event_id"] for r in jobs.leases(df, 3).collect() if r["outcome"] == "claimed") == [0, 3, 6]
 
 
 def test_streamed_readiness_equals_the_fold(spark):
@@ -175,14 +227,93 @@ def test_streamed_readiness_equals_the_fold(spark):
     assert a == b and {r[2] for r in a} >= {"unavailable", "stabilizing", "ready"}
 
 
+def items(n, prefix="i"):
+    return "\n".join(f"{prefix}{k}" for k in range(n))
+
+
 def test_readiness_reducer():
     from lectern.streaming.readiness import EMPTY, Limits, reduce
 
-    state, seen = EMPTY, []
-    for probe in [(0, 1, True, 20, "a"), (1, 2, True, 20, "a"), (8, 3, True, 20, "a"), (9, 4, True, 21, "b"), (9, 4, True, 21, "b"), (5, 5, True, 21, "b"), (20, 6, True, 9, "c"), (21, 7, False, 0, ""), (22, 8, True, 30, "d")]:
-        state, verdict = reduce(state, probe, Limits())
-        seen.append(verdict)
-    assert seen == ["stabilizing", "stabilizing", "ready", "stabilizing", "repeat", "late", "anomaly", "unavailable", "stabilizing"]
+    def told(*probes):
+        state, seen = EMPTY, []
+        for probe in probes:
+            state, verdict = reduce(state, probe, Limits())
+            seen.append(verdict)
+        return seen
+
+    a, b = ("snapshot", "a", items(20)), ("snapshot", "b", items(21))
+    assert told((0, 1, *a), (1, 2, *a), (8, 3, *a), (9, 4, *b), (9, 4, *b), (5, 5, *b)) == ["stabilizing", "stabilizing", "ready", "stabilizing", "repeat", "late"]
+    assert told((0, 1, *a), (1, 2, "failed", "", ""), (7, 3, *a)) == ["stabilizing", "failed", "ready"]
+    assert told((0, 1, *a), (1, 2, "unavailable", "", ""), (7, 3, *a)) == ["stabilizing", "unavailable", "stabilizing"]
+    assert told((0, 1, *a), (300, 2, *a), (310, 3, *a)) == ["stabilizing", "stabilizing", "ready"]
+    assert told((0, 1, "publish", "", ""), (1, 2, *a), (8, 3, *a), (9, 4, "publish", "", "")) == ["refused", "stabilizing", "ready", "published"]
+    live = [(1, 2, *a), (8, 3, *a), (9, 4, "publish", "", "")]
+    assert told(*live, (10, 5, *a), (11, 6, "unavailable", "", ""), (12, 7, *b), (19, 8, *b))[3:] == ["published", "published", "stabilizing", "ready"]
+    assert told(*live, (10, 5, "snapshot", "c", items(19)))[3:] == ["anomaly"]
+    assert told(*live, (10, 5, "snapshot", "c", items(25, "j")))[3:] == ["anomaly"]
+
+
+def plain_quota(requests, key_hour=5, hour=10, day=40):
+    """Every request in order against dictionaries of counts."""
+    windows, hours, days, out = {}, {}, {}, {}
+    for number, key, at in sorted(requests, key=lambda r: (r[2], r[0])):
+        h, d = int(at // 3600), int(at // 86400)
+        count, end = windows.get(key, (0, -1.0))
+        if end <= at:
+            count, end = 0, at + 3600
+        if days.get(d, 0) >= day:
+            out[number] = "global_day"
+        elif hours.get(h, 0) >= hour:
+            out[number] = "global_hour"
+        elif count >= key_hour:
+            out[number] = "key"
+        else:
+            out[number] = "ok"
+            windows[key] = count + 1, end
+            hours[h], days[d] = hours.get(h, 0) + 1, days.get(d, 0) + 1
+    return out
+
+
+def test_quota_charges_allowed_requests_only_and_windows_cross_midnight(spark):
+    from lectern.streaming import quota
+
+    rng, rows = random.Random(11), []
+    for k in range(1500):
+        at = 86400 * 3 + rng.choice([rng.random() * 86400 * 4, 86400 * rng.randrange(1, 4) - 1800 + rng.random() * 3600])
+        rows.append((k, str(rng.choice([1, 1, 1, rng.randrange(30)])), round(at, 3)))
+    rows += [(5000 + k, "midnight", 86400 * 20 - 60.0 + 20 * k) for k in range(12)]
+    frame = spark.createDataFrame(rows, "id long, key string, at double").withColumn("at", F.col("at").cast("timestamp"))
+    got = dict(quota.consume(frame).collect())
+    assert got == plain_quota(rows) and set(got.values()) == {"ok", "key", "global_hour", "global_day"}
+    assert [got[5000 + k] for k in range(12)] == ["ok"] * 5 + ["key"] * 7
+    assert quota.consume(frame.limit(0)).count() == 0
+
+
+def test_quota_on_the_given_table(spark):
+    from lectern.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r[0], str(r[1]), r[2]) for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double")).collect()]
+    assert dict(QUERIES["fixed_hour_quota"].plan(spark, sf).collect()) == plain_quota(rows)
+
+
+def test_alert_decisions():
+    from lectern.streaming.alerts import decide
+
+    state, seen = ("", 0.0), []
+    for problems, at in [("", 0), ("a", 1), ("a", 5), ("a", 11), ("a", 12), ("a\nb", 13), ("", 14), ("", 15), ("a", 16)]:
+        state, decision = decide(state, problems, at, 10)
+        seen.append(decision)
+    assert seen == ["none", "new", "none", "reminder", "none", "new", "resolved", "none", "new"]
+
+
+def test_lease_is_released_by_its_owner_only(spark):
+    from lectern.streaming.jobs import leases
+
+    hour = 3600
+    moves = [(1, 0, "a", False), (2, hour, "b", False), (3, 2 * hour, "b", True), (4, 3 * hour, "a", True), (5, 4 * hour, "b", False), (6, 11 * hour, "a", False)]
+    frame = spark.createDataFrame([(1, e, t, o, d) for e, t, o, d in moves], "user_id long, event_id long, ts long, owner string, done boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert dict(leases(frame, 6).collect()) == {1: "claimed", 2: "held", 3: "not_owner", 4: "released", 5: "claimed", 6: "claimed"}
 
 
 def test_link_passes(spark):
