@@ -16,7 +16,7 @@ def type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "type").rollup("type").agg(F.count("*").alias("n"), F.grouping("type").cast("long").alias("is_total"))
 
 
-@query("G05 R16 R17", f"""WITH {EDGES_SQL} SELECT graph_id, count(*) AS edges, count(*) FILTER (WHERE src_year > dst_year + 1) AS reversals, count(*) FILTER (WHERE relation = 'baseline_only') AS weak,
+@query("G05", f"""WITH {EDGES_SQL} SELECT graph_id, count(*) AS edges, count(*) FILTER (WHERE src_year > dst_year + 1) AS reversals, count(*) FILTER (WHERE relation = 'baseline_only') AS weak,
 round(avg(CASE WHEN relation = 'baseline_only' THEN 1.0 ELSE 0.0 END), 6) AS weak_ratio, count(*) FILTER (WHERE dst_year - src_year >= 2) AS late FROM edges GROUP BY graph_id""")
 def edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     weak = F.col("relation") == "baseline_only"
@@ -33,13 +33,13 @@ def chronology_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.where("older * 2 >= citers and (older >= 2 or gap >= 3)").select("node", "citers", "older")
 
 
-@query("G06 G07 G08 C18", """SELECT o_custkey AS theme, o_orderpriority AS method, count(*) AS n, grouping(o_custkey) AS total FROM orders GROUP BY GROUPING SETS ((o_custkey, o_orderpriority), (o_orderpriority), ())""")
+@query("G07 G08", """SELECT o_custkey AS theme, o_orderpriority AS method, count(*) AS n, grouping(o_custkey) AS total FROM orders GROUP BY GROUPING SETS ((o_custkey, o_orderpriority), (o_orderpriority), ())""")
 def provenance_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("theme"), F.col("o_orderpriority").alias("method"))
     return rows.groupingSets([["theme", "method"], ["method"], []], "theme", "method").agg(F.count("*").alias("n"), F.grouping("theme").cast("long").alias("total")).select("theme", "method", "n", "total")
 
 
-@query("G09 G10 G31", """SELECT l_returnflag AS model, count(*) AS n, count(*) FILTER (WHERE l_discount < 0.03) AS short, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END), 6) AS rate,
+@query("G09 G10", """SELECT l_returnflag AS model, count(*) AS n, count(*) FILTER (WHERE l_discount < 0.03) AS short, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END), 6) AS rate,
 round(count(*) FILTER (WHERE l_tax > 0.04) * 1.0 / greatest(count(*) FILTER (WHERE l_tax > 0.04 OR l_discount > 0.05), 1), 6) AS classified FROM lineitem GROUP BY l_returnflag""")
 def cache_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, guessed = F.col("l_tax") > 0.04, F.col("l_discount") > 0.05
@@ -75,7 +75,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.leave_one_out_threshold(x, [k / 10 for k in range(1, 10)]).select("held", "threshold", F.round("f1", 6).alias("f1"))
 
 
-@query("G14 G15 G29", """SELECT c_nationkey, coalesce(NULLIF(c_mktsegment, 'FURNITURE'), 'Other') AS kind, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY ALL""")
+@query("G14 G15", """SELECT c_nationkey, coalesce(NULLIF(c_mktsegment, 'FURNITURE'), 'Other') AS kind, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY ALL""")
 def cluster_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("FURNITURE")), F.lit("Other"))
     return table(spark, sf_dir, "customer").groupBy("c_nationkey", kind.alias("kind")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
@@ -87,7 +87,7 @@ def theme_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("theme")).agg(F.count("*").alias("papers"), F.min(year).alias("low"), F.max(year).alias("high"), F.bool_or(F.col("o_orderstatus") == "P").alias("pending"))
 
 
-@query("G17 G18 G19 P20 P25", """WITH c AS (SELECT o_custkey AS theme, count(*) >= 6 AS enough, avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) <= 0.5 AS settled, max(o_totalprice) > 400000 AS strong FROM orders GROUP BY o_custkey)
+@query("G17 G18 G19", """WITH c AS (SELECT o_custkey AS theme, count(*) >= 6 AS enough, avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) <= 0.5 AS settled, max(o_totalprice) > 400000 AS strong FROM orders GROUP BY o_custkey)
 SELECT theme, CAST(CAST(enough AS INTEGER) + CAST(settled AS INTEGER) + CAST(strong AS INTEGER) AS BIGINT) AS passed, CASE WHEN enough AND settled THEN CASE WHEN strong THEN 'audited' ELSE 'unaudited' END ELSE 'blocked' END AS tier FROM c""")
 def publication_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = {"enough": F.count("*") >= 6, "settled": F.avg(F.when(F.col("o_orderstatus") == "P", 1.0).otherwise(0.0)) <= 0.5, "strong": F.max("o_totalprice") > 400000}
@@ -137,19 +137,19 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query("V02 V03 V09 V11", """SELECT o_orderstatus AS method, count(*) FILTER (WHERE o_orderpriority IS NULL OR o_orderpriority = '') AS missing, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice < 1000) AS forbidden, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '2001-12-31') AS late FROM orders GROUP BY o_orderstatus""")
+@query("V02 V03", """SELECT o_orderstatus AS method, count(*) FILTER (WHERE o_orderpriority IS NULL OR o_orderpriority = '') AS missing, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice < 1000) AS forbidden, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '2001-12-31') AS late FROM orders GROUP BY o_orderstatus""")
 def provenance_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("method")).agg(
         F.count_if(F.coalesce("o_orderpriority", F.lit("")) == "").alias("missing"), F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 1000)).alias("forbidden"), F.count_if(F.col("o_orderdate") > F.lit("2001-12-31").cast("timestamp")).alias("late"))
 
 
-@query("V04 V05", """SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS INTEGER) IS NULL) AS BIGINT) AS bad, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total FROM events GROUP BY event_type""")
+@query("V04", """SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS INTEGER) IS NULL) AS BIGINT) AS bad, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total FROM events GROUP BY event_type""")
 def json_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
     return parsed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("p.k").isNull()).alias("bad"), F.sum("p.k").alias("total"))
 
 
-@query("V08 V12", """WITH o AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), w AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 2000 GROUP BY 1) SELECT o.k AS nation, coalesce(w.n, 0) * 2 < o.n AS refused FROM o LEFT JOIN w USING (k)""")
+@query("V08", """WITH o AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), w AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 2000 GROUP BY 1) SELECT o.k AS nation, coalesce(w.n, 0) * 2 < o.n AS refused FROM o LEFT JOIN w USING (k)""")
 def publish_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.count_if(F.col("c_acctbal") > 2000)
     return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg((kept * 2 < F.count("*")).alias("refused"))
@@ -164,7 +164,7 @@ def row_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVIDENCE = [("extends", "(?:ing|tion) (?:the|of)"), ("contrasts", "unter|contre"), ("uses", "\\b(?:with|mit|avec|con)\\b"), ("mentions", "[a-z]")]
 
 
-@query("C01 C06 C08 C11", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{r}'" for r, p in _EVIDENCE) + " END AS relation, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {0.88 - 0.04 * k:.2f}" for k, (_, p) in enumerate(_EVIDENCE)) + " END::DOUBLE AS confidence FROM conversations WHERE text IS NOT NULL")
+@query("C01", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{r}'" for r, p in _EVIDENCE) + " END AS relation, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {0.88 - 0.04 * k:.2f}" for k, (_, p) in enumerate(_EVIDENCE)) + " END::DOUBLE AS confidence FROM conversations WHERE text IS NOT NULL")
 def context_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
     hit = [any_of(low, [p]) for _, p in _EVIDENCE]
@@ -196,7 +196,7 @@ def relation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard(judged, F.col("survey"), (F.col("relation") == "contrasts") & ~F.col("context")).select("src", "dst", "relation", "confidence")
 
 
-@query("C17 P09 P15 P16 P17", """SELECT p_partkey, regexp_matches(lower(p_name), 'widget|gadget') AS foundational, p_type = 'PROMO' OR regexp_matches(lower(p_name), '\\b(?:red|blue)\\b') AS survey, len(string_split(p_name, ' ')) <= 2 AND p_size < 10 AS bogus FROM part""")
+@query("C17", """SELECT p_partkey, regexp_matches(lower(p_name), 'widget|gadget') AS foundational, p_type = 'PROMO' OR regexp_matches(lower(p_name), '\\b(?:red|blue)\\b') AS survey, len(string_split(p_name, ' ')) <= 2 AND p_size < 10 AS bogus FROM part""")
 def record_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("p_name")
     return table(spark, sf_dir, "part").select(
@@ -204,7 +204,7 @@ def record_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.size(F.split("p_name", " ")) <= 2) & (F.col("p_size") < 10)).alias("bogus"))
 
 
-@query("P10 P19", """WITH k AS (SELECT DISTINCT p_type AS slug, string_split(p_name, ' ')[1] AS word FROM part WHERE p_size < 3) SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.slug = p.p_type AND contains(p.p_name, k.word))""")
+@query("P10", """WITH k AS (SELECT DISTINCT p_type AS slug, string_split(p_name, ' ')[1] AS word FROM part WHERE p_size < 3) SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.slug = p.p_type AND contains(p.p_name, k.word))""")
 def theme_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a theme forbids: equal theme first, then containment."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_size")
@@ -220,7 +220,7 @@ def citing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.join(cited, "o_orderkey").orderBy(F.desc("cited"), F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "cited", F.to_date("o_orderdate").cast("string").alias("at"))
 
 
-@query("P06 P22 R19 R20 R21 W20", """SELECT vec_id, CASE WHEN label % 3 = 0 THEN 'subject' WHEN label % 3 = 1 THEN 'component' ELSE 'abstract' END AS role, CASE label % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0.5 END::DOUBLE AS weight,
+@query("W20", """SELECT vec_id, CASE WHEN label % 3 = 0 THEN 'subject' WHEN label % 3 = 1 THEN 'component' ELSE 'abstract' END AS role, CASE label % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0.5 END::DOUBLE AS weight,
 round(CAST(embedding[1] AS DOUBLE) * 10, 3) >= CASE WHEN label % 3 = 0 THEN 0 WHEN label % 3 = 1 THEN 1.25 ELSE 1 END AS admitted FROM embeddings""")
 def topic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.operators.classify import admits, seed_weight

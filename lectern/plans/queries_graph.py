@@ -51,7 +51,7 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.families(edges(spark, sf_dir).where("gap = 1"))
 
 
-@query("R03 R04 R05 R33", f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT id FROM o WHERE priority = '1-URGENT'), r(node) AS (SELECT id FROM s UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node AND e.relation IN ('extends', 'supersedes'))
+@query("R04 R05", f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT id FROM o WHERE priority = '1-URGENT'), r(node) AS (SELECT id FROM s UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node AND e.relation IN ('extends', 'supersedes'))
 SELECT id AS node, graph_id FROM o WHERE id NOT IN (SELECT node FROM r)""")
 def weak_entry_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that no chain of strong edges from an urgent node supports."""
@@ -107,7 +107,7 @@ def theme_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(initials.alias("acronym")).agg(F.count("*").alias("papers")).where("papers >= 2")
 
 
-@query("R30 R34", f"""WITH {EDGES_SQL}, x AS (SELECT *, CASE WHEN relation = 'baseline_only' THEN 'relation' WHEN src_year > dst_year THEN 'order' WHEN gap > 1 THEN 'hop' ELSE 'shown' END AS reason FROM edges) SELECT reason, count(*) AS n FROM x GROUP BY reason""")
+@query("R30", f"""WITH {EDGES_SQL}, x AS (SELECT *, CASE WHEN relation = 'baseline_only' THEN 'relation' WHEN src_year > dst_year THEN 'order' WHEN gap > 1 THEN 'hop' ELSE 'shown' END AS reason FROM edges) SELECT reason, count(*) AS n FROM x GROUP BY reason""")
 def focus_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(F.col("relation") == "baseline_only", "relation").when(F.col("src_year") > F.col("dst_year"), "order").when(F.col("gap") > 1, "hop").otherwise("shown")
     return edges(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
@@ -120,7 +120,7 @@ def same_year_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.longest_depth(small, edges(spark, sf_dir).where("src_year = dst_year").select("src", "dst"))
 
 
-@query("R18 D22", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice > 450000 THEN 'young' END, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 300000 THEN 'event' END], lambda x: x IS NOT NULL), ',') AS reasons FROM orders WHERE o_totalprice > 450000 OR (o_orderpriority = '1-URGENT' AND o_totalprice > 300000)""")
+@query("R18", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice > 450000 THEN 'young' END, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 300000 THEN 'event' END], lambda x: x IS NOT NULL), ',') AS reasons FROM orders WHERE o_totalprice > 450000 OR (o_orderpriority = '1-URGENT' AND o_totalprice > 300000)""")
 def suspect_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     young, event = F.col("o_totalprice") > 450000, (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000)
     reasons = F.array_join(F.array_compact(F.array(F.when(young, "young"), F.when(event, "event"))), ",")

@@ -27,7 +27,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.csv_rows(spark, path, "doc_id long, title string, tags string").withColumn("title", text.formula_unguard(F.col("title")))
 
 
-@query("K02 S03 S04 S25 T02", """SELECT o_orderkey AS id, count(*) AS lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+@query("K02 S03 T02", """SELECT o_orderkey AS id, count(*) AS lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
     orders, path = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), _place(spark, "json")
@@ -44,7 +44,7 @@ def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.agg(F.count("*").alias("good")).crossJoin(bad.agg(F.count("*").alias("quarantined")))
 
 
-@query("S01 S02 S07 K09", f"""SELECT 'doc:' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a & b <c>' ELSE lang END AS title, CAST(1 + doc_id % 2 AS INTEGER) AS authors FROM documents""")
+@query("S01 S02 K09", f"""SELECT 'doc:' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a & b <c>' ELSE lang END AS title, CAST(1 + doc_id % 2 AS INTEGER) AS authors FROM documents""")
 def atom_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("Ann Lee").alias("name")))).otherwise(F.array(F.struct(F.lit("Ann Lee").alias("name")), F.struct(F.lit("Bo Yu").alias("name"))))
     feed = table(spark, sf_dir, "documents").select(
@@ -72,7 +72,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("stage string, n long").json(path).groupBy("stage").agg(F.sum("n").alias("n"))
 
 
-@query("K03 K04 K15", """SELECT '* ' || o_orderkey || ' (' || o_orderstatus || ') ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS line FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
+@query("K03", """SELECT '* ' || o_orderkey || ' (' || o_orderstatus || ') ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS line FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("* "), F.col("o_orderkey"), F.lit(" ("), F.col("o_orderstatus"), F.lit(") "), F.floor("o_totalprice").cast("string"))
     return exports.digest_lines(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")], line, 25)
@@ -86,7 +86,7 @@ def bibtex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.bibtex_fields(part.select("p_partkey", entry.alias("entry")), "entry", ["title", "author"]).drop("entry")
 
 
-@query("S06 S28 F50", """SELECT conv_id AS id, role AS venue, length(coalesce(text, '')) AS n FROM conversations WHERE turn = 0""")
+@query("S06 S28", """SELECT conv_id AS id, role AS venue, length(coalesce(text, '')) AS n FROM conversations WHERE turn = 0""")
 def nested_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def value(c):
         return F.struct(c.alias("value"))
@@ -112,7 +112,7 @@ def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("page_id").agg(F.count("*").alias("contexts"))
 
 
-@query("S19 S22 S23 S24", """SELECT l_partkey AS work, 'references' AS kind, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey UNION ALL SELECT l_orderkey, 'citations', count(DISTINCT l_partkey) FROM lineitem GROUP BY l_orderkey""")
+@query("S20", """SELECT l_partkey AS work, 'references' AS kind, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey UNION ALL SELECT l_orderkey, 'citations', count(DISTINCT l_partkey) FROM lineitem GROUP BY l_orderkey""")
 def related_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
     def side(work: str, other: str, kind: str) -> DataFrame:
@@ -128,14 +128,14 @@ def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.source_status(rows, "source", "keyword", "total", "one")
 
 
-@query("S29 S31 S32 F04", """SELECT o_custkey, min(o_orderkey) FILTER (WHERE k = 1) AS first_oral, count(*) AS orals FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_custkey""")
+@query("S30", """SELECT o_custkey, min(o_orderkey) FILTER (WHERE k = 1) AS first_oral, count(*) AS orals FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_custkey""")
 def oral_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     oral = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     first = F.min(F.struct("o_orderdate", "o_orderkey"))
     return oral.groupBy("o_custkey").agg(first.alias("f"), F.count("*").alias("orals")).select("o_custkey", F.col("f.o_orderkey").alias("first_oral"), "orals")
 
 
-@query("F55 S27", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
+@query("F55", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
 def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a language model: JSON inside a code fence with text around it."""
     answer = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```"))
@@ -143,7 +143,7 @@ def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(inner, "k int").getField("k").alias("k"))
 
 
-@query("F62 F40 K08 V14", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[*_%$#&|!]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS tidy FROM (SELECT doc_id, {TITLE_SQL} AS t FROM documents)""")
+@query("F40 K08", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[*_%$#&|!]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS tidy FROM (SELECT doc_id, {TITLE_SQL} AS t FROM documents)""")
 def tidy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.regexp_replace(title_of(F.col("text")), "[*_%$#&|!]+", " ")).alias("tidy"))
 

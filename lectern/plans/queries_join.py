@@ -11,7 +11,7 @@ from lectern.plans.registry import query
 from lectern.plans.views import EDGES_SQL, PAPERS_SQL, edges, nodes, papers, table
 
 
-@query("D01 D02 U02", """SELECT min(doc_id) AS doc_id, sha256(text) AS uid, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text""")
+@query("D02 U02", """SELECT min(doc_id) AS doc_id, sha256(text) AS uid, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text""")
 def uid_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("uid"))
     return docs.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -66,7 +66,7 @@ def merged_title_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.remap_edges(edges(spark, sf_dir).select("graph_id", "src", "dst"), kept, "id", "kept")
 
 
-@query("D07 D08", """WITH p AS (SELECT p_partkey, p_name, p_size, p_brand, string_split(p_name, ' ')[1] AS prefix FROM part)
+@query("D07", """WITH p AS (SELECT p_partkey, p_name, p_size, p_brand, string_split(p_name, ' ')[1] AS prefix FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.prefix = b.prefix AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 1
 WHERE len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) = len(string_split(a.p_name, ' '))""")
 def versioned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def id_batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey").join(urgent, "l_orderkey")
 
 
-@query("J06", """WITH l AS (SELECT s_suppkey, s_nationkey, CAST(floor(s_acctbal / 50) AS BIGINT) AS k FROM supplier), r AS (SELECT c_custkey, c_nationkey, CAST(floor(c_acctbal / 50) AS BIGINT) AS k FROM customer)
+@query("J21", """WITH l AS (SELECT s_suppkey, s_nationkey, CAST(floor(s_acctbal / 50) AS BIGINT) AS k FROM supplier), r AS (SELECT c_custkey, c_nationkey, CAST(floor(c_acctbal / 50) AS BIGINT) AS k FROM customer)
 SELECT s_suppkey, c_custkey FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey, k) AS n FROM l) a JOIN (SELECT *, count(*) OVER (PARTITION BY c_nationkey, k) AS n FROM r) b ON s_nationkey = c_nationkey AND a.k = b.k WHERE a.n = 1 AND b.n = 1""")
 def unique_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(":", "s_nationkey", F.floor(F.col("s_acctbal") / 50)).alias("key"))
@@ -127,7 +127,7 @@ def reconcile_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.reconcile(part.where("p_size < 25").select("p_name"), part.where("p_size > 20 and p_partkey % 3 = 0").select("p_name"), "p_name")
 
 
-@query("J22", """SELECT o_orderkey, l_partkey AS best FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 365 DAY AND o_orderdate + INTERVAL 1095 DAY
+@query("J12", """SELECT o_orderkey, l_partkey AS best FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 365 DAY AND o_orderdate + INTERVAL 1095 DAY
 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_quantity DESC, l_discount DESC, l_partkey, l_linenumber) = 1""")
 def best_match_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity", "l_discount", "l_shipdate", "l_linenumber")
@@ -195,7 +195,7 @@ def reference_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("o_orderkey").agg(F.bool_or(same).alias("listed"))
 
 
-@query("U03 U04 U05 U08 U09 V13", """WITH old AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 3), new AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 2)
+@query("U03", """WITH old AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 3), new AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 2)
 SELECT (SELECT count(*) FROM old) AS before, (SELECT count(*) FROM new) AS after, (SELECT count(*) FROM old ANTI JOIN new USING (doc_id)) AS lost, (SELECT count(*) FROM new ANTI JOIN old USING (doc_id)) AS gained, (SELECT count(*) FROM new) < 0.9 * (SELECT count(*) FROM old) AS refused""")
 def shrink_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -222,7 +222,7 @@ def reverse_edge_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.one_direction(forward.unionByName(back), [F.asc("inv"), F.asc("src")]).select("graph_id", "src", "dst")
 
 
-@query("D21 P12 P13", """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE coalesce(l_returnflag <> 'N', true) AND (l_extendedprice <= 2 * o_totalprice OR l_linestatus = 'O') AND length(trim(o_orderpriority)) >= 6""")
+@query("P13", """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE coalesce(l_returnflag <> 'N', true) AND (l_extendedprice <= 2 * o_totalprice OR l_linestatus = 'O') AND length(trim(o_orderpriority)) >= 6""")
 def offtopic_reference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem").where(F.coalesce(F.col("l_returnflag") != "N", F.lit(True)))

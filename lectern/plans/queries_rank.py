@@ -15,7 +15,7 @@ _KEYWORD_SQL = " + ".join(f"CASE WHEN contains(regexp_replace(lower(abstract), '
 
 
 @query(
-    "W01 F01 F02 P01 J01 S03 U01",
+    "W01 F01 F02 P01 U01",
     f"""WITH {PAPERS_SQL},
 s AS (SELECT uid, ord, title, least(({_KEYWORD_SQL}) / 3.0, 1.0) * 100 AS k, least(n_chars / 5000.0, 1.0) * 100 AS l, CAST(coalesce(quality, 0) AS DOUBLE) * 100 AS q
   FROM papers WHERE category IN ('en', 'de', 'fr') AND published_date >= '2019-01-01' AND NOT contains(lower(title || ' ' || abstract), 'moron'))
@@ -31,7 +31,7 @@ def weighted_top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "P02 P03 T03",
+    "P02 P03",
     """WITH last AS (SELECT max(ts) AS now FROM events), seen AS (SELECT DISTINCT user_id FROM events, last WHERE ts > now - INTERVAL 2 DAY)
 SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM seen WHERE user_id IS NOT NULL)""",
 )
@@ -43,7 +43,7 @@ def seen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "F06 F07 F09 F10 F46 J02 J05 D20",
+    "F06 F07 F09 F10 F46 D20",
     """WITH c AS (SELECT p_partkey, count(l_orderkey) AS cites, min(l_shipdate) AS first FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
 SELECT p_partkey, cites, round(least(cites / greatest(date_diff('day', least(first, TIMESTAMP '2001-01-01'), TIMESTAMP '2001-01-01'), 1) / 2.0, 1.0) * 100, 6) AS velocity,
   round(ln(least(cites, 10000) + 1.0) / ln(10001.0) * 100, 6) AS stars, round((cites + 1) / greatest(p_size / 10.0, 0.5) * CASE WHEN p_type = 'PROMO' THEN 0.3 ELSE 1.0 END, 6) AS seed,
@@ -62,7 +62,7 @@ def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "F03 F04 F48 F05",
+    "F03",
     """SELECT c_custkey, CASE upper(trim(c_mktsegment)) WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 0 END AS tier,
 CASE upper(trim(c_mktsegment)) WHEN 'BUILDING' THEN 100 WHEN 'MACHINERY' THEN 100 WHEN 'AUTOMOBILE' THEN 80 WHEN 'HOUSEHOLD' THEN 60 ELSE 30 END AS venue_score,
 CASE WHEN lower(c_name) = 'customer#000000007' THEN 100 WHEN contains(lower(n_name), 'nation_1') THEN 50 ELSE 0 END AS follow_score FROM customer JOIN nation ON n_nationkey = c_nationkey""",
@@ -76,7 +76,7 @@ def venue_and_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W03 P05 W04 P07 P04",
+    "W03 P05 W04",
     f"""WITH {PAPERS_SQL}, r AS (SELECT ord, title, category, CASE WHEN lower(title) = 'the and of' THEN 0 WHEN contains(lower(title), 'the') THEN 1 WHEN contains(lower(source), 'the') THEN 2 ELSE 3 END AS rank,
   CAST(substr(published_date, 1, 4) AS INTEGER) AS yr FROM papers WHERE category = 'en' AND (contains(lower(title), 'the') OR contains(lower(abstract), 'thea')))
 SELECT ord, title, rank, yr FROM r ORDER BY rank, yr DESC NULLS LAST, ord LIMIT 20 OFFSET 20""",
@@ -90,7 +90,7 @@ def facet_search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W05 W06 W21 F40",
+    "W05 W06 F40",
     """SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY CASE WHEN p_brand = 'Brand#1' THEN 0 ELSE 1 END, lower(regexp_replace(p_name, '^[^0-9A-Za-z]+', '')), p_partkey) AS pos FROM part QUALIFY pos <= 10""",
 )
 def catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W07 W11 R26",
+    "W07 W11",
     """SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) AS pos
 FROM lineitem QUALIFY pos <= 3""",
 )
@@ -110,7 +110,7 @@ def influential_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W02 W08 W10 W12 W13",
+    "W08 W10",
     """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' ORDER BY CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END,
 o_totalprice * CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.5 ELSE 0.25 END DESC, o_orderkey LIMIT 300""",
 )
@@ -121,7 +121,7 @@ def ranked_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W14 W15 W16",
+    "W15",
     """WITH d AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY l_orderkey), j AS (SELECT o_custkey, o_orderkey, coalesce(degree, 0) AS degree FROM orders LEFT JOIN d ON l_orderkey = o_orderkey)
 SELECT o_custkey, o_orderkey AS root, degree FROM j QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY degree DESC, o_orderkey) = 1""",
 )
@@ -158,7 +158,7 @@ def hub_set_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "X07 F43 K10",
+    "X07 K10",
     """WITH b AS (SELECT p_partkey, regexp_replace(lower(list_last(string_split(trim(p_name), ' '))), '[^a-z0-9]', '', 'g') || CAST(1990 + p_size % 10 AS VARCHAR) AS base FROM part),
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS nth FROM b)
 SELECT p_partkey, base || CASE WHEN nth = 1 THEN '' WHEN nth <= 27 THEN chr(CAST(95 + nth AS INTEGER)) ELSE CAST(nth AS VARCHAR) END AS key FROM n""",

@@ -39,7 +39,7 @@ def expiry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.crossJoin(F.broadcast(now)).agg(F.count_if(~live).alias("deleted"), F.count_if(live).alias("live"), F.min(F.when(live, F.col("until"))).alias("next_alarm"))
 
 
-@query("T01 T02 S27", """SELECT user_id, min(ts) AS first_seen, count(*) AS hits FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+@query("T01 T02", """SELECT user_id, min(ts) AS first_seen, count(*) AS hits FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
 def seen_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of arrivals merged into one state, as an idempotent upsert."""
     events = table(spark, sf_dir, "events").where("user_id is not null")

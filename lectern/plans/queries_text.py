@@ -45,7 +45,7 @@ def stable_id_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", paper.alias("paper_id"), F.substring(paper, 1, 2).alias("shard"))
 
 
-@query("D12 D13 F13 F14 F15 F58 S08", """WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS path FROM pages)
+@query("D12 D13", """WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, regexp_replace(host, '^(www|m|blog)\\.', '') AS source, regexp_extract(path, '^([a-z]{2})/([0-9]+)', 1) AS lang, regexp_extract(path, '^([a-z]{2})/([0-9]+)', 2) AS source_id,
   substr(sha256('lectern:v1:' || regexp_replace(host, '^(www|m|blog)\\.', '') || ':' || regexp_extract(path, '^([a-z]{2})/([0-9]+)', 2)), 1, 40) AS paper_id FROM u""")
 def identity_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def tag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by(counts, ["source"], [F.desc("n"), F.asc("first"), F.asc("tag")], 6)
 
 
-@query("F36 F42 F59 F39", f"""SELECT doc_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64), '-+$', '') AS slug,
+@query("F36 F42 F39", f"""SELECT doc_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64), '-+$', '') AS slug,
 regexp_replace(t, '([&%$#_{{}}])', '\\\\\\1', 'g') AS escaped, CASE WHEN length(w) >= 5 AND w LIKE '%es' THEN [w, regexp_replace(w, 's$', ''), regexp_replace(w, 'es$', '')] WHEN length(w) >= 5 AND w LIKE '%s' THEN [w, regexp_replace(w, 's$', '')] ELSE [w] END AS variants
 FROM (SELECT doc_id, {TITLE_SQL} AS t, lower(string_split({TITLE_SQL}, ' ')[1]) AS w FROM documents)""")
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def single_word_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typo_pairs(table(spark, sf_dir, "part").select(v.alias("id"), name.alias("title")))
 
 
-@query("F16 F12 F17", """SELECT o_orderkey, CASE WHEN m BETWEEN 1 AND 12 THEN CASE WHEN yy >= 91 THEN 1900 + yy ELSE 2000 + yy END END AS id_year, CASE WHEN yr - (1990 + o_orderkey % 10) >= 3 THEN 1990 + o_orderkey % 10 END AS trusted
+@query("F12", """SELECT o_orderkey, CASE WHEN m BETWEEN 1 AND 12 THEN CASE WHEN yy >= 91 THEN 1900 + yy ELSE 2000 + yy END END AS id_year, CASE WHEN yr - (1990 + o_orderkey % 10) >= 3 THEN 1990 + o_orderkey % 10 END AS trusted
 FROM (SELECT o_orderkey, year(o_orderdate) AS yr, CAST(substr(x, 1, 2) AS INTEGER) AS yy, CAST(substr(x, 3, 2) AS INTEGER) AS m FROM (SELECT *, strftime(o_orderdate, '%y') || lpad(CAST(o_orderkey % 15 AS VARCHAR), 2, '0') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS x FROM orders))""")
 def record_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.functions.identity import id_year, trustworthy_year
@@ -129,7 +129,7 @@ def record_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", id_year(code).alias("id_year"), trustworthy_year(F.year("o_orderdate"), 1990 + key % 10).alias("trusted"))
 
 
-@query("F35 F38 F18 F19 F37")
+@query("F35 F38 F18")
 def unicode_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compatibility forms and marks need Python's tables: an Arrow function, tested against unicodedata."""
     from lectern.functions.unicode import fuzzy_title
@@ -193,7 +193,7 @@ def query_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         highlight.token_distance(words, "red", "widget").cast("long").alias("apart"), highlight.topic_relevant(F.lit(""), "red widget", title=name).alias("relevant"))
 
 
-@query("F50 C19 F54", """SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY o_orderkey)) AS fingerprint, avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END) AS template_ratio,
+@query("C19 F54", """SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY o_orderkey)) AS fingerprint, avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END) AS template_ratio,
 CASE WHEN avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'good' WHEN avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END) < 0.7 THEN 'mixed' ELSE 'poor' END AS tier FROM orders GROUP BY o_custkey""")
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.functions.rules import quality_tier
