@@ -37,3 +37,20 @@ def leave_one_out_threshold(rows: DataFrame, grid: list[float]) -> DataFrame:
     rest = by.join(whole, "t").select(F.col("fold").alias("held"), "t", *((F.col(f"_{c}") - F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
     f1 = F.lit(2.0) * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))
     return rest.groupBy("held").agg(F.max(F.struct(f1.alias("f1"), F.col("t").alias("threshold"))).alias("b")).select("held", "b.threshold", "b.f1")
+
+
+def schema_issues(rows: DataFrame, key: str, rules: list[tuple]) -> DataFrame:
+    """(key, issues) of rows that break rules (path, kind, …): required, min, max, in a closed set, or matching a pattern.
+    A missing value breaks ``required`` only."""
+    def broken(path: str, kind: str, *given) -> tuple[Column, str]:
+        c = F.col(path)
+        return {
+            "required": lambda: (c.isNull(), f"{path}: required"),
+            "min": lambda: (c < given[0], f"{path}: below {given[0]}"),
+            "max": lambda: (c > given[0], f"{path}: above {given[0]}"),
+            "in": lambda: (~c.isin(given[0]), f"{path}: not listed"),
+            "pattern": lambda: (~F.regexp(c, F.lit(given[0])), f"{path}: no match"),
+        }[kind]()
+
+    issues = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), message) for bad, message in (broken(*rule) for rule in rules))))
+    return rows.select(key, issues.alias("issues")).where("size(issues) > 0")

@@ -39,10 +39,49 @@ def versioned(spark: SparkSession, path: str, schema: str, version: int) -> Data
     return spark.read.schema(f"{schema}, schema_version int").json(path).where(F.col("schema_version") == version).drop("schema_version")
 
 
-def listing_rows(pages: DataFrame, block: str, fields: dict[str, str], html: str = "html") -> DataFrame:
-    """One row per match of a block pattern in a listing page, its fields by pattern, the first of repeated keys."""
-    blocks = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(F.col(html), F.lit(block), F.lit(0))).alias("pos", "_block"))
-    return blocks.select("*", *(collapse(F.regexp_extract("_block", p, 1)).alias(n) for n, p in fields.items())).drop("_block")
+def listing_rows(pages: DataFrame, block: str, fields: dict[str, str], html: str = "html", key: str | None = None) -> DataFrame:
+    """One row per match of a block pattern in a listing page, its fields by pattern. With a ``key`` field, blocks that
+    lack a field are malformed and left out, and of repeated keys of a page the first stays."""
+    own = [c for c in pages.columns if c != html]
+    blocks = pages.select(*own, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(block), F.lit(0))).alias("pos", "_block"))
+    rows = blocks.select("*", *(collapse(F.regexp_extract("_block", p, 1)).alias(n) for n, p in fields.items())).drop("_block")
+    if key is None:
+        return rows
+    whole = rows.where(" and ".join(f"`{n}` <> ''" for n in fields))
+    rest = [c for c in whole.columns if c not in (*own, key)]
+    first = whole.groupBy(*own, key).agg(F.min_by(F.struct(*rest), "pos").alias("_f"))
+    return first.select(*own, key, *(F.col(f"_f.{c}") for c in rest))
+
+
+def anthology_papers(spark: SparkSession, path: str, collection: str, volumes: list[str]) -> DataFrame:
+    """(stub, title, authors) of an anthology's XML: papers with a title and authors in the main volumes, by their own
+    children only; the stub is made of collection, volume and paper, the first of repeated stubs stays."""
+    person = "struct<first: string, last: string>"
+    whole = spark.read.format("xml").option("rowTag", "volume").schema(f"_id string, paper array<struct<_id: string, title: string, author: array<{person}>>>").load(path)
+    rows = whole.where(F.col("_id").isin(volumes)).select(F.col("_id").alias("volume"), F.posexplode("paper").alias("pos", "p"))
+    names = F.filter(F.transform(F.coalesce("p.author", F.array().cast(f"array<{person}>")), lambda a: F.trim(F.concat_ws(" ", a["first"], a["last"]))), lambda n: n != "")
+    papers = rows.select(F.concat(F.lit(f"{collection}-"), "volume", F.lit("."), "p._id").alias("stub"), "pos", F.col("p.title").alias("title"), names.alias("names")).where((F.coalesce("title", F.lit("")) != "") & (F.size("names") > 0))
+    return papers.groupBy("stub").agg(F.min_by(F.struct("title", F.array_join("names", "; ").alias("authors")), "pos").alias("f")).select("stub", "f.title", "f.authors")
+
+
+def bibliography_records(spark: SparkSession, path: str) -> DataFrame:
+    """(key, title, venue, year, authors) of a query answer's bindings, each a struct of a text value."""
+    value = "struct<value: string>"
+    rows, _ = json_rows(spark, path, f"pub {value}, title {value}, venue {value}, year {value}, authors {value}")
+    return rows.select(
+        F.regexp_replace("pub.value", "^https://dblp\\.org/rec/", "").alias("key"), F.col("title.value").alias("title"), F.col("venue.value").alias("venue"), F.col("year.value").try_cast("int").alias("year"),
+        F.filter(F.split(F.coalesce("authors.value", F.lit("")), "\\|"), lambda a: a != "").alias("authors"))
+
+
+def alias_claims(rows: DataFrame) -> DataFrame:
+    """(namespace, value, first, claims, unique_claim) of rows(namespace, value, paper): how many papers an alias names."""
+    return rows.groupBy("namespace", "value").agg(F.min("paper").alias("first"), F.countDistinct("paper").alias("claims")).withColumn("unique_claim", F.col("claims") == 1)
+
+
+def flipped_names(cell):
+    """Names of a cell as First Last: parted by " and " or semicolons, each turned round at its comma."""
+    names = F.split(cell, r"\s+and\s+|\s*;\s*")
+    return F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"^\s*([^,]+),\s*(.+?)\s*$", "$2 $1"))), lambda n: n != "")
 
 
 def context_sentences(pages: DataFrame, cue: str, most: int = 5, html: str = "html") -> DataFrame:
