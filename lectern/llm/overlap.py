@@ -11,10 +11,14 @@ Search, in two steps that only propose pairs; every pair is verified by its sets
    similarity share one of the first ``n - ceil(0.8 n) + 1``. Beyond these prefixes they can share no more than the
    longer of the two rests holds, so the pair must share enough of the prefixes themselves (near half of them, for sets
    of one size): a passage that two texts quote is not enough. Only pairs that step 1 has not joined are proposed. What
-   counts as rare is estimated from a bounded sample; it decides how many pairs are proposed, never the result.
-
-Shingles are compared by their XXH64 values. Time grows with the square of the texts that share a rare shingle,
-differ by less than the threshold allows in length, and were not joined in step 1.
+   counts as rare is estimated from a bounded sample first. Texts with a shingle among these that more than ``_CROWD``
+   have are set apart: their shingles are counted exactly among them, and pairs of two such texts are proposed by
+   prefixes in that order, in which what many texts quote comes last. Counts decide how many pairs are proposed, never
+   the result.
+
+Shingles are compared by their XXH64 values. Every shuffle is linear in the texts; pairs grow with the square of a group
+only among texts that share more than four fifths of their shingles with others, have near lengths, and were not joined in
+step 1.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from lectern.plans.storage import materialize
 
 WIDTH = 5
 _TOLD = 1 << 20  # pairs that a task counts at once
+_CROWD = 32  # texts of a key whose pairs are told without counting exactly
 SAMPLE, COMMON = 4_000, 100_000  # texts of the sample, and shingles that are known to be common
 
 
@@ -116,8 +121,9 @@ def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
                 yield np.full(int(far.sum()), v[at]), v[at + 1 : end][far], least_shared(n[at], n[at + 1 : end][far])
 
 
-def prefix_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b) of the (key, n, node, component) rows: pairs that share so many keys that they may be similar.
+def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
+    """(a, b, need, shared) of the (key, n, node, component) rows: pairs that share keys, how many they must share to be
+    similar, and how many they do. With ``crowd``, keys of more rows tell their nodes only, as (a, null, 0, 0).
 
     Each pair is told once for each key that it shares, and counted; counting begins in the task.
     """
@@ -131,9 +137,22 @@ def prefix_pairs(keyed: DataFrame) -> DataFrame:
         shared = np.diff(np.r_[first, len(a)])
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(need[first]), pa.array(shared)], names=["a", "b", "need", "shared"])
 
+    def crowded(nodes: np.ndarray) -> pa.RecordBatch:
+        nodes, zero = np.unique(nodes), pa.array(np.zeros(len(np.unique(nodes)), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), zero, zero], names=["a", "b", "need", "shared"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for whole in simhash.whole_keys(batches, 4):
+            if crowd is not None:
+                first = np.flatnonzero(np.r_[True, whole[0][1:] != whole[0][:-1]])
+                sizes = np.diff(np.r_[first, len(whole[0])])
+                many = np.repeat(sizes > crowd, sizes)
+                if many.any():
+                    yield crowded(whole[2][many])
+                    whole = [c[~many] for c in whole]
+                    if not len(whole[0]):
+                        continue
             for some in _group_pairs(whole):
                 if len(some[0]):
                     found.append(some)
@@ -145,8 +164,37 @@ def prefix_pairs(keyed: DataFrame) -> DataFrame:
             yield told(found)
 
     dealt = keyed.select("key", "n", "node", "component").repartition("key").sortWithinPartitions("key", "n")
-    counted = dealt.mapInArrow(run, "a long, b long, need long, shared long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
-    return counted.where("shared >= need").select("a", "b")
+    return dealt.mapInArrow(run, "a long, b long, need long, shared long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
+
+
+def counted_prefixes(texts_of: DataFrame) -> DataFrame:
+    """(node, key): the prefixes of the nodes of (node, text) rows, in the order of exact counts among them. Shingles that
+    only one of them has come first in every prefix and are left out."""
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, own = batch.column(0).to_numpy(), [shingle_set(c.as_py()) for c in batch.column(1)]
+        own = [s if set_name(s) == name else s[:0] for s, name in zip(own, names.tolist(), strict=True)]  # not another text under the same id
+        sizes = np.array([len(s) for s in own], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(sizes, sizes))], names=["key", "node", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n in simhash.whole_keys(batches, 3):
+            order = np.lexsort((node, key))
+            key, node, n = key[order], node[order], n[order]
+            once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # rows that repeat
+            key, node, n = key[once], node[once], n[once]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[first, len(key)])
+            count = np.repeat(sizes, sizes)
+            kept = count > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (key, node, n, count)], names=["key", "node", "n", "count"])
+
+    every = map_batches(texts_of.select("node", "text"), shingles, "key long, node long, n long").repartition("key").sortWithinPartitions("key")
+    shared = every.mapInArrow(counted, "key long, node long, n long, count long")
+    ordered = shared.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "key"))).alias("own"))
+    alone, prefix_size = F.col("n") - F.size("own"), F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
+    taken = F.slice("own", F.lit(1), F.greatest(prefix_size - alone, F.lit(0)).cast("int"))
+    return ordered.select("node", F.explode(F.transform(taken, lambda x: x["key"])).alias("key"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:
@@ -201,10 +249,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = verified(near, nodes, src)
     joined = materialize(connected_components(first), "overlap-joined")
 
-    rows = nodes.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("key"))
-    rest = materialize(prefix_pairs(rows).join(near, ["a", "b"], "left_anti"), "overlap-rest")
+    placed = materialize(nodes.join(joined, "node", "left").select("node", "n", "id", "keys", F.coalesce("component", "node").alias("component")), "overlap-placed")
+    told = materialize(prefix_pairs(placed.select("node", "n", "component", F.explode("keys").alias("key")), _CROWD), "overlap-told")
+    crowd = materialize(told.where("b is null").select(F.col("a").alias("node")), "overlap-crowd")
+    among = crowd.select(F.col("node").alias("a"), F.lit(True).alias("a_in"))
+    pairs = told.where("b is not null and shared >= need").join(among, "a", "left").join(among.toDF("b", "b_in"), "b", "left").where("a_in is null or b_in is null").select("a", "b")
+    apart = placed.join(crowd, "node")
+    keys = counted_prefixes(src.join(apart.select("id", "node"), "id"))
+    further = prefix_pairs(apart.select("node", "n", "component").join(keys, "node")).where("shared >= need").select("a", "b")
+    rest = materialize(pairs.unionByName(further).join(near, ["a", "b"], "left_anti"), "overlap-rest")
     second = verified(rest, nodes, src)
     components = materialize(connected_components(first.unionByName(second)), "overlap-components")
 
-    labelled = found.select("id", "node").join(components, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    return labelled.join(labelled.groupBy("component").agg(F.min("id").alias("keeper")), "component").select("id", "keeper")
+    labelled = nodes.select("id", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keepers = labelled.join(labelled.groupBy("component").agg(F.min("id").alias("keeper")), "component").select("node", "keeper")
+    return found.select("id", "node").join(keepers, "node").select("id", "keeper")

@@ -44,6 +44,27 @@ def test_planted_pairs_around_the_threshold(spark):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == plain_kept(rows)
 
 
+def test_passages_that_a_crowd_quotes(spark):
+    """More texts than a key tells pairs of share a passage; copies of them differ elsewhere or within it."""
+    rng, rows = random.Random(8), []
+    passage = [f"p{k}" for k in range(60)]
+    for k in range(70):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 20, 120]))]
+        text = base[: len(base) // 2] + passage + base[len(base) // 2 :]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(rng.randrange(3)):
+            copy = list(text)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(3, rows[3][1]), (5, "another text under an id that is taken by one of the crowd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_row = [(k, t) for k, (_, t) in enumerate(rows)]
+    kept = plain_kept(by_row[:-2])
+    got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert got - {5} == kept - {5}
+
+
 def test_prefixes_of_similar_sets_meet_in_any_order():
     rng = np.random.default_rng(3)
     for _ in range(300):
