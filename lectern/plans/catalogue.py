@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from lectern.plans import queries_agg, queries_catalog, queries_classify, queries_graph, queries_io, queries_join, queries_landed, queries_rank, queries_records, queries_state, queries_text  # noqa: F401
+from lectern.plans import queries_agg, queries_catalog, queries_classify, queries_evidence, queries_graph, queries_io, queries_join, queries_landed, queries_rank, queries_records, queries_state, queries_text  # noqa: F401
 from lectern.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
