@@ -128,3 +128,34 @@ def chronology_inversions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     gap = F.col("earliest") - F.col("year")
     by = cited.where("earliest is not null and year is not null").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("citers"), F.count_if(gap > 1).alias("inverted"), F.max(gap).alias("gap"))
     return by.where("inverted > 0").select("id", "inverted", "citers", "gap", ((F.col("inverted") * 2 >= F.col("citers")) & ((F.col("inverted") >= 2) | (F.col("gap") >= 3))).alias("dropped"))
+
+
+def merge_aliases(rows: DataFrame, aliases: DataFrame, fill: list[str]) -> DataFrame:
+    """One row for each set of rows(id, cites, seed, …) that aliases(id, alias) join: the member of most citations, then of
+    least id, survives; its blank fields are filled from the first member that has them; all aliases go along. Different
+    seeds in one set are a conflict, which is told and not resolved.
+    """
+    from lectern.operators.dedup import components_by_key
+
+    parts = components_by_key(aliases, "id", "alias").withColumnsRenamed({"node": "id"})
+    member = rows.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = aliases.join(parts, "id").groupBy("component").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+    def first(c: str) -> Column:
+        value = F.nullif(F.col(c), F.lit(""))
+        return F.min_by(value, F.when(value.isNotNull(), F.col("id"))).alias(f"_{c}")
+
+    merged = member.groupBy("component").agg(
+        F.max_by(F.struct("id", *fill), F.struct("cites", -F.col("id"))).alias("s"), F.count("*").alias("members"), (F.countDistinct("seed") > 1).alias("conflict"), *(first(c) for c in fill))
+    filled = [F.coalesce(F.nullif(F.col(f"s.{c}"), F.lit("")), F.col(f"_{c}")).alias(c) for c in fill]
+    return merged.join(names, "component", "left").select(F.col("s.id").alias("id"), "members", "conflict", *filled, F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def bundle_faults(files: DataFrame, required: list[str], forbidden: list[str]) -> DataFrame:
+    """(name, fault) of a release's files(name, content): required ones that are missing, JSON that can't be read, and names
+    under a forbidden prefix."""
+    spark = files.sparkSession
+    missing = spark.createDataFrame([(n,) for n in required], "name string").join(files.select("name"), "name", "left_anti").select("name", F.lit("missing").alias("fault"))
+    broken = files.where(F.endswith("name", F.lit(".json")) & F.expr("try_parse_json(content)").isNull()).select("name", F.lit("unreadable").alias("fault"))
+    barred = files.where(F.regexp("name", F.lit("^(?:" + "|".join(forbidden) + ")"))).select("name", F.lit("forbidden").alias("fault"))
+    return missing.unionByName(broken).unionByName(barred)

@@ -233,3 +233,25 @@ def resolved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = matching.versioned_pairs(rows).select(F.col("a").alias("candidate"), F.col("b").alias("id"))
     registered = rows.where("preprint is null").select("id", "key", "year")
     return matching.resolve_titles(registered, rows.where("preprint is not null").select(F.col("id").alias("candidate"), "key", "year"), versions)
+
+
+@query("D03 D05 D09", """WITH p AS (SELECT p_partkey AS id, p_partkey // 6 * 6 + CASE WHEN p_partkey % 6 < 4 THEN 0 ELSE 4 END AS c, CAST(floor(p_retailprice) AS BIGINT) AS cites, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE '' END AS abstract, CASE WHEN p_partkey % 9 < 2 THEN p_partkey % 9 END AS seed FROM part),
+g AS (SELECT c, arg_max(id, (cites, -id)) AS id, arg_max(abstract, (cites, -id)) AS own, arg_min(abstract, id) FILTER (WHERE abstract <> '') AS other, count(*) AS members, count(DISTINCT seed) > 1 AS conflict FROM p GROUP BY c),
+a AS (SELECT c, 'a' || id // 2 AS alias FROM p UNION SELECT c, 'b' || id // 6 FROM p WHERE id % 6 IN (1, 2)) SELECT g.id, members, conflict, coalesce(NULLIF(own, ''), other) AS abstract, CAST((SELECT count(*) FROM a WHERE a.c = g.c) AS INTEGER) AS n_aliases FROM g""")
+def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in pairs and fours that share aliases are one work; blanks are filled, conflicting seeds are told."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    rows = part.select(k.alias("id"), F.floor("p_retailprice").alias("cites"), F.when(k % 9 < 2, k % 9).alias("seed"), F.when(k % 5 == 0, F.col("p_name")).otherwise("").alias("abstract"))
+    names = F.array_compact(F.array(F.concat(F.lit("a"), F.floor(k / 2)), F.when((k % 6).isin(1, 2), F.concat(F.lit("b"), F.floor(k / 6)))))
+    merged = matching.merge_aliases(rows, part.select(k.alias("id"), F.explode(names).alias("alias")), ["abstract"])
+    return merged.select("id", "members", "conflict", "abstract", F.size("aliases").alias("n_aliases"))
+
+
+@query("V14", """WITH f AS (SELECT event_type || '/' || event_id || CASE WHEN event_id % 3 = 0 THEN '.json' ELSE '.txt' END AS name, event_id % 21 = 0 AS broken FROM events) SELECT name, 'unreadable' AS fault FROM f WHERE name LIKE '%.json' AND broken UNION ALL SELECT name, 'forbidden' FROM f WHERE name LIKE 'error/%' UNION ALL SELECT 'manifest.json', 'missing'""")
+def release_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a release bundle, one an event: unreadable JSON, forbidden folders, a manifest that is not there."""
+    k = F.col("event_id")
+    name = F.concat(F.col("event_type"), F.lit("/"), k, F.when(k % 3 == 0, ".json").otherwise(".txt"))
+    content = F.when(k % 21 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
+    return matching.bundle_faults(table(spark, sf_dir, "events").select(name.alias("name"), content.alias("content")), ["manifest.json"], ["error/", "tmp/"])
