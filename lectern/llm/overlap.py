@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lectern.llm import simhash
 from lectern.llm.common import map_batches, sliced, texts
 from lectern.operators.components import connected_components
-from lectern.plans.storage import materialize
+from lectern.plans.storage import discard, materialize
 
 WIDTH = 5
 _TOLD = 1 << 20  # pairs that a task counts at once
@@ -260,6 +260,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = materialize(pairs.unionByName(further).join(near, ["a", "b"], "left_anti"), "overlap-rest")
     second = verified(rest, nodes, src)
     components = materialize(connected_components(first.unionByName(second)), "overlap-components")
+    for read in (near, first, joined, placed, told, crowd, rest, second):
+        discard(read)
 
     labelled = nodes.select("id", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keepers = labelled.join(labelled.groupBy("component").agg(F.min("id").alias("keeper")), "component").select("node", "keeper")

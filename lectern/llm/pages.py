@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.storage import materialize
+from lectern.plans.storage import discard, materialize
 
 # Elements without content, raw-text elements, block elements and elements that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -299,6 +299,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     count, size = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     least = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts, guests = _ranges(light, max(1, math.ceil(size / range_bytes), min(count, least)))
+    discard(light)
     held = src.sparkSession.sparkContext.broadcast((starts, guests))
 
     @F.arrow_udf("array<int>")

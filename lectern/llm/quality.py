@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import sliced, texts
 from lectern.llm.labelled import logistic, sigmoid, training_texts
-from lectern.plans.storage import materialize
+from lectern.plans.storage import discard, materialize
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
 
@@ -140,6 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], names=["found", "label"])
 
     got = found.mapInArrow(numbered, "found array<int>, label int").toArrow()
+    for read in (sample, found):
+        discard(read)
     y = got.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return Classifier({}, 0.0, 0.0, 0.0)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import sliced, texts
 from lectern.llm.labelled import logistic, sigmoid, training_texts
-from lectern.plans.storage import materialize
+from lectern.plans.storage import discard, materialize
 
 # Letters of other scripts and digits that imitate Latin letters.
 HOMOGLYPHS = {
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     points = np.array([tuple(r) for r in sample.mapInArrow(run, "a double, b double, label int").collect()], dtype=np.float64)
     lexicon.coefficients = tuple(logistic(points[:, :2], points[:, 2]))
+    discard(sample)
     return lexicon
 
 
