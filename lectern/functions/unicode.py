@@ -33,3 +33,13 @@ def html_unescape(texts: pd.Series) -> pd.Series:
 def round_exact(values: pd.Series, digits: pd.Series) -> pd.Series:
     """Python's round: half to even on the exact binary value."""
     return pd.Series([None if v != v else round(v, int(d)) for v, d in zip(values, digits, strict=True)], dtype="float64")
+
+
+def _unmarked(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@pandas_udf(StringType())
+def without_marks(texts: pd.Series) -> pd.Series:
+    """Accents and other combining marks off."""
+    return texts.map(_unmarked, na_action="ignore")

@@ -159,3 +159,36 @@ def bundle_faults(files: DataFrame, required: list[str], forbidden: list[str]) -
     broken = files.where(F.endswith("name", F.lit(".json")) & F.expr("try_parse_json(content)").isNull()).select("name", F.lit("unreadable").alias("fault"))
     barred = files.where(F.regexp("name", F.lit("^(?:" + "|".join(forbidden) + ")"))).select("name", F.lit("forbidden").alias("fault"))
     return missing.unionByName(broken).unionByName(barred)
+
+
+def code_links(nodes: DataFrame, listed: DataFrame, curated: DataFrame, now: Column, days: int) -> DataFrame:
+    """(id, repo, stars, upvotes, source) of nodes(id, preprint): the listed(preprint, repo, stars, upvotes, at) repository,
+    if its entry is fresh, else the curated(preprint, repo) one. Stars and upvotes stay only if one is above zero."""
+    fresh = listed.where((F.col("at") > now - F.make_interval(days=F.lit(days))) & F.col("repo").isNotNull()).select("preprint", F.col("repo").alias("_r"), "stars", "upvotes")
+    both = nodes.join(fresh, "preprint", "left").join(curated.select("preprint", F.col("repo").alias("_c")), "preprint", "left")
+    some = (F.coalesce("stars", F.lit(0)) > 0) | (F.coalesce("upvotes", F.lit(0)) > 0)
+    source = F.when(F.col("_r").isNotNull(), "listed").when(F.col("_c").isNotNull(), "curated")
+    return both.where(source.isNotNull()).select("id", F.coalesce("_r", "_c").alias("repo"), *(F.when(some, F.coalesce(c, F.lit(0))).alias(c) for c in ("stars", "upvotes")), source.alias("source"))
+
+
+def related_works(works: DataFrame, limit: int) -> DataFrame:
+    """(id, status, related) of works(id, found, references): an absent work gives none, a missing list is an error, else
+    the first ``limit`` references."""
+    status = F.when(~F.col("found"), "absent").when(F.col("references").isNull(), "error").otherwise("ok")
+    return works.select("id", status.alias("status"), F.when(status == "ok", F.slice("references", 1, limit)).otherwise(F.array().cast(works.schema["references"].dataType)).alias("related"))
+
+
+def fresh_counts(nodes: DataFrame, cache: DataFrame, now: Column, days: int) -> DataFrame:
+    """(id, cites, cites_from) of nodes(id, cites) and cache(id, cites, at): the larger count with its source; entries
+    older than ``days`` count as absent."""
+    live = cache.where(F.col("at") > now - F.make_interval(days=F.lit(days))).select("id", F.col("cites").alias("_c"))
+    larger = F.coalesce(F.col("_c") > F.col("cites"), F.lit(False))
+    return nodes.join(live, "id", "left").select("id", F.when(larger, F.col("_c")).otherwise(F.greatest("cites", F.lit(0))).alias("cites"), F.when(larger, "semantic_scholar").otherwise("openalex").alias("cites_from"))
+
+
+def usable_references(edges: DataFrame, now: Column, days: int) -> DataFrame:
+    """Fetched edges(citing, cited, contexts, intents, influential, at) that are fresh, one a pair: the latest, with contexts
+    that say something, and influence where any fetch told it."""
+    fresh = edges.where(F.col("at") > now - F.make_interval(days=F.lit(days)))
+    last = fresh.groupBy("citing", "cited").agg(F.max_by(F.struct("contexts", "intents"), "at").alias("l"), F.bool_or("influential").alias("influential"))
+    return last.select("citing", "cited", F.filter("l.contexts", lambda c: F.trim(c) != "").alias("contexts"), "l.intents", "influential")

@@ -255,3 +255,68 @@ def release_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("event_type"), F.lit("/"), k, F.when(k % 3 == 0, ".json").otherwise(".txt"))
     content = F.when(k % 21 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
     return matching.bundle_faults(table(spark, sf_dir, "events").select(name.alias("name"), content.alias("content")), ["manifest.json"], ["error/", "tmp/"])
+
+
+@query("F19 F21 F22", """WITH p AS (SELECT p_partkey, ['José Núñez', 'Ann ' || p_brand] AS a, CASE p_size % 3 WHEN 0 THEN ['J. Nunez'] WHEN 1 THEN ['A. ' || p_brand, 'Zoë Øre'] ELSE ['X Y'] END AS b, p_name FROM part),
+s AS (SELECT *, list_transform(a, lambda x: lower(strip_accents(list_last(string_split(x, ' '))))) AS x, list_transform(b, lambda y: lower(strip_accents(list_last(string_split(y, ' '))))) AS y FROM p)
+SELECT p_partkey, array_to_string(x, ',') AS surnames, round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) AS overlap, 'on' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || 'nets' AS key FROM s""")
+def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surnames without marks, their overlap by the smaller list, and title keys without LaTeX."""
+    from lectern.functions.unicode import without_marks
+
+    size = F.col("p_size")
+    mine = F.array(F.lit("José Núñez"), F.concat(F.lit("Ann "), F.col("p_brand")))
+    theirs = F.when(size % 3 == 0, F.array(F.lit("J. Nunez"))).when(size % 3 == 1, F.array(F.concat(F.lit("A. "), F.col("p_brand")), F.lit("Zoë Øre"))).otherwise(F.array(F.lit("X Y")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.split(without_marks(F.array_join(mine, "|")), r"\|").alias("a"), F.split(without_marks(F.array_join(theirs, "|")), r"\|").alias("b"))
+    title = F.concat(F.lit("On \\emph{"), F.col("p_name"), F.lit("} nets"))
+    return rows.select("p_partkey", F.array_join(F.transform("a", text.surname), ",").alias("surnames"), F.round(text.author_overlap(F.col("a"), F.col("b")), 6).alias("overlap"), text.compact_key(records.tidy_latex(title)).alias("key"))
+
+
+@query("J20 S26", """WITH n AS (SELECT max(o_orderdate) AS now FROM orders), l AS (SELECT o_custkey AS pre, max(o_orderdate) AS last FROM orders GROUP BY 1), h AS (SELECT pre, CASE WHEN c_acctbal > 0 THEN c_name END AS repo, CASE WHEN c_acctbal > 5000 THEN CAST(floor(c_acctbal / 1000) AS BIGINT) ELSE 0 END AS stars, CAST(c_nationkey % 2 AS BIGINT) AS up FROM l JOIN customer ON c_custkey = pre, n WHERE last > now - INTERVAL 200 DAY AND c_acctbal > 0),
+b AS (SELECT o_orderkey AS id, h.repo AS r, 'curated-' || n_name AS c, n_name IS NOT NULL AS cur, stars, up FROM orders LEFT JOIN h ON pre = o_custkey LEFT JOIN nation ON n_nationkey = o_custkey)
+SELECT id, coalesce(r, c) AS repo, CASE WHEN coalesce(stars, 0) > 0 OR coalesce(up, 0) > 0 THEN stars END AS stars, CASE WHEN coalesce(stars, 0) > 0 OR coalesce(up, 0) > 0 THEN up END AS upvotes, CASE WHEN r IS NOT NULL THEN 'listed' ELSE 'curated' END AS source FROM b WHERE r IS NOT NULL OR cur""")
+def code_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of papers: a fresh listing's first, the curated one as fallback."""
+    orders = table(spark, sf_dir, "orders")
+    last = orders.groupBy(F.col("o_custkey").alias("preprint")).agg(F.max("o_orderdate").alias("at"))
+    balance = F.col("c_acctbal")
+    listed = last.join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "preprint"), "preprint").select(
+        "preprint", F.when(balance > 0, F.col("c_name")).alias("repo"), F.when(balance > 5000, F.floor(balance / 1000)).otherwise(0).cast("long").alias("stars"), (F.col("c_nationkey") % 2).cast("long").alias("upvotes"), "at")
+    now = orders.agg(F.max("o_orderdate").alias("now"))
+    curated = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("preprint"), F.concat(F.lit("curated-"), "n_name").alias("repo"))
+    return matching.code_links(orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("preprint")), listed.crossJoin(F.broadcast(now)), curated, F.col("now"), 200)
+
+
+@query("S19", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'absent' WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status, CAST(CASE WHEN o_orderstatus <> 'P' AND n IS NOT NULL THEN least(n, 3) ELSE 0 END AS INTEGER) AS related FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def fetched_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed works with their references: absent ones, missing lists, and the first three."""
+    lists = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("references"))
+    works = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "P").alias("found")).join(lists, "id", "left")
+    return matching.related_works(works, 3).select("id", "status", F.size("related").alias("related"))
+
+
+@query("S22 D20", """WITH n AS (SELECT max(l_shipdate) AS now FROM lineitem), c AS (SELECT l_partkey, count(*) * 50 AS cites, max(l_shipdate) AS last FROM lineitem GROUP BY 1), f AS (SELECT l_partkey, cites FROM c, n WHERE last > now - INTERVAL 300 DAY)
+SELECT p_partkey AS id, CAST(CASE WHEN coalesce(cites > floor(p_retailprice), false) THEN cites ELSE floor(p_retailprice) END AS BIGINT) AS cites, CASE WHEN coalesce(cites > floor(p_retailprice), false) THEN 'semantic_scholar' ELSE 'openalex' END AS cites_from FROM part LEFT JOIN f ON l_partkey = p_partkey""")
+def fresh_citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger of a work's own count and a cached one that is not too old."""
+    lines = table(spark, sf_dir, "lineitem")
+    cache = lines.groupBy(F.col("l_partkey").alias("id")).agg((F.count("*") * 50).alias("cites"), F.max("l_shipdate").alias("at"))
+    now = lines.agg(F.max("l_shipdate").alias("now"))
+    works = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor("p_retailprice").cast("long").alias("cites"))
+    return matching.fresh_counts(works, cache.crossJoin(F.broadcast(now)), F.col("now"), 300)
+
+
+@query("S21", """WITH n AS (SELECT max(l_shipdate) AS now FROM lineitem), e AS (SELECT l_orderkey % 500 AS citing, l_suppkey AS cited, l_shipdate AS shipped, l_orderkey, l_linenumber, l_returnflag FROM lineitem, n WHERE l_shipdate > now - INTERVAL 900 DAY),
+k AS (SELECT citing, cited, max(struct_pack(a := shipped, b := l_orderkey, c := l_linenumber, d := l_returnflag)) AS m, bool_or(l_returnflag = 'R') AS influential FROM e GROUP BY ALL)
+SELECT citing, cited, CAST(CASE WHEN m.d = 'N' THEN 0 ELSE 1 END AS INTEGER) AS contexts, influential FROM k""")
+def fetched_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citing pairs of a paged fetch, one each, with what their contexts say; stale entries count as absent."""
+    lines = table(spark, sf_dir, "lineitem")
+    now = lines.agg(F.max("l_shipdate").alias("now"))
+    flag = F.col("l_returnflag")
+    fetched = lines.crossJoin(F.broadcast(now)).where(F.col("l_shipdate") > F.col("now") - F.make_interval(days=F.lit(900))).select(
+        (F.col("l_orderkey") % 500).alias("citing"), F.col("l_suppkey").alias("cited"), F.when(flag == "N", F.array(F.lit(" "))).otherwise(F.array(F.lit("We use it."), F.lit(""))).alias("contexts"), F.array(F.lit("background")).alias("intents"),
+        (flag == "R").alias("influential"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", flag).alias("order"), F.col("l_shipdate").alias("at"), "now")
+    last = fetched.groupBy("citing", "cited").agg(F.max_by(F.struct("contexts", "intents", "at", "now"), "order").alias("l"), F.bool_or("influential").alias("influential"))
+    one = last.select("citing", "cited", "l.contexts", "l.intents", "influential", "l.at", "l.now")
+    return matching.usable_references(one, F.col("now"), 900).select("citing", "cited", F.size("contexts").alias("contexts"), "influential")
