@@ -13,8 +13,9 @@ Search, in two steps that only propose pairs; every pair is verified by its sets
    of one size): a passage that two texts quote is not enough. Only pairs that step 1 has not joined are proposed. What
    counts as rare is estimated from a bounded sample first. Texts with a shingle among these that more than ``_CROWD``
    have are set apart: their shingles are counted exactly among them, and pairs of two such texts are proposed by
-   prefixes in that order, in which what many texts quote comes last. Counts decide how many pairs are proposed, never
-   the result.
+   prefixes in that order, in which what many texts quote comes last. There each text meets the texts of its key that have
+   fewest shingles of their own first (what copies were made from has none), and only what is not joined by that meets the
+   rest. Counts decide how many pairs are proposed, never the result.
 
 Shingles are compared by their XXH64 values. Every shuffle is linear in the texts; pairs grow with the square of a group
 only among texts that share more than four fifths of their shingles with others, have near lengths, and were not joined in
@@ -23,6 +24,7 @@ step 1.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,11 +37,12 @@ from pyspark.sql import functions as F
 from lectern.llm import simhash
 from lectern.llm.common import map_batches, sliced, texts
 from lectern.operators.components import connected_components
-from lectern.plans.storage import discard, materialize
+from lectern.plans.storage import discard, materialize, shared_dir
 
 WIDTH = 5
 _TOLD = 1 << 20  # pairs that a task counts at once
-_CROWD = 32  # texts of a key whose pairs are told without counting exactly
+_CROWD = 8  # texts of a key whose pairs are told without counting exactly
+_FIRST = 3  # texts of a key that all others of it meet first
 SAMPLE, COMMON = 4_000, 100_000  # texts of the sample, and shingles that are known to be common
 
 
@@ -68,6 +71,11 @@ def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(1, (4 * (n + m) + 8) // 9 - rest)
 
 
+def may_be_similar(n: np.ndarray, alone: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles, of which so many are in no other set, can share enough."""
+    return 9 * np.minimum(n - alone, m - other) >= 4 * (n + m)
+
+
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles, one of which any similar set has among its own."""
     n = len(own)
@@ -99,30 +107,30 @@ def common_shingles(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of nodes of a key, sorted by size, that may be similar and lie in different components, and what they
     must share."""
-    key, size, node, comp = cols
+    key, size, node, comp, alone = cols
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     live = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-    k, n, v, c = key[live], size[live], node[live], comp[live]
+    k, n, v, c, u = key[live], size[live], node[live], comp[live], alone[live]
     for d in range(1, 8):
         if len(k) <= d:
             break
-        near = (k[d:] == k[:-d]) & (4 * n[d:] <= 5 * n[:-d]) & (c[d:] != c[:-d])
+        near = (k[d:] == k[:-d]) & (4 * n[d:] <= 5 * n[:-d]) & (c[d:] != c[:-d]) & may_be_similar(n[:-d], u[:-d], n[d:], u[d:])
         yield v[:-d][near], v[d:][near], least_shared(n[:-d][near], n[d:][near])
     for i in np.flatnonzero(sizes > 8):
         s = slice(starts[i], starts[i] + sizes[i])
-        n, v, c = size[s], node[s], comp[s]
+        n, v, c, u = size[s], node[s], comp[s], alone[s]
         if c.min() == c.max():
             continue
         ends = np.searchsorted(4 * n, 5 * n, side="right")
         for at, end in enumerate(ends):
-            far = c[at + 1 : end] != c[at]
+            far = (c[at + 1 : end] != c[at]) & may_be_similar(n[at], u[at], n[at + 1 : end], u[at + 1 : end])
             if far.any():
                 yield np.full(int(far.sum()), v[at]), v[at + 1 : end][far], least_shared(n[at], n[at + 1 : end][far])
 
 
 def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
-    """(a, b, need, shared) of the (key, n, node, component) rows: pairs that share keys, how many they must share to be
+    """(a, b, need, shared) of the (key, n, node, component, alone) rows: pairs that share keys, how many they must share to be
     similar, and how many they do. With ``crowd``, keys of more rows tell their nodes only, as (a, null, 0, 0).
 
     Each pair is told once for each key that it shares, and counted; counting begins in the task.
@@ -143,7 +151,7 @@ def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for whole in simhash.whole_keys(batches, 4):
+        for whole in simhash.whole_keys(batches, 5):
             if crowd is not None:
                 first = np.flatnonzero(np.r_[True, whole[0][1:] != whole[0][:-1]])
                 sizes = np.diff(np.r_[first, len(whole[0])])
@@ -163,13 +171,13 @@ def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
         if found:
             yield told(found)
 
-    dealt = keyed.select("key", "n", "node", "component").repartition("key").sortWithinPartitions("key", "n")
+    dealt = keyed.select("key", "n", "node", "component", "alone").repartition("key").sortWithinPartitions("key", "n")
     return dealt.mapInArrow(run, "a long, b long, need long, shared long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
 
 
 def counted_prefixes(texts_of: DataFrame) -> DataFrame:
-    """(node, key): the prefixes of the nodes of (node, text) rows, in the order of exact counts among them. Shingles that
-    only one of them has come first in every prefix and are left out."""
+    """(node, key, alone): the prefixes of the nodes of (node, text) rows, in the order of exact counts among them.
+    Shingles that only one of them has come first in every prefix and are left out; ``alone`` is how many a node has."""
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, own = batch.column(0).to_numpy(), [shingle_set(c.as_py()) for c in batch.column(1)]
@@ -194,7 +202,34 @@ def counted_prefixes(texts_of: DataFrame) -> DataFrame:
     ordered = shared.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "key"))).alias("own"))
     alone, prefix_size = F.col("n") - F.size("own"), F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
     taken = F.slice("own", F.lit(1), F.greatest(prefix_size - alone, F.lit(0)).cast("int"))
-    return ordered.select("node", F.explode(F.transform(taken, lambda x: x["key"])).alias("key"))
+    return ordered.select("node", F.explode(F.transform(taken, lambda x: x["key"])).alias("key"), alone.cast("long").alias("alone"))
+
+
+def first_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b) of the (key, n, node, component, alone) rows: each node with the first few of its key, of near size and in
+    another component. Linear in the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, node, comp, _ in simhash.whole_keys(batches, 5):
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            for k in range(_FIRST):
+                at = np.repeat(starts + np.minimum(k, sizes - 1), sizes)
+                fit = (comp != comp[at]) & (4 * n <= 5 * n[at]) & (4 * n[at] <= 5 * n)
+                a, b = node[fit], node[at][fit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt = keyed.select("key", "n", "node", "component", "alone").repartition("key").sortWithinPartitions("key", "alone", "n", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _by_id(src: DataFrame) -> tuple[DataFrame, str]:
+    """The texts as a table in buckets of their ids, so that looking some up again and again moves them once."""
+    spark, name = src.sparkSession, f"texts_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = src.repartition(n, "id").sortWithinPartitions("id").write.option("path", f"{shared_dir(spark)}/{name}")
+    dealt.bucketBy(n, "id").sortBy("id").saveAsTable(name, format="parquet")
+    return spark.table(name), name
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:
@@ -246,22 +281,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     near = reduce(DataFrame.unionByName, (simhash.links(nodes.select(F.col(x).alias("fp"), "node"), radius, segments) for x in names))
     near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "overlap-near")
-    first = verified(near, nodes, src)
+    rows, table_name = _by_id(src)
+    first = verified(near, nodes, rows)
     joined = materialize(connected_components(first), "overlap-joined")
 
     placed = materialize(nodes.join(joined, "node", "left").select("node", "n", "id", "keys", F.coalesce("component", "node").alias("component")), "overlap-placed")
-    told = materialize(prefix_pairs(placed.select("node", "n", "component", F.explode("keys").alias("key")), _CROWD), "overlap-told")
+    told = materialize(prefix_pairs(placed.select("node", "n", "component", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("alone")), _CROWD), "overlap-told")
     crowd = materialize(told.where("b is null").select(F.col("a").alias("node")), "overlap-crowd")
     among = crowd.select(F.col("node").alias("a"), F.lit(True).alias("a_in"))
     pairs = told.where("b is not null and shared >= need").join(among, "a", "left").join(among.toDF("b", "b_in"), "b", "left").where("a_in is null or b_in is null").select("a", "b")
-    apart = placed.join(crowd, "node")
-    keys = counted_prefixes(src.join(apart.select("id", "node"), "id"))
-    further = prefix_pairs(apart.select("node", "n", "component").join(keys, "node")).where("shared >= need").select("a", "b")
-    rest = materialize(pairs.unionByName(further).join(near, ["a", "b"], "left_anti"), "overlap-rest")
-    second = verified(rest, nodes, src)
+    apart = materialize(placed.join(crowd, "node").select("node", "n", "id", "component"), "overlap-apart")
+    keys = materialize(apart.select("node", "n", "component").join(counted_prefixes(rows.join(apart.select("id", "node"), "id")), "node"), "overlap-keys")
+    met = materialize(first_pairs(keys).join(near, ["a", "b"], "left_anti"), "overlap-met")
+    third = verified(met, nodes, rows)
+    again = materialize(connected_components(first.unionByName(third)), "overlap-again").toDF("node", "_c")
+    renamed = keys.join(again, "node", "left").select("key", "n", "node", F.coalesce("_c", "component").alias("component"), "alone")
+    further = prefix_pairs(renamed).where("shared >= need").select("a", "b")
+    known = near.unionByName(met)
+    rest = materialize(pairs.unionByName(further).distinct().join(known, ["a", "b"], "left_anti"), "overlap-rest")
+    second = verified(rest, nodes, rows).unionByName(third)
     components = materialize(connected_components(first.unionByName(second)), "overlap-components")
-    for read in (near, first, joined, placed, told, crowd, rest, second):
+    for read in (near, first, joined, placed, told, crowd, apart, keys, met, third, again, rest, rows):
         discard(read)
+    src.sparkSession.sql(f"DROP TABLE {table_name}")
 
     labelled = nodes.select("id", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keepers = labelled.join(labelled.groupBy("component").agg(F.min("id").alias("keeper")), "component").select("node", "keeper")
