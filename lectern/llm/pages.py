@@ -53,6 +53,7 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _END_OF = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
+_RANGES = 16_384  # bounds what the driver sees, ten rows a range
 _NO_WORD = re.compile(r"[^a-z0-9]+")
 # Words that with a mark before them name a box of that kind inside an article.
 BOXES = frozenset("area bar block box button buttons container form frame inner links list outer panel section slot thread unit widget wrap wrapper".split())
@@ -284,10 +285,11 @@ def _ranges(light: DataFrame, n: int) -> tuple[list[tuple], dict[tuple, list[int
     return starts, {k: sorted(v) for k, v in guests.items()}
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = 8 << 20) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = 32 << 20) -> DataFrame:
     """(id, url, text, n_shared, n_marked): the main text of each page, and how many lines differencing and markup took.
 
-    A range holds pages of about ``range_bytes``; there is at least one range for each shuffle partition.
+    A range holds pages of about ``range_bytes``, or more where that makes over ``_RANGES``: a range streams, so its size
+    costs no memory. There is at least one for each shuffle partition.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     keyed = src.withColumns({
@@ -298,7 +300,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     light = materialize(keyed.select("host", "path", "id", "content", F.octet_length("html").cast("long").alias("size")), "page-keys")
     count, size = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     least = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts, guests = _ranges(light, max(1, math.ceil(size / range_bytes), min(count, least)))
+    starts, guests = _ranges(light, max(1, min(math.ceil(size / range_bytes), _RANGES), min(count, least)))
     discard(light)
     held = src.sparkSession.sparkContext.broadcast((starts, guests))
 
