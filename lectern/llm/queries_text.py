@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import pieces, quality, toxicity
+from lectern.llm import alignment, bpe, pieces, quality, toxicity
 from lectern.llm.common import held_out, table
 
 
@@ -24,3 +24,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.summarize(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lectern.llm import queries_dedup, queries_scan, queries_text
+from lectern.llm import queries_dedup, queries_manifest, queries_scan, queries_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": queries_scan.op8_licences,
         "op9_simhash": queries_dedup.op9_simhash,
         "op10_chat": queries_scan.op10_chat,
+        "op11_alignment": queries_text.op11_alignment,
+        "op12_bpe": queries_text.op12_bpe,
+        "op13_manifest": queries_manifest.op13_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": queries_scan.OP5_SQL,
         "op8_licences": queries_scan.OP8_SQL,
         "op10_chat": queries_scan.OP10_SQL,
+        "op13_manifest": queries_manifest.OP13_SQL,
     }
