@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.rules import ascii_boundaries
+from lectern.functions.rules import any_of, ascii_boundaries
 from lectern.functions.text import collapse, compact_key, jaccard, surname, titles_diverge
 
 # Venues by tier, and phrases that announce one.
@@ -14,10 +14,24 @@ ACCEPTED = r"(?i)(?<![0-9A-Za-z_])(?:accepted (?:at|to|by)|to appear (?:at|in)|p
 WORKSHOP = r"(?i)\bworkshop\b"
 DECISION = r"(?i)(?<![0-9A-Za-z_])(oral|spotlightposter|spotlight|poster)(?![0-9A-Za-z_])"
 REVIEW_VENUE = r"(?i)\b(?:computing\s+surveys|surveys\s+(?:and|&)\s+tutorials|signal\s+processing\s+magazine|foundations\s+and\s+trends|annual\s+reviews?\s+of|nature\s+reviews|physics\s+reports|artificial\s+intelligence\s+review)\b"
-SURVEY_TITLE = r"(?i)\b(?:surveys?|reviews?(?!-)|overview|tutorial|primer|literature\s+review|systematic\s+review|introduction\s+to|perspectives?\s+(?:on|of|for))\b"
-SURVEY_ABSTRACT = r"(?i)\b(?:in\s+)?this\s+(?:review|survey|tutorial|overview)\b|\bcomprehensive\s+(?:overview|survey|review)\b|\bwe\s+(?:comprehensively\s+|systematically\s+)?survey\b|\bwe\s+summari[sz]e\s+(?:the\s+)?recent\b"
+SURVEY_TITLES = [
+    r"(?i)\b(?:surveys?|reviews?(?!-)|overview|tutorial|primer|literature\s+review|systematic\s+review|introduction\s+to|perspectives?\s+(?:on|of|for))\b",
+    r"(?i)\b(?:a\s+comprehensive\b|recent\s+(?:advances|progress|developments|trends)\b|challenges\s+and\s+opportunities\b|opportunities\s+and\s+challenges\b|state[\s-]of[\s-]the[\s-]art\s+(?:and|in|on|of|review|survey)\b)",
+    r"(?i)^(?:an?\s+)?(?:comprehensive\s+|brief\s+|short\s+|recent\s+)?(?:survey|review|tutorial|overview|perspective|roadmap|primer)(?![0-9A-Za-z_])(?!-)",
+    r"(?i):\s*(?:an?\s+|the\s+)?(?:survey|review|tutorial|overview|perspective|roadmap|primer|state[\s-]of[\s-]the[\s-]art)\b",
+]
+SURVEY_ABSTRACTS = [
+    r"(?i)\bwe\s+(?:comprehensively\s+|systematically\s+|critically\s+|extensively\s+)?review(?![0-9A-Za-z_])(?!\s+(?:the\s+)?(?:related|background|prior\s+work\s+in))",
+    r"(?i)\b(?:in\s+)?this\s+(?:review|survey|tutorial|overview)\b",
+    r"(?i)\b(?:in\s+)?this\s+(?:article|paper|work|chapter)\s+(?:we\s+)?(?:reviews?|surveys?)\b",
+    r"(?i)\bwe\s+(?:comprehensively\s+|systematically\s+)?survey\b",
+    r"(?i)\bwe\s+(?:provide|present|give|offer)\s+(?:an?\s+|the\s+)?(?:(?:comprehensive|systematic|thorough|brief|broad|detailed|extensive|up-to-date|concise)\s+)*(?:overview|survey|review)\b",
+    r"(?i)\bcomprehensive\s+(?:overview|survey|review)\b",
+    r"(?i)\bwe\s+summari[sz]e\s+(?:the\s+)?recent\b",
+]
 DATASET_TITLE = r"(?i)\b(?:data\s*sets?|benchmarks?|database|corpus|corpora)\b"
-REFERENCE_WORK = r"(?i)\b(?:encyclop(?:a)?edia|dictionary|handbook|wikipedia)\b"
+DATASET_ABSTRACT = r"(?i)\b(?:introduce|introduces|introducing|present|presents|release|releases|collect|collected|construct|constructed|build|built|propose|proposes)(?![0-9A-Za-z_])[^.]{0,80}?(?<![0-9A-Za-z_])(?:data\s*set|dataset|benchmark|database|corpus)\b"
+REFERENCE_WORK = r"(?i)\b(?:definitions?|encyclop(?:a)?edia|dictionary|glossary|wikipedia|qeios)\b"
 PROCEEDINGS = r"(?i)\b(?:conference|proceedings|symposium|workshop|congress)\b"
 IEEE_DOI = r"(?i)^10\.1109/[a-z][a-z0-9-]*\.((?:19|20)[0-9]{2})\.[0-9]+$"
 OLD_ID = r"(?i)^[a-z-]+(?:\.[A-Z]{2})?/([0-9]{2})([0-9]{2})[0-9]{3}(?:v[0-9]+)?$"
@@ -67,7 +81,7 @@ def repository_similarity(title: Column, candidate: Column) -> Column:
 
 def is_generic_title(title: Column) -> Column:
     """One or two plain words."""
-    return F.regexp(F.regexp_replace(F.trim(known(title)), r"[.:;,!?]+$", ""), F.lit(r"^[A-Za-z][a-z]*(?:\s+[A-Za-z][a-z]*)?$"))
+    return F.regexp(F.regexp_replace(F.trim(known(title)), r"[.:;,!?]+$", ""), F.lit(r"^[A-Za-z][a-z]+(?:\s+[A-Za-z][a-z]+)?$"))
 
 
 def is_bogus(title: Column, year: Column, n_authors: Column, venue: Column) -> Column:
@@ -76,14 +90,17 @@ def is_bogus(title: Column, year: Column, n_authors: Column, venue: Column) -> C
     return (F.trim(known(title)) == "") | (is_generic_title(title) & doubtful)
 
 
+def is_survey_title(title: Column) -> Column:
+    return any_of(known(title), SURVEY_TITLES)
+
+
 def is_survey(title: Column, abstract: Column, venue: Column, kind: Column) -> Column:
     """A review by its publication type, title, abstract or venue."""
-    return (F.lower(F.trim(known(kind))) == "review") | holds(title, SURVEY_TITLE) | holds(abstract, SURVEY_ABSTRACT) | holds(venue, REVIEW_VENUE)
+    return (F.lower(F.trim(known(kind))) == "review") | is_survey_title(title) | any_of(known(abstract), SURVEY_ABSTRACTS) | holds(venue, REVIEW_VENUE)
 
 
 def is_dataset(title: Column, abstract: Column) -> Column:
-    introduced = r"(?i)\b(?:introduce|present|release|collect|construct|build|propose)(?:s|d|ed)?(?![0-9A-Za-z_])[^.]{0,80}\b(?:data\s*set|benchmark|database|corpus)\b"
-    return holds(title, DATASET_TITLE) | holds(abstract, introduced)
+    return holds(title, DATASET_TITLE) | holds(abstract, DATASET_ABSTRACT)
 
 
 def is_denied(paper_id: Column, title: Column, ids: list[str], patterns: list[str]) -> Column:
@@ -153,13 +170,25 @@ def corrected_identity(title: Column, authors: Column, doi: Column, abstract: Co
     )
 
 
-def suspect_reasons(title: Column, venue: Column, cites: Column, other_cites: Column, age: Column) -> Column:
-    """Why a record may be several works merged: an event's or repository's record with 500 citations, ten times the
-    other source's count, or 1000 a year while young."""
-    event = holds(title, r"(?i)^(?:proceedings|workshop|conference|symposium)\b") | holds(venue, r"(?i)\b(?:zenodo|figshare|repository)\b")
-    return F.array_compact(F.array(
-        F.when(event & (cites >= 500), "event_record"), F.when((other_cites > 0) & (cites >= 1000) & (cites >= other_cites * 10), "count_gap"), F.when((age <= 2) & (cites >= F.greatest(age, F.lit(1)) * 1000), "young_and_cited"),
+# Titles of events, and repositories that host slides, data and code.
+EVENT_TITLE = r"(?i)\b(workshop|tutorial|lecture|lectures|keynote|slides|slide\s+deck|talk|webinar|summer\s+school|invited\s+talk)\b"
+REPOSITORY_DOI = r"(?i)^10\.(5281/zenodo|6084/m9\.figshare)\."
+REPOSITORY_VENUE = r"(?i)^(zenodo|figshare)\b"
+
+
+def suspect_record(title: Column, venue: Column, doi: Column, cites: Column, other_cites: Column, age: Column, focus: Column) -> Column:
+    """(reasons, action) of a record that may be several works merged, null if none. An event's or repository's record with 500
+    citations, or any with over five times the other source's count and 300 more, is dropped unless in focus; 1,000 citations
+    a year within two years are flagged only."""
+    event, hosted = holds(title, EVENT_TITLE), holds(doi, REPOSITORY_DOI) | holds(venue, REPOSITORY_VENUE)
+    gap = F.coalesce((cites > other_cites * 5) & (cites - other_cites > 300), F.lit(False))
+    many = F.coalesce(cites >= 500, F.lit(False))
+    drop = gap | ((event | hosted) & many)
+    young = F.coalesce((age >= 0) & (age < 2) & (cites >= F.greatest(age, F.lit(1)) * 1000), F.lit(False)) & ~drop
+    reasons = F.array_compact(F.array(
+        F.when(event, "event_title"), F.when(hosted, "repository_record"), F.when(gap, "count_gap"), F.when((event | hosted) & many, "many_citations"), F.when(young, "young_and_cited"),
     ))
+    return F.when(drop | young, F.struct(reasons.alias("reasons"), F.when(drop & ~F.coalesce(focus, F.lit(False)), "dropped").otherwise("flagged").alias("action")))
 
 
 def sanitized(text: Column, most: int = 500) -> Column:

@@ -47,7 +47,8 @@ r AS (SELECT p_partkey, CASE WHEN gone THEN 'cites_unspecified' WHEN bare THEN C
   CASE WHEN gone THEN 'pair_missing' WHEN bare THEN CASE WHEN method THEN 'intent_methodology' ELSE 'no_context' END WHEN {_case(4, 'k')} = 'context_no_cue' AND method THEN 'intent_methodology' ELSE {_case(4, 'k')} END AS first_rule,
   CASE WHEN gone THEN 'cites_unspecified' WHEN survey THEN 'background' WHEN bare THEN CASE WHEN method THEN 'builds_on' ELSE 'cites_unspecified' END WHEN {_case(6, 'k')} = 'context_no_cue' AND method THEN 'builds_on' ELSE {_case(5, 'k')} END AS strict,
   CASE WHEN gone THEN 'pair_missing' WHEN survey THEN 'survey' WHEN bare THEN CASE WHEN method THEN 'intent_influential' ELSE 'no_context' END WHEN {_case(6, 'k')} = 'context_no_cue' AND method THEN 'intent_influential' ELSE {_case(6, 'k')} END AS strict_rule FROM p)
-SELECT *, CASE strict WHEN 'builds_on' THEN 'extends' WHEN 'compares_with' THEN 'contrasts' ELSE 'baseline_only' END AS lineage FROM r""")
+SELECT *, CAST(CASE first_rule WHEN 'phrase_build' THEN 0.8 WHEN 'phrase_contrast' THEN 0.7 WHEN 'phrase_compare' THEN 0.75 WHEN 'phrase_resource' THEN 0.7 WHEN 'intent_methodology' THEN 0.65 WHEN 'context_no_cue' THEN 0.45 ELSE 0.3 END AS DOUBLE) AS first_confidence,
+  CAST(CASE strict_rule WHEN 'phrase_build' THEN 0.8 WHEN 'clause_resource' THEN 0.7 WHEN 'first_person_contrast' THEN 0.7 WHEN 'survey' THEN 0.8 WHEN 'intent_influential' THEN 0.5 WHEN 'context_no_cue' THEN 0.6 ELSE 0.3 END AS DOUBLE) AS strict_confidence, CASE strict WHEN 'builds_on' THEN 'extends' WHEN 'compares_with' THEN 'contrasts' ELSE 'baseline_only' END AS lineage FROM r""")
 def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by the first and the revised rules; some have no sentences, no record, a survey as citing work or an intent."""
     p = F.col("p_partkey")
@@ -58,7 +59,7 @@ def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(p, found.alias("f"), contexts.alias("c"), intents.alias("i"), method.alias("m"), title.alias("t"))
     no = F.lit(False)
     judged = rows.select(p, evidence.pair_relation(F.col("f"), F.col("c"), F.col("i"), no, no).alias("a"), evidence.pair_relation_strict(F.col("f"), F.col("c"), F.col("i"), F.col("m"), F.col("t")).alias("b"))
-    return judged.select("p_partkey", F.col("a.relation").alias("first"), F.col("a.rule").alias("first_rule"), F.col("b.relation").alias("strict"), F.col("b.rule").alias("strict_rule"), evidence.lineage_relation(F.col("b.relation"), F.lit(True)).alias("lineage"))
+    return judged.select("p_partkey", F.col("a.relation").alias("first"), F.col("a.rule").alias("first_rule"), F.col("b.relation").alias("strict"), F.col("b.rule").alias("strict_rule"), F.col("a.confidence").alias("first_confidence"), F.col("b.confidence").alias("strict_confidence"), evidence.lineage_relation(F.col("b.relation"), F.lit(True)).alias("lineage"))
 
 
 @query("C10 C11", """SELECT p_partkey, p_size % 3 = 0 AS named, CASE p_size % 3 WHEN 0 THEN 'We build on ' || p_name || ' [3].' WHEN 1 THEN 'Much is known [3].' ELSE 'No marker here.' END AS quote FROM part""")

@@ -48,9 +48,13 @@ def repository_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P09 P15 P16 P17", rf"""WITH d AS (SELECT doc_id, {TITLE_SQL} AS title, text, source, lang FROM documents)
 SELECT doc_id, regexp_matches(title, '(?i){_B}(?:surveys?|overview|tutorial|primer|literature\s+review|systematic\s+review|introduction\s+to|perspectives?\s+(?:on|of|for)){_E}') OR regexp_matches(title, '(?i){_B}reviews?(?:[^0-9A-Za-z_-]|$)')
-    OR regexp_matches(text, '(?i){_B}(?:in\s+)?this\s+(?:review|survey|tutorial|overview){_E}|{_B}comprehensive\s+(?:overview|survey|review){_E}|{_B}we\s+(?:comprehensively\s+|systematically\s+)?survey{_E}|{_B}we\s+summari[sz]e\s+(?:the\s+)?recent{_E}') AS survey,
-  regexp_matches(title, '(?i){_B}(?:data\s*sets?|benchmarks?|database|corpus|corpora){_E}') OR regexp_matches(text, '(?i){_B}(?:introduce|present|release|collect|construct|build|propose)(?:s|d|ed)?\b[^.]{{0,80}}\b(?:data\s*set|benchmark|database|corpus){_E}') AS dataset,
-  trim(title) = '' OR regexp_matches(regexp_replace(trim(title), '[.:;,!?]+$', ''), '^[A-Za-z][a-z]*(?:\s+[A-Za-z][a-z]*)?$') AND (lang = 'de' OR source = 'src0') AS bogus,
+    OR regexp_matches(title, '(?i){_B}(?:a\s+comprehensive|recent\s+(?:advances|progress|developments|trends)|challenges\s+and\s+opportunities|opportunities\s+and\s+challenges|state[\s-]of[\s-]the[\s-]art\s+(?:and|in|on|of|review|survey)){_E}')
+    OR regexp_matches(title, '(?i)^(?:an?\s+)?(?:comprehensive\s+|brief\s+|short\s+|recent\s+)?(?:survey|review|tutorial|overview|perspective|roadmap|primer)(?:[^0-9A-Za-z_-]|$)|:\s*(?:an?\s+|the\s+)?(?:survey|review|tutorial|overview|perspective|roadmap|primer|state[\s-]of[\s-]the[\s-]art){_E}')
+    OR regexp_matches(text, '(?i){_B}(?:in\s+)?this\s+(?:review|survey|tutorial|overview){_E}|{_B}comprehensive\s+(?:overview|survey|review){_E}|{_B}we\s+(?:comprehensively\s+|systematically\s+)?survey{_E}|{_B}we\s+summari[sz]e\s+(?:the\s+)?recent{_E}')
+    OR regexp_matches(text, '(?i){_B}(?:in\s+)?this\s+(?:article|paper|work|chapter)\s+(?:we\s+)?(?:reviews?|surveys?){_E}|{_B}we\s+(?:provide|present|give|offer)\s+(?:an?\s+|the\s+)?(?:(?:comprehensive|systematic|thorough|brief|broad|detailed|extensive|up-to-date|concise)\s+)*(?:overview|survey|review){_E}')
+    OR regexp_matches(regexp_replace(text, '(?i)we\s+(?:\w+ly\s+)?review\s+(?:the\s+)?(?:related|background|prior\s+work\s+in)', '', 'g'), '(?i){_B}we\s+(?:comprehensively\s+|systematically\s+|critically\s+|extensively\s+)?review{_E}') AS survey,
+  regexp_matches(title, '(?i){_B}(?:data\s*sets?|benchmarks?|database|corpus|corpora){_E}') OR regexp_matches(text, '(?i){_B}(?:introduce|introduces|introducing|present|presents|release|releases|collect|collected|construct|constructed|build|built|propose|proposes)\b[^.]{{0,80}}\b(?:data\s*set|dataset|benchmark|database|corpus){_E}') AS dataset,
+  trim(title) = '' OR regexp_matches(regexp_replace(trim(title), '[.:;,!?]+$', ''), '^[A-Za-z][a-z]+(?:\s+[A-Za-z][a-z]+)?$') AND (lang = 'de' OR source = 'src0') AS bogus,
   doc_id IN (7, 11) OR regexp_matches(title, '^The ') AS denied FROM d""")
 def record_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surveys, datasets, unusable and denied records among the documents; those of one language count as undated."""
@@ -192,8 +196,11 @@ def author_h_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("R16 R18 D16", f"""WITH {EDGES_SQL}, l AS (SELECT DISTINCT src, dst, src_year, dst_year - CASE WHEN dst % 4 = 0 THEN 4 ELSE 0 END AS y FROM edges), i AS (SELECT src AS id, count(*) AS citers, count(*) FILTER (WHERE src_year - y > 1) AS inverted, max(src_year - y) AS gap FROM l GROUP BY src HAVING count(*) FILTER (WHERE src_year - y > 1) > 0),
 a AS (SELECT id, ['chronology_inversion'] AS reasons, inverted * 2 >= citers AND (inverted >= 2 OR gap >= 3) AS dropped FROM i),
-b AS (SELECT id, list_filter([CASE WHEN price >= 400000 THEN 'event_record' END, CASE WHEN price >= 300000 AND status = 'P' THEN 'count_gap' END, CASE WHEN 2001 - yr <= 2 AND floor(price / 100) >= 1000 * greatest(2001 - yr, 1) THEN 'young_and_cited' END], lambda x: x IS NOT NULL) AS reasons FROM o)
-SELECT coalesce(a.id, b.id) AS id, list_concat(coalesce(a.reasons, []), coalesce(b.reasons, [])) AS reasons, coalesce(a.dropped, false) AS dropped FROM a FULL JOIN (SELECT * FROM b WHERE len(reasons) > 0) b ON a.id = b.id""")
+n AS (SELECT id, price >= 400000 AS event, floor(price / 100) AS c, CASE WHEN price >= 300000 AND status = 'P' THEN floor(floor(price / 100) / 10) ELSE floor(price / 100) END AS other, 2001 - yr AS age, id % 7 = 0 AS focus FROM o),
+g AS (SELECT *, c > other * 5 AND c - other > 300 AS gap FROM n),
+b AS (SELECT id, focus, gap OR (event AND c >= 500) AS dropping, list_filter([CASE WHEN event THEN 'event_title' END, CASE WHEN gap THEN 'count_gap' END, CASE WHEN event AND c >= 500 THEN 'many_citations' END, CASE WHEN NOT (gap OR (event AND c >= 500)) AND age BETWEEN 0 AND 1 AND c >= 1000 * greatest(age, 1) THEN 'young_and_cited' END], lambda x: x IS NOT NULL) AS reasons FROM g),
+k AS (SELECT id, reasons, dropping AND NOT focus AS dropped FROM b WHERE dropping OR list_contains(reasons, 'young_and_cited'))
+SELECT coalesce(a.id, k.id) AS id, list_concat(coalesce(a.reasons, []), coalesce(k.reasons, [])) AS reasons, coalesce(a.dropped, false) OR coalesce(k.dropped, false) AS dropped FROM a FULL JOIN k ON a.id = k.id""")
 def suspect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that citers predate and records that look merged, as one list."""
     every = nodes(spark, sf_dir)
@@ -201,9 +208,11 @@ def suspect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.chronology_inversions(every.select("id", year.alias("year"), F.col("yr").alias("earliest")), edges(spark, sf_dir))
     inverted = found.select("id", F.array(F.lit("chronology_inversion")).alias("reasons"), "dropped")
     cites = F.floor(F.col("price") / 100)
-    title = F.when(F.col("price") >= 400000, "Proceedings of things").otherwise("A thing")
+    title = F.when(F.col("price") >= 400000, "Workshop on things").otherwise("A thing")
     other = F.when((F.col("price") >= 300000) & (F.col("status") == "P"), F.floor(cites / 10)).otherwise(cites)
-    merged = every.select("id", records.suspect_reasons(title, F.lit(""), cites, other, F.lit(2001) - F.col("yr")).alias("reasons"), F.lit(False).alias("dropped")).where("size(reasons) > 0")
+    nothing = F.lit(None).cast("string")
+    told = records.suspect_record(title, nothing, nothing, cites, other, F.lit(2001) - F.col("yr"), F.col("id") % 7 == 0)
+    merged = every.select("id", told.alias("t")).where("t is not null").select("id", "t.reasons", (F.col("t.action") == "dropped").alias("dropped"))
     return matching.merge_suspects(inverted, merged)
 
 

@@ -18,7 +18,7 @@ def told(spark, column, **values):
 
 @pytest.mark.parametrize(("sentences", "relation"), [
     (["We extend [3], outperforming the baseline."], "supersedes"), (["Background.", "Unlike [3] we train."], "contrasts"), (["Our model is based on X."], "extends"), (["It is based on X."], None),
-    (["See the ablation study."], "ablation"), (["Compared with X."], "baseline_only"), (["In subsequent work, X."], "successor"), ([], None), (["  "], None),
+    (["See the ablation study."], "ablation"), (["Compared with X."], "baseline_only"), (["In subsequent work, X."], "successor"), (["following the work of X"], "extends"), (["It serves as a baseline."], "baseline_only"), ([], None), (["  "], None),
 ])
 def test_context_relation(spark, sentences, relation):
     found = told(spark, evidence.context_relation(F.col("c")), c=sentences)
@@ -40,6 +40,11 @@ def test_pair_rules_in_order(spark):
     assert pair(spark, ["x"], ["background"]) == ("background", "intent_background") and pair(spark, ["x"]) == ("background", "context_no_cue") and pair(spark) == ("cites_unspecified", "no_context")
 
 
+@pytest.mark.parametrize("sentence", ["We further modify X.", "We use the first encoder of X.", "By following [3] we go on.", "We follow Kipf et al in this.", "This is a generalisation of X.", "Our model is based on X.", "We reuse X."])
+def test_build_cues(spark, sentence):
+    assert pair(spark, [sentence]) == ("builds_on", "phrase_build")
+
+
 def test_strict_rules(spark):
     def strict(contexts, intents=(), influential=False, title="Nets"):
         return told(spark, evidence.pair_relation_strict(F.lit(True), F.col("c"), F.col("i"), F.col("n"), F.col("t")), c=list(contexts), i=list(intents), n=influential, t=title)["rule"]

@@ -39,7 +39,7 @@ def test_record_kinds(spark):
     def bogus(title, year, n, venue):
         return told(spark, records.is_bogus(F.col("t"), F.col("y"), F.col("n"), F.col("v")), t=title, y=year, n=n, v=venue)
 
-    assert bogus("", 2020, 3, "ICML") and bogus("Introduction", 2020, 1, "ICML") and bogus("Open Source", 2020, 3, "Handbook of things") and bogus("Open Source", 0, 3, "ICML")
+    assert bogus("", 2020, 3, "ICML") and bogus("Introduction", 2020, 1, "ICML") and bogus("Open Source", 2020, 3, "Encyclopedia of things") and bogus("Open Source", 0, 3, "ICML")
     assert not bogus("Introduction", 2020, 2, "ICML") and not bogus("A long and usual title", 0, 0, "")
 
     def survey(title, abstract="", venue="", kind=""):
@@ -84,7 +84,14 @@ def test_small_columns(spark):
     assert told(spark, records.follow_score(F.col("a"), F.col("b"), ["ann lee"], ["mit"]), a=["Bo"], b=["at MIT lab"]) == 50
     assert told(spark, text.titles_diverge(F.col("a"), F.col("b")), a="one two three", b="four five six") and not told(spark, records.titles_disagree(F.col("a"), F.col("b")), a="one two", b="one two three")
     assert told(spark, text.author_credit(F.col("a")), a=["Ann Lee", "Bo Yu", "C D"]) == "lee et al." and told(spark, text.bibtex_key(F.col("n"), F.lit(2020), F.lit("The big one")), n="Ann Lee") == "lee2020big"
-    assert told(spark, records.suspect_reasons(F.col("t"), F.lit(""), F.lit(5000), F.lit(100), F.lit(1)), t="Proceedings of x") == ["event_record", "count_gap", "young_and_cited"]
+    def suspect(title="x", venue="", doi="", cites=0, other=None, age=9, focus=False):
+        r = told(spark, records.suspect_record(F.col("t"), F.col("v"), F.col("d"), F.col("c"), F.col("o").cast("int"), F.col("a"), F.col("f")), t=title, v=venue, d=doi, c=cites, o=other, a=age, f=focus)
+        return r and (r["reasons"], r["action"])
+
+    assert suspect("Keynote talk", cites=500) == (["event_title", "many_citations"], "dropped") and suspect("Keynote talk", cites=499) is None and suspect("Keynote talk", cites=500, focus=True)[1] == "flagged"
+    assert suspect(doi="10.5281/zenodo.1", cites=400, other=10) == (["repository_record", "count_gap"], "dropped") and suspect(venue="Figshare", cites=800) == (["repository_record", "many_citations"], "dropped")
+    assert suspect(cites=301, other=0) == (["count_gap"], "dropped") and suspect(cites=300, other=0) is None and suspect(cites=1500, other=300) is None
+    assert suspect(cites=1000, age=1) == (["young_and_cited"], "flagged") and suspect(cites=1000, age=0) == (["young_and_cited"], "flagged") and suspect(cites=5000, age=2) is None
 
 
 def test_ranked_matches(spark):
@@ -156,3 +163,19 @@ def test_ordinals_are_dense_for_any_distribution(spark):
     got = sorted(((r["ordinal"], r["g"], r["v"]) for r in sorted_ordinal(frame, ["v", "g"]).collect()))
     assert [o for o, *_ in got] == list(range(len(rows))) and [v for _, _, v in got] == sorted(v for _, v in rows)
     assert sorted(r["ordinal"] for r in dense_ordinal(frame, "g", ["v"]).collect()) == list(range(len(rows)))
+
+
+@pytest.mark.parametrize(("title", "abstract", "expected"), [
+    ("Recent advances in nets", "", True), ("A comprehensive look at nets", "", True), ("Nets: challenges and opportunities", "", True), ("State-of-the-art in nets", "", True), ("Roadmap for nets", "", True), ("Nets: a perspective", "", True),
+    ("Review-based recommendation", "", False), ("Survey-free nets", "", True), ("Nets", "We critically review the field.", True), ("Nets", "We review the related work.", False), ("Nets", "This paper reviews nets.", True), ("Nets", "We present a concise overview.", True), ("Multi-perspective nets", "", False),
+])
+def test_survey_patterns(spark, title, abstract, expected):
+    nothing = F.lit(None).cast("string")
+    assert told(spark, records.is_survey(F.col("t"), F.col("a"), nothing, nothing), t=title, a=abstract) is expected
+
+
+def test_dataset_and_reference_works(spark):
+    assert told(spark, records.is_dataset(F.col("t"), F.col("a")), t="Pets", a="Introducing a corpus of pets.") and told(spark, records.is_dataset(F.col("t"), F.col("a")), t="Pets", a="We built a large database.") and not told(spark, records.is_dataset(F.col("t"), F.col("a")), t="Pets", a="We build it. The corpus is old.")
+    for venue in ("Definitions", "Glossary of things", "Qeios"):
+        assert told(spark, records.is_bogus(F.lit("Open Source"), F.lit(2019), F.lit(3), F.col("v")), v=venue)
+    assert not told(spark, records.is_bogus(F.lit("Open Source"), F.lit(2019), F.lit(3), F.col("v")), v="Handbook") and not told(spark, records.is_bogus(F.col("t"), F.lit(2019), F.lit(1), F.lit("")), t="X")
