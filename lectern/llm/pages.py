@@ -5,7 +5,7 @@ aligned by longest common subsequence. Lines that a pair shares are the site's o
 settles what differencing can't: the lines of an ``article`` or ``main`` element are spared, since copies of pages and
 quoted passages are shared too, and what lies in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments goes where neighbours have other words there. Of what is left, the text is the main part, or
-all of it if the main part is the smaller half (a teaser) or there is none.
+all of it if there is none. An ``article`` without any paragraph is a teaser and no main part.
 
 The nearest page to either side whose html differs is a page's neighbour (copies are no pair), and a pair with all
 lines the same says nothing. Pages are dealt by ranges of (host, path), so a host of any size spreads over many tasks;
@@ -51,7 +51,8 @@ _TAG = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))|[^>])*+)(?:>|\Z)""",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?|["'=/]""")
+_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _END_OF = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _RANGES = 16_384  # bounds what the driver sees, ten rows a range
 _NO_WORD = re.compile(r"[^a-z0-9]+")
@@ -65,9 +66,9 @@ def _unwanted(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in DROPPED:
         return not (tag == "header" and inside_main)  # an article's own header has its headings
     if attributes:
-        for name, value in _NAMED.findall(attributes):
+        for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and _INVISIBLE.search(value)):
                 return True
             if name in ("class", "id") and tag not in MAIN and tag not in ("body", "html"):
                 if inside_main:
@@ -91,6 +92,7 @@ def page_lines(source: str) -> list[tuple[int, str]]:
     blocks: list[int] = []  # where the stack's block elements are
     opened: Counter = Counter()  # tags on the stack
     kind, header, at = 0, False, 0
+    article, began, paragraphs = -1, 0, False  # depth of an article that no other main part holds, its first line, whether it has paragraphs
 
     def flush() -> None:
         if parts:
@@ -100,7 +102,11 @@ def page_lines(source: str) -> list[tuple[int, str]]:
                 out.append((kind, text))
 
     def close(depth: int) -> None:
-        nonlocal kind, header
+        nonlocal kind, header, article
+        if article >= depth:
+            if not paragraphs:
+                out[began:] = [(min(k, 0), t) for k, t in out[began:]]
+            article = -1
         while len(stack) > depth:
             opened[stack.pop()[0]] -= 1
         while blocks and blocks[-1] >= depth:
@@ -139,7 +145,11 @@ def page_lines(source: str) -> list[tuple[int, str]]:
         if kind >= 0 and _unwanted(tag, m[4], kind == 1):
             own = -1
         elif kind >= 0 and tag in MAIN:
+            if kind == 0 and tag == "article":
+                article, began, paragraphs = len(stack), len(out), False
             own = 1
+        if tag == "p" and own == 1:
+            paragraphs = True
         if header and kind == -1 and tag in _HEADINGS:
             own = 1
         inner = header or (tag == "header" and kind == 1)
@@ -151,6 +161,7 @@ def page_lines(source: str) -> list[tuple[int, str]]:
         opened[tag] += 1
         kind, header = own, inner
     flush()
+    close(0)
     return out
 
 
@@ -194,8 +205,7 @@ def main_text(lines: list[tuple[int, str]], shared: set[int]) -> tuple[str, int,
     """(text, lines that differencing deletes, lines that markup deletes of the rest)."""
     left = [(k, t) for i, (k, t) in enumerate(lines) if k == 1 or i not in shared]
     kept = [(k, t) for k, t in left if k >= 0]
-    main = sum(len(t) for k, t in kept if k == 1)
-    if 2 * main >= sum(len(t) for _, t in kept):
+    if any(k == 1 for k, _ in kept):
         kept = [(k, t) for k, t in kept if k == 1]
     return "\n".join(t for _, t in kept), len(lines) - len(left), len(left) - len(kept)
 

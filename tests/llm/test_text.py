@@ -208,7 +208,8 @@ def test_hostile_pages_take_linear_time():
 def test_names_inside_an_article():
     lines = pages.page_lines('<article><p class="related-work">Prior work</p><div class="share-buttons">Tweet</div><p id="header-files">C headers</p></article>')
     assert lines == [(1, "Prior work"), (-1, "Tweet"), (1, "C headers")]
-    assert pages.main_text([(1, "teaser"), (0, "the long text of the page itself"), (-1, "menu")], set())[0] == "teaser\nthe long text of the page itself"
+    assert text_of("<article><h2>teaser</h2></article><div><p>the long text of the page itself</p></div>") == "teaser\nthe long text of the page itself"
+    assert text_of("<main><p>Fifty characters of the main text are here.</p></main><div class='reply'><p>" + "A much longer comment. " * 20 + "</p></div>") == "Fifty characters of the main text are here."
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
@@ -303,3 +304,22 @@ def test_what_was_not_checked_is_null(spark):
     rows = spark.createDataFrame([(1, k, "user", "x" * 50) for k in range(60)] + [(2, 0, "user", "short")], "conv_id long, turn long, role string, text string")
     got = {r["conv"]: r["rewrites"] for r in chat.digests(rows, window=4, held_chars=500).collect()}
     assert got == {1: None, 2: False}
+
+
+def text_of(source):
+    return pages.main_text(pages.page_lines(source), set())[0]
+
+
+@pytest.mark.parametrize(("opening", "kept"), [
+    ('<div style="overflow:hidden">', True), ('<p title="the hidden cost">', True), ('<p data-id="menu">', True), ('<p data-role="navigation">', True), ("<p title=hidden>", True), ('<p alt="class=ad">', True), ("<p style='visibility: visible'>", True), ("<p class>", True), ('<p x="a>b" data-hidden>', True),
+    ("<div hidden>", False), ('<p id="menu">', False), ('<p role="navigation">', False), ("<p ROLE=banner>", False), ('<p style="color:red; display:none">', False), ("<p style='VISIBILITY:hidden'>", False), ('<p aria-hidden="true">', False), ('<p title="x"class="ad">', False),
+])
+def test_attributes_by_whole_names(opening, kept):
+    tag = opening[1:].split()[0].rstrip(">")
+    assert text_of(f"<article><p>First.</p>{opening}Second.</{tag}></article>") == ("First.\nSecond." if kept else "First.")
+
+
+def test_teasers_beside_the_text():
+    cards = "".join(f"<article><a href='/{k}'><h3>Card {k}</h3></a></article>" for k in range(3))
+    assert text_of(f"<article><h1>Title</h1><p>Body.</p></article>{cards}") == "Title\nBody." and text_of(f"<main><div>Body</div></main>{cards}") == "Body"
+    assert text_of(f"{cards}<p>Body.</p>") == "Card 0\nCard 1\nCard 2\nBody." and text_of("<article><p>Open") == "Open" and text_of("<article>Bare") == "Bare"
