@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lectern.llm import pieces, registry
+from lectern.llm import chat, pieces, queries_scan, registry
 from tests.llm.test_dedup import plain_components, plain_fingerprint
 from tests.llm.test_scan import plain_nearest
 from tests.llm.test_text import best
@@ -67,3 +67,15 @@ def test_simhash(spark, docs):
     fps = [plain_fingerprint(t) for _, t in docs]
     want = plain_components([i for i, _ in docs], fps, 3)
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in run(spark, "op9_simhash")} == {(i, f"{f:016x}", want[i]) for (i, _), f in zip(docs, fps, strict=True)}
+
+
+def test_chat_query_renders_whole_prefixes(spark, monkeypatch):
+    """A template that blanks the first turn while a conversation has 33 to 60 turns is told by the registered query's own call."""
+    def sly(turns):
+        return "".join(chat.chatml([(r, "" if not k and 33 <= len(turns) <= 60 else t)]) for k, (r, t) in enumerate(turns))
+
+    plain_digests = chat.digests
+    monkeypatch.setattr(queries_scan.chat, "digests", lambda rows, **asked: plain_digests(rows, template=sly, **asked))
+    long = spark.createDataFrame([(c, k, "user", f"turn {k}") for c, n in ((1, 70), (2, 20)) for k in range(n)], "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(queries_scan, "table", lambda *_: long)
+    assert {r["conv_id"]: r["rewrites"] for r in queries_scan.op10_chat(spark, "").collect()} == {1: True, 2: False, -1: False}
