@@ -70,7 +70,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
 
 
 def longest_depth(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, depth): edges on the longest chain that ends in the node; acyclic edges."""
+    """(node, depth): edges on the longest chain that ends in the node; acyclic edges. A chain longer
+    than ``most`` or a cycle is an error."""
     edges = materialize(edges, "depth-edges")
     found = nodes.select("node", F.lit(0).cast("long").alias("depth"))
     frontier = found.select("node")
@@ -79,6 +80,8 @@ def longest_depth(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFr
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier.withColumn("depth", F.lit(k).cast("long")))
+    else:
+        raise RuntimeError(f"a chain has more than {most} edges, or edges run in a cycle")
     return found.groupBy("node").agg(F.max("depth").alias("depth"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.highlight import client_key
-from lectern.operators import dedup, gates, windows
+from lectern.operators import dedup, gates, structure, windows
 from lectern.plans.registry import query
 from lectern.plans.views import EDGES_SQL, PAPERS_SQL, edges, nodes, papers, table
 
@@ -235,3 +235,28 @@ def client_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses are reduced to the part that names a client."""
     address = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("2001:db8:"), F.lower(F.hex("user_id")), F.lit("::A"))).otherwise(F.concat(F.lit("10.0.0."), F.col("user_id")))
     return table(spark, sf_dir, "events").select("user_id", client_key(address).alias("client")).groupBy("user_id", "client").agg(F.count("*").alias("n"))
+
+
+@query("U07", """SELECT p_partkey AS doc, x.pointer, x.kind FROM part, LATERAL (SELECT unnest(CASE p_partkey % 4
+  WHEN 0 THEN [{'pointer': '/spec/size', 'kind': 'value_mismatch'}]
+  WHEN 1 THEN [{'pointer': '/list', 'kind': 'length_mismatch'}, {'pointer': '/list/1', 'kind': 'missing_in_actual'}]
+  WHEN 2 THEN [{'pointer': '/spec/brand', 'kind': 'missing_in_actual'}, {'pointer': '/spec/make', 'kind': 'missing_in_expected'}]
+  ELSE [{'pointer': '/name', 'kind': 'type_mismatch'}] END) AS x)""")
+def nested_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers at which nested documents differ, in each kind of difference; times of reading are ignored."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+
+    def document(name, spec, items, at: str):
+        return F.concat(F.lit('{"name": '), name, F.lit(', "spec": '), spec, F.lit(', "list": '), items, F.lit(f', "read": [{{"at": "{at}"}}]}}'))
+
+    def spec(number, brand: str):
+        return F.format_string(f'{{"size": %d, "{brand}": "%s"}}', number, "p_brand")
+
+    name, items = F.format_string('"%s"', "p_name"), F.format_string("[%d, %d.0]", size, size)
+    expected = document(name, spec(size, "brand"), items, "2020")
+    actual = document(
+        F.when(k % 4 == 3, F.concat(F.lit("["), name, F.lit("]"))).otherwise(name), F.when(k % 4 == 0, spec(size + 1, "brand")).when(k % 4 == 2, spec(size, "make")).otherwise(spec(size, "brand")),
+        F.when(k % 4 == 1, F.format_string("[%d]", size)).otherwise(F.format_string("[%d.0, %d]", size, size)), "2021",
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", expected.alias("expected"), actual.alias("actual"))
+    return structure.json_diff(rows, "p_partkey", "expected", "actual", ignore=["/read/*/at"]).select("doc", "pointer", "kind")

@@ -141,17 +141,16 @@ def conference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("slug", "papers", F.row_number().over(Window.orderBy(F.desc("papers"), "slug")).alias("pos"))
 
 
-@query("J06", """WITH h AS (SELECT s_suppkey AS hit, s_acctbal AS cites, CASE WHEN s_suppkey % 4 = 0 THEN 'n' || s_suppkey % 60 END AS pre, 'title ' || CAST(floor(s_acctbal / 20) AS BIGINT) AS title FROM supplier),
-r AS (SELECT c_custkey AS row, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey % 90 END AS pre, 'title ' || CAST(floor(c_acctbal / 20) AS BIGINT) AS title FROM customer WHERE c_custkey <= 900),
+@query("J06", """WITH h AS (SELECT s_suppkey AS hit, s_acctbal AS cites, CASE WHEN s_suppkey % 4 = 0 THEN 'n' || s_suppkey END AS pre, 'title of ' || s_suppkey * 2 AS title FROM supplier),
+r AS (SELECT c_custkey AS row, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey % 5000 END AS pre, 'title of ' || c_custkey AS title FROM customer),
 rp AS (SELECT pre, min(row) AS row FROM r WHERE pre IS NOT NULL GROUP BY pre HAVING count(*) = 1), rt AS (SELECT title, min(row) AS row FROM r GROUP BY title HAVING count(*) = 1), ht AS (SELECT title FROM h GROUP BY title HAVING count(*) = 1),
 m AS (SELECT hit, cites, rp.row, 'preprint' AS matched_by FROM h JOIN rp USING (pre) UNION ALL SELECT hit, cites, rt.row, 'title' FROM h JOIN ht USING (title) JOIN rt USING (title) WHERE NOT coalesce(pre IN (SELECT pre FROM rp), false) AND length(title) >= 8)
 SELECT hit, row, matched_by FROM m QUALIFY row_number() OVER (PARTITION BY row ORDER BY cites DESC, hit) = 1""")
 def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked hits and catalog rows: by preprint number, else by a title unique on both sides; each row once. The catalog
-    is a conference's share of the customers."""
+    """Ranked hits and catalog rows: by preprint number, else by a title unique on both sides; each row once."""
     s, c = F.col("s_suppkey"), F.col("c_custkey")
-    hits = table(spark, sf_dir, "supplier").select(s.alias("hit"), F.col("s_acctbal").alias("cites"), F.when(s % 4 == 0, F.concat(F.lit("n"), s % 60)).alias("preprint"), F.concat(F.lit("title "), F.floor(F.col("s_acctbal") / 20)).alias("title"))
-    rows = table(spark, sf_dir, "customer").where("c_custkey <= 900").select(c.alias("row"), F.when(c % 3 == 0, F.concat(F.lit("n"), c % 90)).alias("preprint"), F.concat(F.lit("title "), F.floor(F.col("c_acctbal") / 20)).alias("title"))
+    hits = table(spark, sf_dir, "supplier").select(s.alias("hit"), F.col("s_acctbal").alias("cites"), F.when(s % 4 == 0, F.concat(F.lit("n"), s)).alias("preprint"), F.concat(F.lit("title of "), s * 2).alias("title"))
+    rows = table(spark, sf_dir, "customer").select(c.alias("row"), F.when(c % 3 == 0, F.concat(F.lit("n"), c % 5000)).alias("preprint"), F.concat(F.lit("title of "), c).alias("title"))
     return matching.match_ranked(hits, rows)
 
 

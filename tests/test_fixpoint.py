@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import fixpoint
+from lectern.operators import fixpoint, graph
 from lectern.plans import queries_guards
 
 KINDS = "graph_id int, node int, kind string, z double"
@@ -139,3 +139,11 @@ def test_gate_of_random_graphs(spark):
     rank = F.when(F.col("role") == "subject", 3).otherwise(1)
     roots = {x["graph_id"]: x["node"] for x in fixpoint.topical_root(n, e, rank).collect()}
     assert set(roots) == {g for g, _, f, *_ in nodes if f}
+
+
+def test_depth_does_not_stop_short(spark):
+    nodes, chain = spark.range(8).select(F.col("id").alias("node")), spark.range(7).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r["node"]: r["depth"] for r in graph.longest_depth(nodes, chain, most=8).collect()} == {n: n for n in range(8)}
+    for edges, most in ((chain, 6), (chain.unionByName(spark.createDataFrame([(7, 0)], "src long, dst long")), 50)):
+        with pytest.raises(RuntimeError, match="chain"):
+            graph.longest_depth(nodes, edges, most=most)
