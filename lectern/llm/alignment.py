@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,37 +74,16 @@ class Pair:
         self.digits, self.digits_at = np.frombuffer(b"".join(names), np.uint8), np.r_[0, np.cumsum([len(x) for x in names])].astype(np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces: A encodes them end to end, as borders lie where each begins; B takes them as a list."""
-        if not new:
-            return
-        whole = [p.encode("utf-8", "replace") for p in new]
-        text = b"".join(whole)
-        ends = np.cumsum([len(w) for w in whole])
-        joined = "".join(new)
-        a = np.array(self.plain.encode_ordinary(joined), np.int32)
-        a_upto = np.cumsum(self.a_len[a])
-        a_ends = np.searchsorted(a_upto, ends)
-        if len(a) == 0 or a_upto[-1] != len(text) or (a_upto[a_ends] != ends).any():  # one ends in white space, which is read with what follows
-            each = [self.plain.encode_ordinary(p) for p in new]
-            a, a_ends = np.array([i for x in each for i in x], np.int32), np.cumsum([len(x) for x in each]) - 1
-        a_sizes = np.diff(np.r_[0, a_ends + 1])
         found = self.b.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1)
-        for k, piece in enumerate(new):
+        for piece, b in zip(new, found, strict=True):
             if piece == " ":
-                found[k] = [self.first]
+                b = [self.first]
             elif piece[0] != " ":  # the model has put a space before it, which is a token of its own there
-                found[k] = found[k][1:] if found[k] and found[k][0] == self.first else []
-        b_sizes = np.array([len(x) for x in found], np.int64)
-        b = np.array([i for x in found for i in x], np.int32)
-        told = np.r_[0, np.cumsum(self.b_len[b])][np.cumsum(b_sizes)]
-        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != text or (told != ends).any():
-            self.bad.update(p for p, w, own in zip(new, whole, found, strict=True) if b"".join(map(self.b_bytes.__getitem__, own)) != w)
-        starts = np.r_[0, np.cumsum(a_sizes + b_sizes)]
-        both = np.empty(starts[-1], np.int32)
-        both[np.repeat(starts[:-1] - np.r_[0, np.cumsum(a_sizes)[:-1]], a_sizes) + np.arange(len(a))] = a
-        both[np.repeat(starts[:-1] + a_sizes - np.r_[0, np.cumsum(b_sizes)[:-1]], b_sizes) + np.arange(len(b))] = ~b
-        raw, places = both.tobytes(), (4 * starts).tolist()
-        self.held.update(zip(new, (raw[s:e] for s, e in zip(places, places[1:], strict=False)), strict=True))
+                b = b[1:] if b and b[0] == self.first else []
+            a, whole = self.plain.encode_ordinary(piece), piece.encode("utf-8", "replace")
+            if b"".join(map(self.b_bytes.__getitem__, b)) != whole or b"".join(map(self.a.tokens.__getitem__, a)) != whole:
+                self.bad.add(piece)
+            self.held[piece] = array("i", [*a, *(~i for i in b)]).tobytes()
 
     def encode(self, parts: list[str]) -> list[np.ndarray | None]:
         """The ids of each part, those of B as complements; None if the bytes are not the text's."""
