@@ -11,9 +11,11 @@ have no view; empty tables stay empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +29,22 @@ TRUST = ("verified", "corroborated", "tentative")
 _STEP = CARD_WIDTH + SIBLING_GAP
 
 
-def _packed(rows: pd.DataFrame, per_line: int) -> pd.DataFrame:
-    """Lines of a year's papers: by depth below same-year parents, each on the first line below its parents with room."""
-    rows = rows.sort_values("place")
-    nodes, parents = rows["node"].tolist(), [list(p) if p is not None else [] for p in rows["parents"]]
-    links = [(p, n) for n, own in zip(nodes, parents, strict=True) for p in own]
-    depth = dict.fromkeys(nodes, 0)
-    for _ in nodes:
+def _packed(year: list[tuple[object, list]], per_line: int) -> tuple[list[tuple[int, int]], int]:
+    """(line, column) of each of a year's papers, given from left to right with their same-year parents, and how many lines there
+    are: by depth below the parents, each on the first line below its parents with room."""
+    links = [(p, n) for n, own in year for p in own]
+    depth = {n: 0 for n, _ in year}
+    for _ in year:
         changed = False
         for p, n in links:
-            if depth[n] < depth[p] + 1 < len(nodes):
+            if depth[n] < depth[p] + 1 < len(year):
                 depth[n], changed = depth[p] + 1, True
         if not changed:
             break
     line_of: dict = {}
     used: list[int] = []
     first_free = 0  # lines before it are full
-    for n, own in sorted(zip(nodes, parents, strict=True), key=lambda x: depth[x[0]]):
+    for n, own in sorted(year, key=lambda x: depth[x[0]]):
         line = max([first_free, *(line_of[p] + 1 for p in own if p in line_of)])
         while line < len(used) and used[line] >= per_line:
             line += 1
@@ -52,9 +53,11 @@ def _packed(rows: pd.DataFrame, per_line: int) -> pd.DataFrame:
         line_of[n] = line
         while first_free < len(used) and used[first_free] >= per_line:
             first_free += 1
-    out = rows.assign(line=[line_of[n] for n in nodes])
-    out["column"] = out.groupby("line").cumcount()
-    return out.assign(lines=len(used))
+    filled, out = [0] * len(used), []
+    for n, _ in year:
+        out.append((line_of[n], filled[line_of[n]]))
+        filled[line_of[n]] += 1
+    return out, len(used)
 
 
 def year_lines(nodes: DataFrame, edges: DataFrame, per_line: int) -> DataFrame:
@@ -66,11 +69,36 @@ def year_lines(nodes: DataFrame, edges: DataFrame, per_line: int) -> DataFrame:
     parents = same.groupBy("graph_id", F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("parents"))
     rows = nodes.select("graph_id", "node", "year", "place").join(parents, ["graph_id", "node"], "left")
     kinds = dict(rows.dtypes)
-
-    def pack(year: pd.DataFrame) -> pd.DataFrame:
-        return _packed(year, per_line)[["graph_id", "year", "node", "line", "column", "lines"]]
-
-    return rows.groupBy("graph_id", "year").applyInPandas(pack, f"graph_id {kinds['graph_id']}, year {kinds['year']}, node {kinds['node']}, line int, column int, lines int")
+    ordered = rows.repartition("graph_id", "year").sortWithinPartitions("graph_id", "year", "place").select("graph_id", "year", "node", "parents")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, year, out, fields = None, [], [], None
+
+        def done() -> None:
+            placed, lines = _packed(year, per_line)
+            out.extend((*key, n, line, column, lines) for (n, _), (line, column) in zip(year, placed, strict=True))
+            year.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            types = [*fields, pa.int32(), pa.int32(), pa.int32()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["graph_id", "year", "node", "line", "column", "lines"])
+
+        for batch in batches:
+            fields = [batch.schema.field(k).type for k in range(3)]
+            for graph, when, node, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if year and (graph, when) != key:
+                    done()
+                key = (graph, when)
+                year.append((node, own or []))
+            if out:
+                yield batch_of()
+        if year:
+            done()
+            yield batch_of()
+
+    return ordered.mapInArrow(run, f"graph_id {kinds['graph_id']}, year {kinds['year']}, node {kinds['node']}, line int, column int, lines int")
 
 
 def chronological(nodes: DataFrame, edges: DataFrame, per_line: int, order: list[Column]) -> DataFrame:
