@@ -54,14 +54,19 @@ def chips(counts: DataFrame, group: str, tag: str, n: str, head: int) -> DataFra
     return ranked.groupBy(group).agg(F.transform(first, lambda x: x["t"]).alias("head"), F.coalesce(F.sum(F.when(F.col("_r") > head, F.col(n))), F.lit(0)).alias("rest"))
 
 
-def edge_metrics(edges: DataFrame, graph: str, sink: int = 8) -> DataFrame:
-    """Per graph of edges(graph, src, dst, src_year, dst_year, relation, evidence): edges, weak ones and their share,
-    reversals (the older end over a year younger), and sinks: nodes with ``sink`` citers and no citation evidence."""
-    degree = edges.groupBy(graph, "src").agg(F.countDistinct("dst").alias("citers"), F.bool_or("evidence").alias("seen"))
-    sinks = degree.groupBy(graph).agg(F.count_if((F.col("citers") >= sink) & ~F.col("seen")).alias("sinks"))
-    weak = F.col("relation") == "baseline_only"
-    counts = edges.groupBy(graph).agg(F.count("*").alias("edges"), F.count_if(weak).alias("weak"), F.avg(F.when(weak, 1.0).otherwise(0.0)).alias("weak_ratio"), F.count_if(F.col("src_year") > F.col("dst_year") + 1).alias("reversals"))
-    return counts.join(sinks, graph)
+def edge_metrics(edges: DataFrame, graph: str, templates: list[str], sink: int = 8, least: int = 10) -> DataFrame:
+    """Per graph of edges(graph, src, dst, src_year, dst_year, rationale, evidence): edges, those whose rationale is one of
+    the templates and their share, those whose rationale is shorter than ``least`` characters but not empty and their share,
+    sinks (nodes that ``sink`` or more edges without citation evidence lead to), and reversals (src over a year younger). A
+    null rationale is empty, null evidence none, and an edge with a null year no reversal."""
+    said = F.trim(F.coalesce("rationale", F.lit("")))
+    template, short = said.isin(*templates), (F.char_length(said) > 0) & (F.char_length(said) < least)
+    into = edges.where(~F.coalesce("evidence", F.lit(False)) & F.col("dst").isNotNull()).groupBy(graph, "dst").agg(F.count("*").alias("_n"))
+    sinks = into.groupBy(graph).agg(F.count_if(F.col("_n") >= sink).alias("sinks"))
+    counts = edges.groupBy(graph).agg(
+        F.count("*").alias("edges"), F.count_if(template).alias("template"), F.avg(F.when(template, 1.0).otherwise(0.0)).alias("template_ratio"),
+        F.count_if(short).alias("short"), F.avg(F.when(short, 1.0).otherwise(0.0)).alias("short_ratio"), F.count_if(F.col("src_year") > F.col("dst_year") + 1).alias("reversals"))
+    return counts.join(sinks, graph, "left").withColumn("sinks", F.coalesce("sinks", F.lit(0)))
 
 
 def off_topic_share(nodes: DataFrame, graph: str, samples: int = 5) -> DataFrame:
@@ -131,15 +136,19 @@ def regressions(before: DataFrame, after: DataFrame, key: str, order: list[str])
     return both.select(key, reason.alias("reason")).where("reason is not null")
 
 
-def index_faults(rows: DataFrame, low: int = 1900, high: int = 2100) -> DataFrame:
-    """(ordinal, faults) of index rows(title, conference, ordinal, authors, tags, year, type) that break the contract: empty
-    text, an ordinal that is not the row's place in (conference, title), a year out of range, an unknown type."""
+def index_faults(rows: DataFrame, low: int = 1900, high: int = 2200) -> DataFrame:
+    """(ordinal, faults) of index rows(title, conference, ordinal, authors, tags, year, type) that break the contract: a blank
+    title, a conference that is no slug, an ordinal that is not the row's place in (conference, title), lists that are null
+    or hold null, a year out of range (null is none), another type than Oral and Poster."""
     from lectern.operators.ordinals import sorted_ordinal
 
+    def broken(name: str) -> Column:
+        return F.col(name).isNull() | F.exists(name, lambda x: x.isNull())
+
     placed = sorted_ordinal(rows.withColumnRenamed("ordinal", "told"), ["conference", "title", "told"])
     faults = F.array_compact(F.array(
-        F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "title"), F.when(F.trim(F.coalesce("conference", F.lit(""))) == "", "conference"), F.when(F.col("told") != F.col("ordinal"), "ordinal"),
-        F.when(F.size("authors") == 0, "authors"), F.when(F.exists("tags", lambda t: t == ""), "tags"), F.when(~F.coalesce(F.col("year").between(low, high), F.lit(True)), "year"), F.when(~F.col("type").isin("Oral", "Poster"), "type"),
+        F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "title"), F.when(~F.regexp(F.coalesce("conference", F.lit("")), F.lit("^[a-z0-9][a-z0-9-]*$")), "conference"), F.when(~F.col("told").eqNullSafe(F.col("ordinal")), "ordinal"),
+        F.when(broken("authors"), "authors"), F.when(broken("tags"), "tags"), F.when(~F.coalesce(F.col("year").between(low, high), F.lit(True)), "year"), F.when(~F.coalesce(F.col("type").isin("Oral", "Poster"), F.lit(False)), "type"),
     ))
     return placed.select(F.col("told").alias("ordinal"), faults.alias("faults")).where("size(faults) > 0")
 

@@ -63,14 +63,19 @@ def tag_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.chips(counts, "source", "lang", "n", 2)
 
 
-@query("G05", f"""WITH {EDGES_SQL}, k AS (SELECT o_custkey % 20 AS g, src, dst % 40 AS dst, src_year, dst_year, relation, gap = 2 AND src % 5 = 0 AS evidence FROM (SELECT graph_id AS o_custkey, src % 30 AS src, dst, src_year, dst_year, relation, gap FROM edges)),
-d AS (SELECT g, src, count(DISTINCT dst) AS citers, bool_or(evidence) AS seen FROM k GROUP BY ALL), s AS (SELECT g, count(*) FILTER (WHERE citers >= 8 AND NOT seen) AS sinks FROM d GROUP BY g)
-SELECT g, count(*) AS edges, count(*) FILTER (WHERE relation = 'baseline_only') AS weak, round(avg(CASE WHEN relation = 'baseline_only' THEN 1.0 ELSE 0.0 END), 6) AS weak_ratio, count(*) FILTER (WHERE src_year > dst_year + 1) AS reversals, any_value(sinks) AS sinks FROM k JOIN s USING (g) GROUP BY g""")
+@query("G05", f"""WITH {EDGES_SQL}, k AS (SELECT graph_id % 20 AS g, src, dst % 40 AS dst, CASE WHEN dst % 17 = 0 THEN src_year + 3 ELSE src_year END AS src_year, dst_year, gap = 2 AND src % 5 = 0 AS evidence,
+  CASE WHEN dst % 6 = 0 THEN ' B only follows A. ' WHEN dst % 7 = 0 THEN 'see A' WHEN dst % 11 <> 0 THEN 'B extends A to ' || dst END AS why FROM edges),
+s AS (SELECT g, count(*) FILTER (WHERE n >= 8) AS sinks FROM (SELECT g, dst, count(*) AS n FROM k WHERE NOT evidence GROUP BY ALL) GROUP BY g)
+SELECT g, count(*) AS edges, count(*) FILTER (WHERE trim(why) = 'B only follows A.') AS template, round(avg(CASE WHEN trim(why) = 'B only follows A.' THEN 1.0 ELSE 0.0 END), 6) AS template_ratio, count(*) FILTER (WHERE length(trim(why)) BETWEEN 1 AND 9) AS short,
+  round(avg(CASE WHEN length(trim(why)) BETWEEN 1 AND 9 THEN 1.0 ELSE 0.0 END), 6) AS short_ratio, count(*) FILTER (WHERE src_year > dst_year + 1) AS reversals, coalesce(any_value(sinks), 0) AS sinks FROM k LEFT JOIN s USING (g) GROUP BY g""")
 def theme_edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs of many customers' orders laid over one another, so that some nodes have many citers."""
+    c = F.col
+    why = F.when(c("dst") % 6 == 0, " B only follows A. ").when(c("dst") % 7 == 0, "see A").when(c("dst") % 11 != 0, F.concat(F.lit("B extends A to "), "dst"))
     laid = edges(spark, sf_dir).select(
-        (F.col("graph_id") % 20).alias("g"), (F.col("src") % 30).alias("src"), (F.col("dst") % 40).alias("dst"), "src_year", "dst_year", "relation", ((F.col("gap") == 2) & (F.col("src") % 30 % 5 == 0)).alias("evidence"))
-    return catalog.edge_metrics(laid, "g").select("g", "edges", "weak", F.round("weak_ratio", 6).alias("weak_ratio"), "reversals", "sinks")
+        (c("graph_id") % 20).alias("g"), "src", (c("dst") % 40).alias("dst"), F.when(c("dst") % 17 == 0, c("src_year") + 3).otherwise(c("src_year")).alias("src_year"), "dst_year", ((c("gap") == 2) & (c("src") % 5 == 0)).alias("evidence"), why.alias("rationale"))
+    told = catalog.edge_metrics(laid, "g", ["B only follows A."])
+    return told.withColumns({n: F.round(n, 6) for n in ("template_ratio", "short_ratio")})
 
 
 @query("G06", """WITH n AS (SELECT o_custkey AS g, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <= 2 AS focus, o_totalprice > 400000 AS base, o_orderpriority < '4' AS topic FROM orders), j AS (SELECT * FROM n WHERE NOT focus AND NOT base)
@@ -191,18 +196,21 @@ def publish_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.regressions(built(orders), built(after), "theme", ["audited", "unaudited", "blocked"])
 
 
-@query("V05", f"""WITH {PAPERS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY source, title, ord) - 1 AS place FROM papers), x AS (SELECT *, place + CASE WHEN ord % 31 = 0 THEN 1000000 ELSE 0 END AS told, CASE WHEN ord % 23 = 0 THEN 1800 WHEN ord % 5 = 0 THEN NULL ELSE 2020 END AS y FROM p),
-q AS (SELECT *, row_number() OVER (ORDER BY source, title, told) - 1 AS seen FROM x), f AS (SELECT told AS ordinal, list_filter([CASE WHEN trim(coalesce(title, '')) = '' THEN 'title' END, CASE WHEN told <> seen THEN 'ordinal' END, CASE WHEN NOT coalesce(y BETWEEN 1900 AND 2100, true) THEN 'year' END, CASE WHEN category = 'es' THEN 'type' END], lambda s: s IS NOT NULL) AS faults FROM q)
+@query("V05", f"""WITH {PAPERS_SQL}, p AS (SELECT *, CASE WHEN ord % 29 = 0 THEN '-' || source ELSE source END AS conf FROM papers), w AS (SELECT *, row_number() OVER (ORDER BY conf, title, ord) - 1 AS place FROM p),
+x AS (SELECT *, place + CASE WHEN ord % 31 = 0 THEN 1000000 ELSE 0 END AS told, CASE WHEN ord % 23 = 0 THEN 1800 WHEN ord % 19 = 0 THEN 2200 WHEN ord % 5 = 0 THEN NULL ELSE 2020 END AS y FROM w),
+q AS (SELECT *, row_number() OVER (ORDER BY conf, title, told) - 1 AS seen FROM x), f AS (SELECT told AS ordinal, list_filter([CASE WHEN trim(coalesce(title, '')) = '' THEN 'title' END, CASE WHEN NOT regexp_full_match(conf, '[a-z0-9][a-z0-9-]*') THEN 'conference' END, CASE WHEN told <> seen THEN 'ordinal' END,
+  CASE WHEN ord % 37 = 0 THEN 'authors' END, CASE WHEN ord % 41 = 0 THEN 'tags' END, CASE WHEN NOT coalesce(y BETWEEN 1900 AND 2200, true) THEN 'year' END, CASE WHEN category = 'es' THEN 'type' END], lambda s: s IS NOT NULL) AS faults FROM q)
 SELECT * FROM f WHERE len(faults) > 0""")
 def index_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the search index that break its contract; some are told wrong places, years and types here."""
+    """Rows of the search index that break its contract; some are told wrong slugs, places, lists, years and types here."""
     from lectern.operators.ordinals import sorted_ordinal
 
     k = F.col("ord")
-    placed = sorted_ordinal(papers(spark, sf_dir).select("ord", "title", F.col("source").alias("conference"), "category"), ["conference", "title", "ord"])
+    conference = F.when(k % 29 == 0, F.concat(F.lit("-"), "source")).otherwise(F.col("source"))
+    placed = sorted_ordinal(papers(spark, sf_dir).select("ord", "title", conference.alias("conference"), "category"), ["conference", "title", "ord"])
     rows = placed.select(
-        "title", "conference", (F.col("ordinal") + F.when(k % 31 == 0, 1000000).otherwise(0)).alias("ordinal"), F.array("category").alias("authors"), F.array("category").alias("tags"),
-        F.when(k % 23 == 0, 1800).when(k % 5 != 0, 2020).alias("year"), F.when(F.col("category") == "es", "Talk").otherwise("Oral").alias("type"))
+        "title", "conference", (F.col("ordinal") + F.when(k % 31 == 0, 1000000).otherwise(0)).alias("ordinal"), F.when(k % 37 != 0, F.array("category")).alias("authors"), F.array(F.when(k % 41 != 0, F.col("category"))).alias("tags"),
+        F.when(k % 23 == 0, 1800).when(k % 19 == 0, 2200).when(k % 5 != 0, 2020).alias("year"), F.when(F.col("category") == "es", "Talk").otherwise("Oral").alias("type"))
     return catalog.index_faults(rows)
 
 

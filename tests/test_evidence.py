@@ -74,9 +74,9 @@ def test_catalog_operators(spark):
     tiers = lambda rows: spark.createDataFrame(rows, "k long, tier string, nodes long")
     found = dict(catalog.regressions(tiers([(1, "a", 10), (2, "a", 10), (3, "a", 10), (4, "a", 10)]), tiers([(1, "b", 10), (2, "a", 4), (4, "a", 5)]), "k", ["a", "b"]).collect())
     assert found == {1: "tier", 2: "nodes", 3: "gone"}
-    edges = spark.createDataFrame([(1, 5, k, 2000, 2001, "extends", False) for k in range(8)] + [(1, 6, 1, 2005, 2001, "baseline_only", True)], "g long, src long, dst long, src_year long, dst_year long, relation string, evidence boolean")
-    m = catalog.edge_metrics(edges, "g").first()
-    assert (m["edges"], m["weak"], m["reversals"], m["sinks"]) == (9, 1, 1, 1)
+    edges = spark.createDataFrame([(1, k, 5, 2000, 2001, "template one", None) for k in range(8)] + [(1, k, 6, 2005, 2001, "short", True) for k in range(9)] + [(1, 1, 7, None, 2001, None, False)], "g long, src long, dst long, src_year long, dst_year long, rationale string, evidence boolean")
+    m = catalog.edge_metrics(edges, "g", ["template one"]).first()
+    assert (m["edges"], m["template"], m["short"], m["reversals"], m["sinks"]) == (18, 8, 9, 9, 1)
 
 
 def test_schema_issues_and_readers(spark):
