@@ -30,33 +30,43 @@ def provenance_faults(provenance: Column) -> Column:
     """Codes of what a JSON text of (producer, evidence, classification) breaks. The objects are closed: no key may lack or
     be added. A language model's class needs its provider, model and prompt; null, no JSON or no object is one fault of shape.
     Values are compared as text, so a number where a text belongs passes as its digits."""
-    def at(path: str) -> Column:
-        return F.get_json_object(provenance, f"$.{path}")
-
-    def closed(value: Column, names: tuple[str, ...]) -> Column:
-        return F.coalesce(F.array_sort(F.json_object_keys(value)) == F.array(*map(F.lit, sorted(names))), F.lit(False))
-
-    def lacks(path: str, *names: str) -> Column:
-        return reduce(lambda a, b: a | b, (~_said(at(f"{path}.{n}")) for n in names))
-
+    parts = ("producer", "evidence", "classification")
     identity = ("provider", "model", "prompt_version")
-    blank = reduce(lambda a, b: a | b, (at(f"classification.{n}").isNotNull() & ~_said(at(f"classification.{n}")) for n in identity))
-    producer = lacks("producer", "name", "version")
-    evidence = lacks("evidence", "source", "kind") | ~F.regexp(F.coalesce(at("evidence.sha256"), F.lit("")), F.lit(SHA256))
-    sorted_out = F.json_object_keys(at("classification")).isNotNull()
-    method = at("classification.method")
-    found = _codes(
-        ("provenance_fields", ~closed(provenance, ("producer", "evidence", "classification"))),
-        ("provenance_producer", producer), ("provenance_producer_fields", ~producer & ~closed(at("producer"), ("name", "version"))),
-        ("provenance_evidence", evidence), ("provenance_evidence_fields", ~evidence & ~closed(at("evidence"), ("source", "kind", "sha256"))),
-        ("provenance_classification", ~sorted_out),
-        ("provenance_classification_fields", sorted_out & ~closed(at("classification"), ("method", *identity, "schema_version"))),
-        ("classification_method", sorted_out & ~F.coalesce(method.isin(*METHODS), F.lit(False))),
-        ("classification_schema", sorted_out & lacks("classification", "schema_version")),
-        ("classification_identity", sorted_out & blank),
-        ("llm_identity", sorted_out & (method == "llm") & lacks("classification", *identity)),
-    )
-    return F.when(F.json_object_keys(provenance).isNull(), F.array(F.lit("provenance_shape"))).otherwise(found)
+    parsed = F.from_json(provenance, ", ".join(f"{p} map<string,string>" for p in parts))
+
+    def closed(keys: Column, names: tuple[str, ...]) -> Column:
+        return F.coalesce(F.array_sort(keys) == F.array(*map(F.lit, sorted(names))), F.lit(False))
+
+    def judged(row: Column) -> Column:
+        keys = {p: F.map_keys(row["parsed"][p]) for p in parts}
+
+        def at(part: str, name: str) -> Column:
+            return F.element_at(row["parsed"][part], F.lit(name))
+
+        def lacks(part: str, *names: str) -> Column:
+            return reduce(lambda a, b: a | b, (~_said(at(part, n)) for n in names))
+
+        blank = reduce(lambda a, b: a | b, (at("classification", n).isNotNull() & ~_said(at("classification", n)) for n in identity))
+        producer = lacks("producer", "name", "version")
+        evidence = lacks("evidence", "source", "kind") | ~F.regexp(F.coalesce(at("evidence", "sha256"), F.lit("")), F.lit(SHA256))
+        classed = row["parsed"]["classification"].isNotNull()
+        method = at("classification", "method")
+        found = _codes(
+            ("provenance_fields", ~closed(row["keys"], parts)),
+            ("provenance_producer", producer), ("provenance_producer_fields", ~producer & ~closed(keys["producer"], ("name", "version"))),
+            ("provenance_evidence", evidence), ("provenance_evidence_fields", ~evidence & ~closed(keys["evidence"], ("source", "kind", "sha256"))),
+            ("provenance_classification", ~classed),
+            ("provenance_classification_fields", classed & ~closed(keys["classification"], ("method", *identity, "schema_version"))),
+            ("classification_method", classed & ~F.coalesce(method.isin(*METHODS), F.lit(False))),
+            ("classification_schema", classed & lacks("classification", "schema_version")),
+            ("classification_identity", classed & blank),
+            ("llm_identity", classed & (method == "llm") & lacks("classification", *identity)),
+        )
+        return F.when(row["keys"].isNull(), F.array(F.lit("provenance_shape"))).otherwise(found)
+
+    # as the one element of an array the text is parsed once, however many checks read it
+    once = F.array(F.struct(F.json_object_keys(provenance).alias("keys"), parsed.alias("parsed")))
+    return F.element_at(F.transform(once, judged), 1)
 
 
 def _at(kind: str, pos: str = "pos") -> Column:
