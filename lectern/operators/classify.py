@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.storage import spread
+
 
 def guard(edges: DataFrame, survey: Column, unsupported: Column, most: float = 0.6) -> DataFrame:
     """Edges of surveys and claims without evidence fall to baseline_only with a capped confidence."""
@@ -31,13 +33,32 @@ def version_of(title: Column) -> tuple[Column, Column]:
     return F.when(number.isNull(), low).otherwise(F.regexp_replace(low, r"[\s-]+v?[0-9]{1,2}$", "")), F.coalesce(number, F.lit(1))
 
 
+def improved_name(title: Column) -> Column:
+    """The name that a title says it improves, else empty."""
+    return F.regexp_extract(F.trim(F.lower(title)), r"^(?:improved|enhanced|better)\s+(.*)$", 1)
+
+
 def is_version_increment(parent: Column, child: Column, most: int = 20) -> Column:
     """The child has the parent's base and a larger version, or says that it improves the parent by name."""
     (pb, pv), (cb, cv) = version_of(parent), version_of(child)
-    improved = F.regexp_extract(F.trim(F.lower(child)), r"^(?:improved|enhanced|better)\s+(.*)$", 1)
+    improved = improved_name(child)
     return ((pb == cb) & (cv > pv) & (cv <= most)) | ((improved != "") & (improved == pb))
 
 
+def version_increments(titles: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """(parent, child) of titles(id, title, *keys): the pairs with the same keys, the parent's id smaller, for which
+    ``is_version_increment`` holds. Titles are taken apart once each, and only those that agree meet."""
+    base, version = version_of(F.col("title"))
+    parts = titles.select("id", *keys, base.alias("base"), version.alias("version"), improved_name(F.col("title")).alias("improved"))
+    parent = spread(parts.select(*keys, "base", F.col("id").alias("parent"), F.col("version").alias("_pv")), *keys, "base")
+    child = parts.select(*keys, "base", F.col("id").alias("child"), F.col("version").alias("_cv"), "improved")
+    larger = (F.col("_cv") > F.col("_pv")) & (F.col("_cv") <= most)
+    by_version = parent.join(child, [*keys, "base"]).where((F.col("parent") < F.col("child")) & larger)
+    named = child.where("improved <> ''").withColumnsRenamed({"base": "_cb", "improved": "base"})
+    by_name = parent.join(named, [*keys, "base"]).where((F.col("parent") < F.col("child")) & ~((F.col("base") == F.col("_cb")) & larger))
+    return by_version.select("parent", "child").unionByName(by_name.select("parent", "child"))
+
+
 def initialism(title: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(title), F.lit("[a-z][a-z0-9]*"), F.lit(0)), lambda w: F.substring(w, 1, 1)), "")
 

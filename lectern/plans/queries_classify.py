@@ -15,9 +15,8 @@ WHERE b.v <= 20 AND greatest(b.v, CASE WHEN b.v = 0 THEN 1 ELSE b.v END) > CASE
 def version_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("p_size") % 25
     title = F.concat("p_name", F.when(v == 0, "").otherwise(F.concat(F.lit(" v"), v.cast("string"))))
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", title.alias("title"))
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.where(classify.is_version_increment(F.col("a.title"), F.col("b.title"))).select(F.col("a.p_partkey").alias("parent"), F.col("b.p_partkey").alias("child"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name", title.alias("title"))
+    return classify.version_increments(p, ["p_brand", "p_name"])
 
 
 @query("C05", """SELECT p_partkey, p_size % 3 + 1 >= 2 AND p_size % 2 = 0 AS increment FROM part""")

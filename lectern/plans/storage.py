@@ -34,6 +34,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many parts as a shuffle has, by ``keys``. A join that gives many rows for few bytes would else run in the
+    few parts that those bytes are merged to."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a materialized frame that no plan reads any more."""
     spark = df.sparkSession
