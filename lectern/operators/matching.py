@@ -29,6 +29,16 @@ def similar_sets(sets: DataFrame, over: int, under: int) -> DataFrame:
     return measured.where(F.col("shared") * under >= F.col("union") * over).select("a", "b", (F.col("shared") / F.col("union")).alias("score"))
 
 
+def contained_names(names: DataFrame, block: list[str]) -> DataFrame:
+    """(*block, inner, outer) of distinct names(*block, name): names of one block whose words, all different, are all among
+    the outer's. A name is looked up by its rarest word only; no pair is missed, and each name is its own outer."""
+    words = names.withColumn("w", F.split("name", " "))
+    each = words.select(*block, "name", "w", F.explode(F.array_distinct("w")).alias("word"))
+    rare = each.join(each.groupBy(*block, "word").agg(F.count("*").alias("df")), [*block, "word"]).groupBy(*block, "name").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.first("w").alias("iw"))
+    both = rare.withColumnRenamed("name", "inner").join(each.withColumnsRenamed({"name": "outer", "w": "ow"}), [*block, "word"])
+    return both.where(F.size(F.array_intersect("iw", "ow")) == F.size("iw")).select(*block, "inner", "outer")
+
+
 def typo_pairs(titles: DataFrame) -> DataFrame:
     """(a, b): distinct titles, each named by its least id, that differ in one word as ``single_word_typo`` has it.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.highlight import client_key
 from lectern.operators import dedup, gates, structure, windows
 from lectern.plans.registry import query
+from lectern.plans.storage import spread
 from lectern.plans.views import EDGES_SQL, PAPERS_SQL, edges, nodes, papers, table
 
 
@@ -70,10 +71,16 @@ def merged_title_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.prefix = b.prefix AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 1
 WHERE len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) = len(string_split(a.p_name, ' '))""")
 def versioned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"), "p_size", "p_brand", F.substring_index("p_name", " ", 1).alias("prefix"))
-    a, b = p.alias("a"), p.alias("b")
-    same = (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, same).where((F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 1) & (F.size(F.array_except("a.w", "b.w")) == 0)).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    """Names meet as names: rows are joined only where their names agree and their sizes are at most one apart."""
+    from lectern.operators.matching import contained_names
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), "p_size", "p_brand", F.substring_index("p_name", " ", 1).alias("prefix"))
+    within = contained_names(p.select("p_brand", "prefix", "name").where("prefix is not null and p_brand is not null").distinct(), ["p_brand", "prefix"])
+    near = F.explode(F.array(*(F.col("p_size") + k for k in (-1, 0, 1)))).alias("p_size")
+    a = p.select(F.col("p_partkey").alias("a"), "p_brand", F.col("name").alias("inner"), near).join(within.drop("prefix"), ["p_brand", "inner"])
+    b = p.select(F.col("p_partkey").alias("b"), "p_brand", F.col("name").alias("outer"), "p_size")
+    keys = ["p_brand", "outer", "p_size"]
+    return spread(a.select("a", *keys), *keys).join(b, keys).where("a < b").select("a", "b")
 
 
 @query("D09 J12", """WITH a AS (SELECT c_nationkey AS alias, c_custkey AS paper, c_acctbal AS cites FROM customer)

@@ -12,3 +12,28 @@ def test_version_increments_are_those_of_all_pairs(spark):
     want = a.join(b, (F.col("a.shop") == F.col("b.shop")) & (F.col("a.id") < F.col("b.id"))).where(is_version_increment(F.col("a.title"), F.col("b.title"))).select("a.id", "b.id")
     got = version_increments(rows, ["shop"]).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) > 20
+
+
+def test_versioned_pairs_with_repeated_words_are_those_of_the_sql(spark, tmp_path):
+    import random
+
+    from lectern.plans.catalogue import QUERIES
+    from tests.oracle import TABLES
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    rng = random.Random(3)
+    part = spark.read.parquet(str(tmp_path / "part.parquet"))
+    names = ["ring ring", "ring", "ring bolt", "ring bolt ring", "ring bolt wide", "bolt ring", "ring wide bolt long"]
+    rows = [(k, rng.choice(names), f"Brand#{k % 2}", "SMALL", rng.randrange(1, 8), 1.0) for k in range(120)]
+    (tmp_path / "part.parquet").unlink()
+    spark.createDataFrame(rows, part.schema).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    q = QUERIES["versioned_pairs"]
+    found = q.plan(spark, str(tmp_path))
+    assert found.count() > 100
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(q.sql).fetchall())
