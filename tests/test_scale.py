@@ -37,3 +37,20 @@ def test_versioned_pairs_with_repeated_words_are_those_of_the_sql(spark, tmp_pat
     con = duckdb.connect()
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(q.sql).fetchall())
+
+
+def test_similar_sets_of_all_sizes_meet_by_several_items(spark):
+    import random
+
+    from lectern.operators.matching import _picks, similar_sets
+
+    rng = random.Random(5)
+    sets = []
+    for k in range(260):
+        base = sets[rng.randrange(len(sets))][1] if sets and rng.random() < 0.7 else rng.sample(range(90), rng.choice([1, 2, 3, 5, 8, 12, 20, 24, 25, 30, 45]))
+        sets.append((k, sorted({x if rng.random() < 0.85 else rng.randrange(90) for x in base} | ({7} if rng.random() < 0.6 else set()))))
+    rows = spark.createDataFrame([(k, [f"w{x}" for x in s]) for k, s in sets], "id long, items array<string>")
+    for over, under in ((3, 5), (4, 5), (1, 4)):
+        want = {(i, j) for i, x in sets for j, y in sets if i < j and len({*x} & {*y}) * under >= len({*x} | {*y}) * over and {*x} & {*y}}
+        assert {(r["a"], r["b"]) for r in similar_sets(rows, over, under).collect()} == want and len(want) > 50
+    assert all(j is not None for n, m, i, j, _ in _picks(3, 5) if n >= 2 and m >= 2)
