@@ -4,12 +4,13 @@ by nature (longest paths with ties, shortest chains) run per small graph, keyed
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.groups import in_groups
 from lectern.plans.storage import materialize
 
 STRONG = frozenset(("supersedes", "successor", "extends"))
@@ -85,11 +86,17 @@ def longest_depth(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFr
     return found.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
-def _topological(rows: pd.DataFrame) -> list[tuple[int, int]]:
-    """(year, node) in an order where cited nodes come first; ties and cycles by year, then id."""
-    year = dict(zip(rows["src"], rows["src_year"], strict=True)) | dict(zip(rows["dst"], rows["dst_year"], strict=True))
+def _empty(like: DataFrame, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame([], schema)
+
+
+def _topological(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(year, node) of rows (graph_id, src, dst, src_year, dst_year, …) in an order where cited nodes come first; ties and cycles
+    by year (none last), then id."""
+    known = {r[1]: r[3] for r in rows} | {r[2]: r[4] for r in rows}
+    year = {n: 1 << 30 if y is None else y for n, y in known.items()}
     waiting, out = dict.fromkeys(year, 0), defaultdict(list)
-    for s, d in zip(rows["src"], rows["dst"], strict=True):
+    for s, d in dict.fromkeys((r[1], r[2]) for r in rows):
         out[s].append(d)
         waiting[d] += 1
     ready, order, left = [(year[n], n) for n, k in waiting.items() if not k], [], set(year)
@@ -121,13 +128,13 @@ def oriented(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").withColumns({**turned, **years})
 
 
-def _main_path(rows: pd.DataFrame) -> list:
+def _main_path(rows: list[tuple]) -> list:
     """Nodes of one graph's main path. rows: oriented edges, parallel ones kept, each a claim of its own."""
-    place = {n: k for k, (_, n) in enumerate(_topological(rows.drop_duplicates(["src", "dst"])))}
+    place = {n: k for k, (_, n) in enumerate(_topological(rows))}
     links = []
-    for s, d, relation, confidence in zip(rows["src"], rows["dst"], rows["relation"], rows["confidence"], strict=True):
+    for _, s, d, _, _, relation, confidence in rows:
         first, last = (s, d) if place[s] < place[d] else (d, s)  # a cycle within a year is cut by the order
-        sure = min(1.0, max(0.05, confidence)) if confidence == confidence and confidence is not None else 0.5
+        sure = min(1.0, max(0.05, confidence)) if confidence is not None and confidence == confidence else 0.5
         links.append((first, last, MAIN_PATH_WEIGHTS.get(relation, 1.0) * sure, (place[first], s, d, relation)))
     into, out = defaultdict(list), defaultdict(list)
     for link in links:
@@ -167,35 +174,33 @@ def main_paths(edges: DataFrame) -> DataFrame:
     known = edges if "confidence" in edges.columns else edges.withColumn("confidence", F.lit(0.5))
     links = oriented(known.select("graph_id", "src", "dst", "src_year", "dst_year", "relation", F.col("confidence").cast("double").alias("confidence")))
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        path = _main_path(rows)
-        return pd.DataFrame({"graph_id": rows["graph_id"].iloc[0], "pos": range(len(path)), "node": path})
+    def work(rows: list[tuple]) -> list[tuple]:
+        return [(rows[0][0], k, node) for k, node in enumerate(_main_path(rows))]
 
-    return links.groupBy("graph_id").applyInPandas(work, "graph_id long, pos long, node long")
+    return in_groups(links, work, _empty(edges, "graph_id long, pos long, node long"))
 
 
 def shortest_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """(graph_id, cost, hops) from each graph's first to its last node: a strong edge costs 1, another 2."""
 
-    def work(rows: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(target):
-            return pd.DataFrame({"graph_id": [], "cost": [], "hops": []})
+    def work(rows: list[tuple]) -> list[tuple]:
         out = defaultdict(list)
-        for s, d, r in zip(rows["src"], rows["dst"], rows["relation"], strict=True):
+        for _, s, d, r, _, _ in rows:
             out[s].append((1 if r in STRONG else 2, d))
-        first, last = target["first"].iloc[0], target["last"].iloc[0]
+        graph_id, first, last = rows[0][0], *rows[0][4:]
         queue, done = [(0, 0, first)], set()
         while queue:
             cost, hop, at = heapq.heappop(queue)
             if at == last:
-                return pd.DataFrame({"graph_id": [rows["graph_id"].iloc[0]], "cost": [cost], "hops": [hop]})
+                return [(graph_id, cost, hop)]
             if at not in done:
                 done.add(at)
                 for more, d in out[at]:
                     heapq.heappush(queue, (cost + more, hop + 1, d))
-        return pd.DataFrame({"graph_id": [], "cost": [], "hops": []})
+        return []
 
-    return edges.groupBy("graph_id").cogroup(ends.groupBy("graph_id")).applyInPandas(work, "graph_id long, cost long, hops long")
+    links = edges.join(ends.select("graph_id", "first", "last").dropDuplicates(["graph_id"]), "graph_id")
+    return in_groups(links.select("graph_id", "src", "dst", "relation", "first", "last"), work, _empty(edges, "graph_id long, cost long, hops long"))
 
 
 def families(edges: DataFrame, least: int = 2) -> DataFrame:
@@ -205,9 +210,9 @@ def families(edges: DataFrame, least: int = 2) -> DataFrame:
     above the node is a component of its own. Time is linear in a graph's edges.
     """
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
+    def work(rows: list[tuple]) -> list[tuple]:
         near = defaultdict(set)
-        for s, d in zip(rows["src"], rows["dst"], strict=True):
+        for _, s, d in rows:
             near[s].add(d)
             near[d].add(s)
         seen, low, size, cut, tops = {}, {}, {}, defaultdict(list), []
@@ -236,10 +241,10 @@ def families(edges: DataFrame, least: int = 2) -> DataFrame:
                         if low[at] >= seen[above]:
                             cut[above].append(size[at])
             tops.append((len(seen) - first, top, first))
-        sizes = sorted((t[0] for t in tops), reverse=True)
+        sizes, firsts = sorted((t[0] for t in tops), reverse=True), [t[2] for t in tops]
         best = None
         for gone in sorted(near):
-            whole = next(t[0] for t in reversed(tops) if t[2] <= seen[gone])
+            whole = tops[bisect_right(firsts, seen[gone]) - 1][0]
             rest = whole - 1 - sum(cut[gone])
             others = list(sizes[:3])
             if whole in others:
@@ -247,10 +252,9 @@ def families(edges: DataFrame, least: int = 2) -> DataFrame:
             parts = sorted([*cut[gone], *([rest] if rest else []), *others], reverse=True)
             if len(parts) > 1 and parts[1] >= least and (best is None or parts[1] > best[2]):
                 best = (gone, parts[0], parts[1])
-        found = [(rows["graph_id"].iloc[0], *best)] if best else []
-        return pd.DataFrame(found, columns=["graph_id", "node", "first", "second"])
+        return [(rows[0][0], *best)] if best else []
 
-    return edges.groupBy("graph_id").applyInPandas(work, "graph_id long, node long, first long, second long")
+    return in_groups(edges.select("graph_id", "src", "dst"), work, _empty(edges, "graph_id long, node long, first long, second long"))
 
 
 def genealogy_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -54,3 +54,16 @@ def test_similar_sets_of_all_sizes_meet_by_several_items(spark):
         want = {(i, j) for i, x in sets for j, y in sets if i < j and len({*x} & {*y}) * under >= len({*x} | {*y}) * over and {*x} & {*y}}
         assert {(r["a"], r["b"]) for r in similar_sets(rows, over, under).collect()} == want and len(want) > 50
     assert all(j is not None for n, m, i, j, _ in _picks(3, 5) if n >= 2 and m >= 2)
+
+
+def test_groups_stream_whole_through_small_batches(spark):
+    from lectern.operators.groups import in_groups
+
+    rows = spark.createDataFrame([(k % 11, k) for k in range(400)] + [(None, 1000), (None, 1001)], "g long, v long")
+    like = spark.createDataFrame([], "g long, n long, s string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = in_groups(rows, lambda group: [(group[0][0], len(group), None if r[1] % 2 else str(r[1])) for r in group[:2]], like).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["g"] if r["g"] is not None else -1, r["n"]) for r in got) == sorted([(g, len(range(g, 400, 11))) for g in range(11)] * 2 + [(-1, 2)] * 2)
