@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.groups import in_groups
 from lectern.plans.storage import materialize
 
 # Sizes of a drawn card and the gaps between cards, lines and years.
@@ -163,11 +163,11 @@ class _Budget:
         return True
 
 
-def _selected(rows: pd.DataFrame, view: View) -> pd.DataFrame:
+def _selected(rows: list[tuple], view: View) -> list[tuple]:
     """Fold of one graph's eligible claims: the spine by hops, branches of what was found, links among it, then what was asked to
     be expanded, tentative claims and comparisons."""
-    focus, expanded = rows["focus"].iloc[0], rows["expanded"].iloc[0]
-    claims = list(zip(rows["id"], rows["src"], rows["dst"], rows["family"], rows["trust"], rows["rank"], rows["src_degree"], rows["dst_degree"], rows["src_far"], rows["dst_far"], strict=True))
+    graph, focus, expanded = rows[0][:3]
+    claims = [r[3:] for r in rows]
     far: dict = {}
     for c in claims:
         far[c[1]], far[c[2]] = c[8], c[9]
@@ -237,9 +237,7 @@ def _selected(rows: pd.DataFrame, view: View) -> pd.DataFrame:
             return "node_cap"
         return "claim_cap" if len(budget.shown) >= view.claims else "branch"
 
-    told = [(c[0], budget.shown.get(c[0]), reason(c)) for c in claims]
-    out = pd.DataFrame(told, columns=["id", "shown", "reason"]).astype({"shown": "Int32"})
-    return out.assign(graph_id=rows["graph_id"].iloc[0])
+    return [(graph, c[0], budget.shown.get(c[0]), reason(c)) for c in claims]
 
 
 def focus_projection(claims: DataFrame, focus: DataFrame, view: View) -> DataFrame:
@@ -266,9 +264,7 @@ def focus_projection(claims: DataFrame, focus: DataFrame, view: View) -> DataFra
     ranked = eligible.withColumn("rank", F.array(trust.cast("double"), -F.coalesce("probability", F.lit(-1.0)), relation.cast("double")))
     kinds = dict(claims.dtypes)
 
-    def select(rows: pd.DataFrame) -> pd.DataFrame:
-        return _selected(rows, view)[["graph_id", "id", "shown", "reason"]]
-
-    columns = ["graph_id", "id", "src", "dst", "family", "trust", "focus", "expanded", "rank", "src_degree", "dst_degree", "src_far", "dst_far"]
-    chosen = ranked.select(*columns).groupBy("graph_id").applyInPandas(select, f"graph_id {kinds['graph_id']}, id {kinds['id']}, shown int, reason string")
+    columns = ["graph_id", "focus", "expanded", "id", "src", "dst", "family", "trust", "rank", "src_degree", "dst_degree", "src_far", "dst_far"]
+    like = claims.sparkSession.createDataFrame([], f"graph_id {kinds['graph_id']}, id {kinds['id']}, shown int, reason string")
+    chosen = in_groups(ranked.select(*columns), lambda rows: _selected(rows, view), like)
     return chosen.unionByName(marked.where("reason is not null").select("graph_id", "id", F.lit(None).cast("int").alias("shown"), "reason"))
