@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.records import title_key, years_compatible
 from lectern.functions.text import surname
+from lectern.plans.storage import materialize, spread
 
 
 def unique_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -96,20 +97,38 @@ def versioned_pairs(papers: DataFrame) -> DataFrame:
         x, y = F.col(f"a_{name}"), F.col(f"b_{name}")
         return F.size(F.array_intersect(x, y)) == F.least(F.size(F.array_distinct(x)), F.size(F.array_distinct(y)))
 
-    near = a.join(b, ["prefix", "first"]).where(F.abs(F.col("a_year") - F.col("b_year")) <= 1)
+    near = spread(a, "prefix", "first").join(b, ["prefix", "first"]).where(F.abs(F.col("a_year") - F.col("b_year")) <= 1)
     same_doi = F.coalesce(F.col("a_venue_doi") == F.col("b_venue_doi"), F.lit(True))
     return near.where(within("subtitle") & within("names") & same_doi).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
+def only_versions(papers: DataFrame) -> DataFrame:
+    """(a, b): the ``versioned_pairs`` of papers whose preprint has no other. Papers that agree in all that is compared meet as
+    one, with their least and largest ids."""
+    same = ["prefix", "subtitle", "year", "authors", "venue"]
+    kinds = papers.withColumns({"venue": F.when(~F.startswith("doi", F.lit("10.48550/")), F.col("doi")), "pre": F.col("preprint").isNotNull()})
+    kinds = materialize(kinds.groupBy(*same, "pre").agg(F.min("id").alias("kind"), F.max("id").alias("last")), "version-kinds")
+    stand = kinds.select(F.col("kind").alias("id"), "prefix", "subtitle", "year", "authors", F.when(F.col("pre"), "").alias("preprint"), F.col("venue").alias("doi"))
+    venue = kinds.select(F.col("kind").alias("b"), "last")
+    found = versioned_pairs(stand).join(venue, "b").groupBy("a").agg(F.min("b").alias("b"), F.max("last").alias("last")).where("b = last").drop("last")
+    own = papers.where("preprint is not null").withColumn("venue", F.when(~F.startswith("doi", F.lit("10.48550/")), F.col("doi"))).select("id", *same)
+    kind = found.join(kinds.where("pre").select(F.col("kind").alias("a"), *(F.col(c).alias(f"_{c}") for c in same)), "a").drop("a")
+    agree = F.lit(True)
+    for c in same:
+        agree = agree & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return own.join(kind, agree).select(F.col("id").alias("a"), "b")
+
+
 def resolve_titles(registered: DataFrame, candidates: DataFrame, versioned: DataFrame) -> DataFrame:
     """(candidate, id, rule): of candidates(candidate, key, year) the registered(id, key, year) node that is the same work.
 
     The first node of the same title key with a compatible year; else the versioned(candidate, id) match, if it is the
     only one.
     """
-    first = Window.partitionBy("candidate").orderBy("id")
-    exact = candidates.join(registered.withColumnRenamed("year", "y"), "key").where(years_compatible(F.col("year"), F.col("y")) & (F.col("candidate") != F.col("id")))
-    by_title = exact.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("candidate", "id", F.lit("title").alias("rule"))
+    least = Window.partitionBy("key", "y").orderBy("id")
+    known = registered.select("key", F.col("year").alias("y"), "id").distinct().withColumn("_r", F.row_number().over(least)).where("_r <= 2").drop("_r")  # the second, where the first is the candidate
+    exact = candidates.join(known, "key").where(years_compatible(F.col("year"), F.col("y")) & (F.col("candidate") != F.col("id")))
+    by_title = exact.groupBy("candidate").agg(F.min("id").alias("id")).select("candidate", "id", F.lit("title").alias("rule"))
     only = versioned.groupBy("candidate").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).where("n = 1")
     by_version = only.join(by_title.select("candidate"), "candidate", "left_anti").select("candidate", "id", F.lit("versioned").alias("rule"))
     return by_title.unionByName(by_version)

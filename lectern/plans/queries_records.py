@@ -238,7 +238,7 @@ def resolved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"), F.col("p_brand").alias("prefix"), F.split("p_name", " ").alias("subtitle"), (F.col("p_size") % 4).alias("year"), F.array(F.concat(F.lit("F"), k % 3), F.lit("Z Last")).alias("authors"),
         F.when(k % 2 == 0, k.cast("string")).alias("preprint"), F.when(k % 11 <= 5, F.concat(F.lit("10.9/"), k % 11)).otherwise(F.concat(F.lit("10.48550/"), k % 11)).alias("doi"), F.concat("p_name", "p_brand").alias("key"),
     )
-    versions = matching.versioned_pairs(rows).select(F.col("a").alias("candidate"), F.col("b").alias("id"))
+    versions = matching.only_versions(rows).select(F.col("a").alias("candidate"), F.col("b").alias("id"))
     registered = rows.where("preprint is null").select("id", "key", "year")
     return matching.resolve_titles(registered, rows.where("preprint is not null").select(F.col("id").alias("candidate"), "key", "year"), versions)
 

@@ -67,3 +67,53 @@ def test_groups_stream_whole_through_small_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r["g"] if r["g"] is not None else -1, r["n"]) for r in got) == sorted([(g, len(range(g, 400, 11))) for g in range(11)] * 2 + [(-1, 2)] * 2)
+
+
+def test_title_year_merge_is_the_plain_walk(spark):
+    import random
+
+    from lectern.operators.dedup import merge_title_years
+
+    rng = random.Random(11)
+    rows = [(k, f"t{rng.randrange(9)}", rng.choice([None, *range(1990, 2006)]), rng.choice([None, "", "x", "y", "z"]), float(rng.randrange(5))) for k in range(300)]
+    alive, into = [], {}
+    for row in rows:
+        match = next((n for n, x in enumerate(alive) if (row[3] and row[3] == x[3]) or (row[1] == x[1] and (row[2] is None or x[2] is None or abs(row[2] - x[2]) <= 2))), None)
+        if match is None:
+            alive.append(row)
+            continue
+        kept, gone = (row, alive[match]) if row[4] > alive[match][4] else (alive[match], row)
+        alive[match] = kept
+        into[gone[0]] = kept[0]
+
+    def final(i):
+        while i in into:
+            i = into[i]
+        return i
+
+    df = spark.createDataFrame(rows, "id long, title_key string, year int, doi string, cites double")
+    assert dict(merge_title_years(df).collect()) == {r[0]: final(r[0]) for r in rows} and len(into) > 200
+
+
+def test_only_versions_are_the_single_versioned_pairs(spark):
+    import random
+
+    from lectern.operators.records import only_versions, versioned_pairs
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["A", "B", None]), rng.sample(["a", "b", "c", "d"], rng.randrange(1, 4)), rng.choice([2000, 2001, 2003, None]), ["Ann Lee", rng.choice(["Bo Yu", "Cy Fox"])],
+             rng.choice([None, f"p{k}"]), rng.choice([None, "10.9/1", "10.9/2", "10.48550/7"])) for k in range(60)]
+    rows += [(100 + r[0], *r[1:]) for r in rows[:8]]
+    papers = spark.createDataFrame(rows, "id long, prefix string, subtitle array<string>, year int, authors array<string>, preprint string, doi string")
+    by = {}
+    for r in versioned_pairs(papers).collect():
+        by.setdefault(r["a"], set()).add(r["b"])
+    want = sorted((a, *b) for a, b in by.items() if len(b) == 1)
+    assert sorted(map(tuple, only_versions(papers).collect())) == want and want
+
+
+def test_inverted_indexes_shuffle_nothing_and_keep_places(spark):
+    from lectern.operators.inverted import inverted_indexes
+
+    found = inverted_indexes(spark.createDataFrame([(1, "b a b"), (2, None), (3, "x")], "id long, text string"))
+    assert {r["id"]: r["index"] for r in found.collect()} == {1: {"b": [0, 2], "a": [1]}, 2: None, 3: {"x": [0]}}
