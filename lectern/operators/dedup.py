@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.components import connected_components
+from lectern.operators.groups import in_groups
 
 
 def components_by_key(rows: DataFrame, record: str, key: str) -> DataFrame:
@@ -43,27 +45,42 @@ def merge_title_years(rows: DataFrame, gap: int = 2) -> DataFrame:
     keys = rows.select("id", F.explode(F.array_compact(F.array(F.concat(F.lit("t:"), "title_key"), F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("d:"), "doi"))))).alias("key"))
     parts = rows.join(components_by_key(keys, "id", "key").withColumnRenamed("node", "id"), "id")
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        alive: list[dict] = []
-        into: dict = {}
-        for row in group.sort_values("id").to_dict("records"):
-            def same(x: dict, row=row) -> bool:
-                dated = row["year"] == row["year"] and x["year"] == x["year"] and row["year"] is not None and x["year"] is not None
-                return bool(row["doi"] and row["doi"] == x["doi"]) or (row["title_key"] == x["title_key"] and (not dated or abs(row["year"] - x["year"]) <= gap))
+    def work(group: list[tuple]) -> list[tuple]:
+        alive: list[tuple] = []
+        by_title, by_doi, into = defaultdict(set), defaultdict(set), {}
+        for row in sorted(group, key=lambda r: r[1]):
+            _, i, title, year, doi, cites = row
+
+            def same(k: int, year=year) -> bool:
+                other = alive[k][3]
+                return year is None or other is None or abs(year - other) <= gap
 
-            match = next((x for x in alive if same(x)), None)
+            near = min((k for k in by_title[title] if same(k)), default=None) if title is not None else None
+            match = min((k for k in (near, min(by_doi[doi], default=None) if doi else None) if k is not None), default=None)
             if match is None:
+                match = len(alive)
                 alive.append(row)
-                continue
-            kept, gone = (row, match) if row["cites"] > match["cites"] else (match, row)
-            alive[next(k for k, x in enumerate(alive) if x is match)] = kept
-            into[gone["id"]] = kept["id"]
+            else:
+                held = alive[match]
+                kept, gone = (row, held) if cites is not None and held[5] is not None and cites > held[5] else (held, row)
+                into[gone[1]] = kept[1]
+                if kept is held:
+                    continue
+                by_title[held[2]].discard(match)
+                by_doi[held[4]].discard(match)
+                alive[match] = row
+            by_title[title].add(match)
+            if doi:
+                by_doi[doi].add(match)
 
         def final(i):
+            path = []
             while i in into:
+                path.append(i)
                 i = into[i]
+            into.update(dict.fromkeys(path, i))
             return i
 
-        return pd.DataFrame({"id": group["id"], "survivor": [final(i) for i in group["id"]]})
+        return [(r[1], final(r[1])) for r in group]
 
-    return parts.groupBy("component").applyInPandas(work, "id long, survivor long")
+    return in_groups(parts.select("component", "id", "title_key", "year", "doi", "cites"), work, rows.sparkSession.createDataFrame([], "id long, survivor long"))
