@@ -117,3 +117,43 @@ def test_inverted_indexes_shuffle_nothing_and_keep_places(spark):
 
     found = inverted_indexes(spark.createDataFrame([(1, "b a b"), (2, None), (3, "x")], "id long, text string"))
     assert {r["id"]: r["index"] for r in found.collect()} == {1: {"b": [0, 2], "a": [1]}, 2: None, 3: {"x": [0]}}
+
+
+def test_linked_records_are_those_of_all_pairs(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from lectern.functions.text import author_overlap, compact_key, single_word_typo, title_score
+    from lectern.operators.linking import _best, accepted
+
+    rng = random.Random(11)
+    titles = ["on standard nets of trees", "on standart nets of trees", "On standard, nets of trees", "—", "…", "", None, "measured things", "measured-things"]
+    people = ["Ann Lee", "Bo Yu", "Cy Fox", "Di Orr", "Ed  Lee", "Flo", "", None, "Gus Ito", "Hal Kim", "Ivy Roy"]
+
+    def drawn(n):
+        return [(k, rng.choice(titles), None if rng.random() < 0.05 else rng.sample(people, rng.choice([0, 1, 2, 2, 3, 5, 8, 10]))) for k in range(n)]
+
+    rows = spark.createDataFrame(drawn(160), "id long, title string, authors array<string>")
+    records = spark.createDataFrame(drawn(140), "record long, title string, authors array<string>")
+    a, b = (df.withColumns({"k": compact_key(F.col("title")), "b": F.lit("x")}) for df in (rows, records))
+    left, right = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)) for p, df in (("l", a), ("r", b)))
+    score, overlap = title_score(F.col("l_title"), F.col("r_title")), author_overlap(F.col("l_authors"), F.col("r_authors"))
+    typo = (F.col("l_k") != F.col("r_k")) & single_word_typo(F.lower("l_title"), F.lower("r_title")) & (overlap >= 0.5)
+    every = left.join(right, ((F.col("l_k") == F.col("r_k")) & accepted(score, overlap)) | typo)
+    rank = F.row_number().over(Window.partitionBy("l_id").orderBy(score.desc(), overlap.desc(), "r_record"))
+    want = every.withColumn("_r", rank).where("_r = 1").select("l_id", "r_record").collect()
+    assert sorted(map(tuple, _best(a, b).collect())) == sorted(map(tuple, want)) and len(want) > 60
+
+
+def test_records_that_share_a_title_are_not_met_pair_by_pair(spark):
+    import time
+
+    from lectern.operators.linking import link
+
+    many = 20_000
+    rows = spark.range(many).select("id", F.lit("on things").alias("title"), F.array(F.concat(F.lit("Lee"), F.col("id") % 3)).alias("authors"))
+    began = time.time()
+    found = link(rows, rows.withColumnRenamed("id", "record")).collect()
+    assert sorted((r["id"], r["record"], r["pass"]) for r in found) == [(k, k % 3, 1) for k in range(many)]
+    assert time.time() - began < 100, "400 million pairs take far longer"
