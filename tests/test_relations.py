@@ -117,3 +117,26 @@ def test_lookup(spark):
     evidence = spark.createDataFrame([(1, 2, ["s"], [], True), (1, 2, ["t"], [], True)], "src int, dst int, contexts array<string>, intents array<string>, influential boolean")
     lists = spark.createDataFrame([(1, "listed"), (5, "no_id"), (7, "unknown")], "src int, state string")
     assert {(r["src"], r["dst"]): (r["lookup"], r["found"]) for r in relations.looked_up(pairs, evidence, lists).collect()} == {(1, 2): ("listed", True), (1, 3): ("not_listed", False), (5, 6): ("no_id", False), (7, 8): ("citing_unknown", False), (9, 9): ("fetch_failed", False)}
+
+
+def test_names_are_found_without_a_pattern_for_each(monkeypatch):
+    import random
+
+    import regex
+
+    rng = random.Random(4)
+    pieces = ["net7", "NET7", "Kiss", "KIſS", "Kiss", "İ", "ı", "-", " ", "x", "7", "[7]", "é", "ünet", "Ünet", "(", "_"]
+    for _ in range(4000):
+        text, name = "".join(rng.choice(pieces) for _ in range(9)), rng.choice(["net7", "kiss", "ünet", "istanbul", "net7net7", "i"])
+        want = [m.span() for m in regex.finditer(rf"(?<![\p{{L}}\p{{N}}-]){regex.escape(targets.folded(name))}(?!\p{{L}})", text, regex.I)]
+        assert list(targets._places(name, text)) == want, (name, text)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a pattern is compiled for a name")
+
+    for made in ("compile", "finditer", "search"):
+        monkeypatch.setattr(regex, made, refused)
+    for k in range(50):
+        contexts = [f"We build upon Net{k} [7] and add a gate to each of its layers in turn."]
+        who = targets.identity(f"Net{k}: gates in layers", ["Ann Lee", "Bo Yu"], contexts)
+        assert who[2] == 7 and targets.sighting(contexts[0], *who, False)[0] == "named"
