@@ -13,6 +13,8 @@ its intents, else unspecified; rows of one pair are one pair; further columns do
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,17 @@ OWN_BASELINE = r"(?i)(?<![0-9A-Za-z_])(?:we|this\s+(?:paper|work))\s+(?:propose|
 MODEL_AS_IN = [r"\b(models?|sizes?|layers?|hidden|dimensions?|heads?|configurations?|depth|width)(?![0-9A-Za-z_])[^.;]{0,60}(?<![0-9A-Za-z_])as\s+in\s+(\[|\(|[A-Z])"]
 
 
-def _told(text: Column, patterns: list[str]) -> Column:
-    return any_of(text, [f"(?i){p}" for p in patterns])
+#: Every match of these cues holds one of these parts, so a sentence without any is not read by the patterns.
+PARTS = {
+    "protocol": ("follow", "same", "identical", "similar", "matching", "result", "hyper", "warm", "learning", "schedul", "epoch", "batch", "weight", "dropout", "label", "augmentation", "based", "set", "code", "experimental"),
+    "compare": ("outperform", "surpass", "superior", "better", "compar", "baseline", "state", "competitive", "improve"),
+}
+
+
+def _told(text: Column, patterns: list[str], parts: str | None = None) -> Column:
+    """Whether a pattern matches; with ``parts``, where ``low``, the sentence in lower case, holds one of them."""
+    found = any_of(text, [f"(?i){p}" for p in patterns])
+    return found if parts is None else reduce(lambda a, b: a | b, (F.contains("low", F.lit(x)) for x in PARTS[parts])) & found
 
 
 def _texts(array: Column) -> Column:
@@ -57,16 +68,16 @@ def candidates(seen: DataFrame) -> DataFrame:
     """Each sentence with its veto columns and its candidate (null: none)."""
     plain = F.regexp_replace("s", r"\bet\s+al\.", "et al")
     own = F.lower(F.regexp_extract(known(F.col("citing_title")), r"^([^:]{3,60}):", 1))
-    itself = (own != "") & ~F.array_contains("names", own) & ~own.isin(*cues.GENERAL_WORDS, *cues.GENERAL_NAMES) & F.coalesce(F.regexp(F.lower("s"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), own, F.lit(r"\E(?!\p{L})"))), F.lit(False))
-    flagged = seen.withColumns({
+    itself = (own != "") & ~F.array_contains("names", own) & ~own.isin(*cues.GENERAL_WORDS, *cues.GENERAL_NAMES) & F.coalesce(F.contains("low", own) & F.regexp("low", F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), own, F.lit(r"\E(?!\p{L})"))), F.lit(False))
+    flagged = seen.withColumn("low", F.lower("s")).withColumns({
         "strong": F.col("target").isin("named", "single"),
         "first": _told(F.col("s"), [r"(?<![\w-])(we|our|ours|this\s+(paper|work))(?![\w-])"]) | itself,
         "first_build": _told(F.col("s"), cues.FIRST_PERSON_BUILD),
-        "protocol": _told(plain, cues.PROTOCOL) | any_of(plain, [f"(?i:{MODEL_AS_IN[0].split('as')[0]})as{MODEL_AS_IN[0].split('as', 1)[1]}"]),
+        "protocol": _told(plain, cues.PROTOCOL, "protocol") | any_of(plain, [f"(?i:{MODEL_AS_IN[0].split('as')[0]})as{MODEL_AS_IN[0].split('as', 1)[1]}"]),
         "fair": _told(F.col("s"), cues.FAIR),
         "ablation": _told(F.col("s"), cues.ABLATION),
-        "cue_compare": _told(F.regexp_replace("s", OWN_BASELINE, " "), cues.COMPARE),
-        "cue_compare_all": _told(F.col("s"), cues.COMPARE),
+        "cue_compare": _told(F.regexp_replace("s", OWN_BASELINE, " "), cues.COMPARE, "compare"),
+        "cue_compare_all": _told(F.col("s"), cues.COMPARE, "compare"),
         "cue_resource": _told(F.col("s"), cues.RESOURCE_CLAUSE),
         "cue_contrast": _told(F.col("s"), cues.CONTRAST),
         "while_ours": _told(F.col("s"), cues.WHILE_OURS),

@@ -1,6 +1,7 @@
 """Citing sentences: names and markers of cited works, what cues govern, candidates of sentences and the relation of a pair."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.functions import targets
 from lectern.operators import relations
@@ -140,3 +141,14 @@ def test_names_are_found_without_a_pattern_for_each(monkeypatch):
         contexts = [f"We build upon Net{k} [7] and add a gate to each of its layers in turn."]
         who = targets.identity(f"Net{k}: gates in layers", ["Ann Lee", "Bo Yu"], contexts)
         assert who[2] == 7 and targets.sighting(contexts[0], *who, False)[0] == "named"
+
+
+def test_cues_are_read_only_where_a_part_of_them_stands(spark):
+    from lectern.functions import cues
+    from lectern.operators.relations import PARTS, _told
+
+    said = ["We FOLLOW them in the settings.", "the same model as before", "Results are taken from [3]", "hyper-parameters directly from", "we use one similar to it", "We adopt the lr schedule of", "uses their set-up", "based on it, we study", "results", "Is Superior to", "compared it with", "State of the art", "improves over", "nothing", ""]
+    rows = spark.createDataFrame([(t, t.lower()) for t in said], "s string, low string")
+    for kind, patterns in (("protocol", cues.PROTOCOL), ("compare", cues.COMPARE)):
+        got = rows.select(_told(F.col("s"), patterns, kind).alias("a"), _told(F.col("s"), patterns).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got) and sum(r["b"] for r in got) >= 3 and len(PARTS[kind]) > 5
