@@ -9,6 +9,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.operators.groups import in_groups
 from lectern.plans.storage import materialize
@@ -52,8 +53,40 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int, orde
     return found.groupBy("graph_id", "node").agg(F.min("depth").alias("depth"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(graph_id, node, rank): rank flows from a citing to a cited node, dangling mass is shared within the graph."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, most: int = 20_000) -> DataFrame:
+    """(graph_id, node, rank): rank flows from a citing to a cited node, dangling mass is shared within the graph. Edges have
+    graph_id. Graphs of at most ``most`` nodes and edges stream through a task, all rounds at once; larger ones are ranked in
+    rounds of joins, each of which shuffles every node and edge."""
+    parts = nodes.select("graph_id", F.col("node").alias("a"), F.lit(None).cast(edges.schema["src"].dataType).alias("b"), F.lit(False).alias("edge"))
+    parts = parts.unionByName(edges.select("graph_id", F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(True).alias("edge")))
+    large = materialize(parts.groupBy("graph_id").count().where(F.col("count") > most).select("graph_id"), "rank-large")
+
+    def ranked(group: list[tuple]) -> list[tuple]:
+        at = {row[1]: k for k, row in enumerate(r for r in group if not r[3])}
+        n, degree = len(at), [0] * len(at)
+        links = [(at[f], at.get(t)) for _, f, t, edge in group if edge and f in at]
+        for f, _ in links:
+            degree[f] += 1
+        inner = [(f, t) for f, t in links if t is not None]
+        now = [1.0 / n] * n if n else []
+        for _ in range(rounds):
+            share = [r / k if k else 0.0 for r, k in zip(now, degree, strict=True)]
+            loose = sum(r for r, k in zip(now, degree, strict=True) if not k) / n if n else 0.0
+            flow = [0.0] * n
+            for f, t in inner:
+                flow[t] += share[f]
+            now = [(1 - damping) / n + damping * (x + loose) for x in flow]
+        return [(group[0][0], node, r) for node, r in zip(at, now, strict=True)]
+
+    like = _empty(nodes, StructType([nodes.schema["graph_id"], nodes.schema["node"], StructField("rank", DoubleType())]))
+    if large.isEmpty():
+        return in_groups(parts, ranked, like)
+    small = in_groups(parts.join(large, "graph_id", "left_anti"), ranked, like)
+    return small.unionByName(_rank_rounds(nodes.join(large, "graph_id", "left_semi"), edges.join(large, "graph_id", "left_semi"), rounds, damping))
+
+
+def _rank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """The same by joins over all graphs at once."""
     degree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"))
     sized = nodes.withColumn("n", F.count("*").over(Window.partitionBy("graph_id"))).join(degree, "node", "left")
     fixed = materialize(sized.select("graph_id", "node", "n", "k"), "rank-nodes")
@@ -86,7 +119,7 @@ def longest_depth(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFr
     return found.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
-def _empty(like: DataFrame, schema: str) -> DataFrame:
+def _empty(like: DataFrame, schema: str | StructType) -> DataFrame:
     return like.sparkSession.createDataFrame([], schema)
 
 

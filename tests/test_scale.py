@@ -157,3 +157,16 @@ def test_records_that_share_a_title_are_not_met_pair_by_pair(spark):
     found = link(rows, rows.withColumnRenamed("id", "record")).collect()
     assert sorted((r["id"], r["record"], r["pass"]) for r in found) == [(k, k % 3, 1) for k in range(many)]
     assert time.time() - began < 100, "400 million pairs take far longer"
+
+
+def test_ranks_of_streamed_graphs_are_those_of_rounds(spark):
+    import random
+
+    from lectern.operators.graph import pagerank
+
+    rng = random.Random(2)
+    nodes = [(g, 100 * g + k) for g in range(12) for k in range(1 + 3 * g)]
+    edges = [(g, a, rng.choice([n for h, n in nodes if h == g])) for g, a in nodes for _ in range(rng.randrange(3))] + [(3, 300, 301), (3, 300, 301), (3, 302, None), (4, None, 401), (5, 777, 501)]
+    n, e = spark.createDataFrame(nodes, "graph_id long, node long"), spark.createDataFrame(edges, "graph_id long, src long, dst long")
+    found = [{r["node"]: round(r["rank"], 9) for r in pagerank(n, e, most=most).collect()} for most in (0, 30, 10_000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(nodes)
