@@ -155,7 +155,8 @@ def structural_faults(graphs: DataFrame, nodes: DataFrame, clusters: DataFrame,
     banned = focal.join(denied.select("id").distinct(), "id", "left_semi").select("graph_id", F.lit("focus_denied").alias("code"), _at("nodes").alias("path"))
     have = clusters.select("graph_id").distinct()
     known = clusters.select("graph_id", c("id").alias("cluster")).distinct()
-    loose = nodes.where("cluster is not null").join(have, "graph_id", "left_semi").join(known, ["graph_id", "cluster"], "left_anti").join(none, "graph_id", "left_anti")
+    used = nodes.where("cluster is not null").groupBy("graph_id", "cluster").agg(F.min("pos").alias("pos"))
+    loose = used.join(have, "graph_id", "left_semi").join(known, ["graph_id", "cluster"], "left_anti").join(none, "graph_id", "left_anti")
     first = loose.groupBy("graph_id").agg(F.min("pos").alias("pos")).select("graph_id", F.lit("cluster_dangling").alias("code"), _at("nodes").alias("path"))
     return reduce(DataFrame.unionByName, (none.select(*_whole("no_focus", "nodes")), old, banned, first))
 

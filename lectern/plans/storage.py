@@ -40,6 +40,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def parts_of(rows: int, each: int = 500_000) -> int | None:
+    """How many parts of at most ``each`` rows so many rows need; null if the session's shuffle partitions are enough."""
+    from pyspark.sql import SparkSession
+
+    needed = -(-rows // each)
+    return needed if needed > int(SparkSession.active().conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a materialized frame that no plan reads any more."""
     spark = df.sparkSession

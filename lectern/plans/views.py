@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.storage import parts_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,9 +41,11 @@ edges AS (SELECT a.graph_id, a.id AS src, b.id AS dst, a.yr AS src_year, b.yr AS
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as the papers of one graph per customer."""
+    """orders as the papers of one graph per customer, in parts that don't grow with the table."""
     seq = Window.partitionBy("graph_id").orderBy("at", "id")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders")
+    parts = parts_of(orders.count())
+    return (orders if parts is None else orders.repartition(parts, "o_custkey")).select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("graph_id"), F.year("o_orderdate").cast("long").alias("yr"), F.col("o_totalprice").alias("price"),
         F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("at"),
     ).withColumn("rn", F.row_number().over(seq))

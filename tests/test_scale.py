@@ -170,3 +170,25 @@ def test_ranks_of_streamed_graphs_are_those_of_rounds(spark):
     n, e = spark.createDataFrame(nodes, "graph_id long, node long"), spark.createDataFrame(edges, "graph_id long, src long, dst long")
     found = [{r["node"]: round(r["rank"], 9) for r in pagerank(n, e, most=most).collect()} for most in (0, 30, 10_000)]
     assert found[0] == found[1] == found[2] and len(found[0]) == len(nodes)
+
+
+def test_large_order_tables_are_dealt_by_their_rows(spark):
+    from lectern.operators.catalog import set_losses
+    from lectern.plans.storage import parts_of
+
+    assert parts_of(2_000_000) is None and parts_of(54_000_000) == 108
+    a = spark.range(10).select(F.lit("n").alias("kind"), F.struct("id").alias("item"))
+    b = spark.range(3, 15).select(F.lit("n").alias("kind"), F.struct("id").alias("item"))
+    assert [tuple(r) for r in set_losses(a, b, ["n"], 7).collect()] == [("n", 3, 5)]
+
+
+def test_edges_outside_a_lineage_are_told_once(spark):
+    from lectern.operators.lineage import build, contract
+
+    nodes = spark.createDataFrame([(1, 1, True), (1, 2, False)], "graph_id long, id long, is_root boolean")
+    edges = spark.createDataFrame([(1, 1, 2, 0.5), (1, 1, 9, 0.5), (1, 8, 9, 0.5), (1, 9, 2, 0.5)], "graph_id long, src long, dst long, confidence double")
+    assert {r["kind"]: r["violations"] for r in contract(nodes, edges).collect()}["endpoints"] == 3
+    papers = spark.createDataFrame([(1, 1, 2000, 1e6, True), (1, 2, 2001, 1e6, False), (1, 3, 2002, 1e6, False)], "graph_id long, id long, year long, impact double, is_focus boolean")
+    links = spark.createDataFrame([(1, 1, 2, 2001, "extends", "cites it"), (1, 1, 3, 2002, "extends", " no   ")], "graph_id long, src long, dst long, dst_year long, relation string, rationale string")
+    kept, told = build(papers, links, F.lit(False))
+    assert {r["id"] for r in kept.collect()} == {1, 2} and told.columns == ["graph_id", "src", "dst", "relation", "confidence"]
