@@ -66,13 +66,13 @@ def with_root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def build(nodes: DataFrame, edges: DataFrame, survey: Column, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the lineage of nodes(graph_id, id, year, impact, is_focus) over edges(graph_id, src, dst,
+    """(nodes, edges with relation and confidence) of the lineage of nodes(graph_id, id, year, impact, is_focus) over edges(graph_id, src, dst,
     dst_year, relation, rationale): expansion from the seeds, guards, support, age, impact, direction and root."""
     seeds = nodes.where("is_focus").select("graph_id", F.col("id").alias("node"))
     reached = bounded_bfs(seeds, edges, settings.depth, settings.width, [F.desc("dst_year"), F.asc("dst")]).select("graph_id", F.col("node").alias("id"))
     own = materialize(nodes.join(reached, ["graph_id", "id"], "left_semi"), "lineage-nodes")
-    links = guard(inside(edges, own).withColumn("confidence", F.lit(0.8)), survey, F.lit(False))
-    links = links.where(F.char_length(F.trim("rationale")) >= settings.min_rationale)
+    stated = edges.where(F.char_length(F.trim("rationale")) >= settings.min_rationale).select("graph_id", "src", "dst", "relation")
+    links = guard(inside(stated, own).withColumn("confidence", F.lit(0.8)), survey, F.lit(False))
     links = materialize(dedup.one_direction(links, [F.desc("confidence"), F.asc("src")]), "lineage-edges")
     own = confirm_support(own, links, settings.min_support)
     own = drop_before_seeds(own, inside(links, own), settings.seed_gap)
@@ -88,7 +88,9 @@ def contract(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     twice = nodes.groupBy("graph_id", "id").count().where("count > 1")
     repeated = edges.groupBy("graph_id", "src", "dst").count().where("count > 1")
     roots = nodes.groupBy("graph_id").agg(F.count_if("is_root").alias("n")).where("n <> 1")
-    loose = edges.join(inside(edges, nodes).select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
+    starts, ends = (nodes.select("graph_id", F.col("id").alias(end)) for end in ("src", "dst"))
+    plain = edges.select("graph_id", "src", "dst")
+    loose = plain.join(starts, ["graph_id", "src"], "left_anti").unionByName(plain.join(starts, ["graph_id", "src"], "left_semi").join(ends, ["graph_id", "dst"], "left_anti"))
     range_ = edges.where(~F.col("confidence").between(0, 1) | (F.col("src") == F.col("dst")))
     return violations({"node_ids": twice, "edge_ids": repeated, "one_root": roots, "endpoints": loose, "values": range_})
 
