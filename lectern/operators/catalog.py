@@ -90,9 +90,11 @@ def catalog_gate(before: DataFrame, after: DataFrame, key: str, kind: Column, le
     return one.withColumn("refused", short | (F.col("lost") > 0))
 
 
-def set_losses(before: DataFrame, after: DataFrame, kinds: list[str]) -> DataFrame:
-    """(kind, lost, gained) of two tables of (kind, item): focus papers, nodes or edges that an expansion loses."""
+def set_losses(before: DataFrame, after: DataFrame, kinds: list[str], parts: int | None = None) -> DataFrame:
+    """(kind, lost, gained) of two tables of (kind, item): focus papers, nodes or edges that an expansion loses. Items of any
+    type meet in ``parts`` parts, by default the session's."""
     both = before.select("kind", "item", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select("kind", "item", F.lit(0).alias("b"), F.lit(1).alias("a")))
+    both = both if parts is None else both.repartition(parts, "kind", "item")
     sides = both.groupBy("kind", "item").agg(F.max("b").alias("b"), F.max("a").alias("a"))
     return sides.where(F.col("kind").isin(kinds)).groupBy("kind").agg(F.sum(F.when(F.col("a") == 0, 1).otherwise(0)).alias("lost"), F.sum(F.when(F.col("b") == 0, 1).otherwise(0)).alias("gained"))
 

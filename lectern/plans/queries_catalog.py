@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import records
 from lectern.operators import catalog, windows
 from lectern.plans.registry import query
+from lectern.plans.storage import parts_of
 from lectern.plans.views import EDGES_SQL, PAPERS_SQL, edges, nodes, papers, table
 
 
@@ -156,11 +157,12 @@ def expansion_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, links = nodes(spark, sf_dir), edges(spark, sf_dir)
 
     def items(n: DataFrame, e: DataFrame, focus: int) -> DataFrame:
-        ids = F.col("id").cast("string").alias("item")
-        return n.select(F.lit("node").alias("kind"), ids).unionByName(n.where(F.col("rn") <= focus).select(F.lit("focus").alias("kind"), ids)).unionByName(e.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("item")))
+        ids = F.struct(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).alias("item")
+        return n.select(F.lit("node").alias("kind"), ids).unionByName(n.where(F.col("rn") <= focus).select(F.lit("focus").alias("kind"), ids)).unionByName(e.select(F.lit("edge").alias("kind"), F.struct("src", "dst").alias("item")))
 
     after = items(every.where("id % 9 <> 0"), links.where("src % 9 <> 0 and dst % 9 <> 0"), 3)
-    return catalog.set_losses(items(every, links, 2), after, ["focus", "node", "edge"])
+    parts = parts_of(6 * table(spark, sf_dir, "orders").count())
+    return catalog.set_losses(items(every, links, 2), after, ["focus", "node", "edge"], parts)
 
 
 @query("U08 U09", f"""WITH {EDGES_SQL}, c AS (SELECT src, dst, CASE WHEN src % 6 = 0 THEN 'This work builds on ' || src ELSE 'uses the loss of ' || src END AS rationale FROM edges), live AS (SELECT id FROM o WHERE status <> 'P')
