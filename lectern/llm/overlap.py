@@ -15,11 +15,13 @@ Search, in two steps that only propose pairs; every pair is verified by its sets
    have are set apart: their shingles are counted exactly among them, and pairs of two such texts are proposed by
    prefixes in that order, in which what many texts quote comes last. There each text meets the texts of its key that have
    fewest shingles of their own first (what copies were made from has none), and only what is not joined by that meets the
-   rest. Counts decide how many pairs are proposed, never the result.
+   rest. There a pair is told only if the texts' sketches can be those of similar sets: a sketch has the parity of how many
+   shingles fall on each bit, and two sketches differ in no more bits than the sets in shingles, so no similar pair is lost.
+   Counts decide how many pairs are proposed, never the result.
 
-Shingles are compared by their XXH64 values. Every shuffle is linear in the texts; pairs grow with the square of a group
-only among texts that share more than four fifths of their shingles with others, have near lengths, and were not joined in
-step 1.
+Shingles are compared by their XXH64 values. Every shuffle is linear in the texts. Among texts that share more than four
+fifths of their shingles with others, have near lengths, and were not joined before, sketches are compared pairwise in memory;
+the pairs told are few where sets have up to some 700 shingles, beyond which sketches of ``SKETCH`` bits tell less.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ WIDTH = 5
 _TOLD = 1 << 20  # pairs that a task counts at once
 _CROWD = 8  # texts of a key whose pairs are told without counting exactly
 _FIRST = 3  # texts of a key that all others of it meet first
+SKETCH = 512  # bits, a multiple of 64
 SAMPLE, COMMON = 4_000, 100_000  # texts of the sample, and shingles that are known to be common
 
 
@@ -76,6 +79,18 @@ def may_be_similar(n: np.ndarray, alone: np.ndarray, m: np.ndarray, other: np.nd
     return 9 * np.minimum(n - alone, m - other) >= 4 * (n + m)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each of ``SKETCH`` bits, as longs."""
+    odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches_fit(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with sketches x and y, a row each, can be similar: similar sets differ in at most
+    (n + m) / 9 shingles, and each of these turns one bit at most. Without columns they can."""
+    return 9 * np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= n + m
+
+
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles, one of which any similar set has among its own."""
     n = len(own)
@@ -106,32 +121,35 @@ def common_shingles(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _group_pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of nodes of a key, sorted by size, that may be similar and lie in different components, and what they
-    must share."""
-    key, size, node, comp, alone = cols
+    must share. Columns beyond the fifth are their sketches."""
+    key, size, node, comp, alone = cols[:5]
+    drawn = np.stack(cols[5:], axis=1) if len(cols) > 5 else np.zeros((len(key), 0), dtype=np.int64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     live = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-    k, n, v, c, u = key[live], size[live], node[live], comp[live], alone[live]
+    k, n, v, c, u, x = key[live], size[live], node[live], comp[live], alone[live], drawn[live]
     for d in range(1, 8):
         if len(k) <= d:
             break
-        near = (k[d:] == k[:-d]) & (4 * n[d:] <= 5 * n[:-d]) & (c[d:] != c[:-d]) & may_be_similar(n[:-d], u[:-d], n[d:], u[d:])
+        near = (k[d:] == k[:-d]) & (4 * n[d:] <= 5 * n[:-d]) & (c[d:] != c[:-d]) & may_be_similar(n[:-d], u[:-d], n[d:], u[d:]) & sketches_fit(n[:-d], x[:-d], n[d:], x[d:])
         yield v[:-d][near], v[d:][near], least_shared(n[:-d][near], n[d:][near])
     for i in np.flatnonzero(sizes > 8):
         s = slice(starts[i], starts[i] + sizes[i])
-        n, v, c, u = size[s], node[s], comp[s], alone[s]
+        n, v, c, u, x = size[s], node[s], comp[s], alone[s], drawn[s]
         if c.min() == c.max():
             continue
         ends = np.searchsorted(4 * n, 5 * n, side="right")
         for at, end in enumerate(ends):
             far = (c[at + 1 : end] != c[at]) & may_be_similar(n[at], u[at], n[at + 1 : end], u[at + 1 : end])
+            far[far] = sketches_fit(n[at], x[at], n[at + 1 : end][far], x[at + 1 : end][far])
             if far.any():
                 yield np.full(int(far.sum()), v[at]), v[at + 1 : end][far], least_shared(n[at], n[at + 1 : end][far])
 
 
 def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
     """(a, b, need, shared) of the (key, n, node, component, alone) rows: pairs that share keys, how many they must share to be
-    similar, and how many they do. With ``crowd``, keys of more rows tell their nodes only, as (a, null, 0, 0).
+    similar, and how many they do. With ``crowd``, keys of more rows tell their nodes only, as (a, null, 0, 0). Further
+    columns are the nodes' sketches, and pairs that can't be similar by these are not told.
 
     Each pair is told once for each key that it shares, and counted; counting begins in the task.
     """
@@ -151,7 +169,7 @@ def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for whole in simhash.whole_keys(batches, 5):
+        for whole in simhash.whole_keys(batches, width):
             if crowd is not None:
                 first = np.flatnonzero(np.r_[True, whole[0][1:] != whole[0][:-1]])
                 sizes = np.diff(np.r_[first, len(whole[0])])
@@ -171,7 +189,10 @@ def prefix_pairs(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
         if found:
             yield told(found)
 
-    dealt = keyed.select("key", "n", "node", "component", "alone").repartition("key").sortWithinPartitions("key", "n")
+    given = ("key", "n", "node", "component", "alone")
+    drawn = [c for c in keyed.columns if c not in given]
+    width = len(given) + len(drawn)
+    dealt = keyed.select(*given, *drawn).repartition("key").sortWithinPartitions("key", "n")
     return dealt.mapInArrow(run, "a long, b long, need long, shared long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
 
 
@@ -263,7 +284,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 5, segments: int = 3, prints: int = 3) -> DataFrame:
     """(id, keeper) of the documents with ids: keeper is the smallest id reachable over similar pairs."""
-    names = [f"fp{k}" for k in range(prints)]
+    names, drawn = [f"fp{k}" for k in range(prints)], [f"sketch{k}" for k in range(SKETCH // 64)]
     src = texts(docs, id_col, text_col).where("id is not null")
     common, counts = common_shingles(src)
 
@@ -272,12 +293,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = [shingle_set(t) for t in rows]
         fps = np.array([simhash.fingerprint(t, width, prints) for t in rows], dtype=np.uint64).reshape(-1, prints).view(np.int64)
         keys = [prefix(s, common, counts).astype(np.uint32).view(np.int32) for s in sets]
+        odd = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, len(drawn))
         columns = [batch.column(0), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([*columns, *(pa.array(fps[:, k]) for k in range(prints))], names=["id", "node", "n", "keys", *names])
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(fps[:, k]) for k in range(prints)), *(pa.array(c) for c in odd.T)], names=["id", "node", "n", "keys", *names, *drawn])
 
     kind = src.schema["id"].dataType.simpleString()
-    found = materialize(map_batches(src, work, ", ".join([f"id {kind}, node long, n long, keys array<int>", *(f"{x} long" for x in names)])), "overlap")
-    nodes = materialize(found.groupBy("node").agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "keys", *names))), "overlap-nodes")
+    found = materialize(map_batches(src, work, ", ".join([f"id {kind}, node long, n long, keys array<int>", *(f"{x} long" for x in (*names, *drawn))])), "overlap")
+    nodes = materialize(found.groupBy("node").agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "keys", *names, *drawn))), "overlap-nodes")
 
     near = reduce(DataFrame.unionByName, (simhash.links(nodes.select(F.col(x).alias("fp"), "node"), radius, segments) for x in names))
     near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "overlap-near")
@@ -295,7 +317,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = materialize(first_pairs(keys).join(near, ["a", "b"], "left_anti"), "overlap-met")
     third = verified(met, nodes, rows)
     again = materialize(connected_components(first.unionByName(third)), "overlap-again").toDF("node", "_c")
-    renamed = keys.join(again, "node", "left").select("key", "n", "node", F.coalesce("_c", "component").alias("component"), "alone")
+    renamed = keys.join(again, "node", "left").join(nodes.select("node", *drawn), "node").select("key", "n", "node", F.coalesce("_c", "component").alias("component"), "alone", *drawn)
     further = prefix_pairs(renamed).where("shared >= need").select("a", "b")
     known = near.unionByName(met)
     rest = materialize(pairs.unionByName(further).distinct().join(known, ["a", "b"], "left_anti"), "overlap-rest")
