@@ -22,7 +22,7 @@ def uid_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are aliases of one another if they share a part: components over the bipartite links. The closure of
     the whole table is too much for recursive SQL; tested against a plain version."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return dedup.components_by_key(rows, "l_orderkey", "l_partkey")
 
 
