@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.storage import materialize
+
+_RUN = 1_000  # places of a stored list that are compared in one group
+
 # Fixed values of the contract.
 RELATIONS = ("supersedes", "successor", "extends", "ablation", "baseline_only", "contrasts")
 STRONG = ("supersedes", "successor", "extends")
@@ -77,13 +81,16 @@ def _whole(code: str, path: str = "root") -> list[Column]:
     return [F.col("graph_id"), F.lit(code).alias("code"), F.lit(path).alias("path")]
 
 
-def _disorder(rows: DataFrame, key: Column, bad: DataFrame, code: str, path: str) -> DataFrame:
-    """One fault a graph whose rows are not in order of ``key``. Each row meets the next by (graph, place), so that a graph
-    with a third of all rows is dealt over all tasks. Graphs with unusable keys (``bad``) are not judged."""
-    here = rows.select("graph_id", F.col("pos").alias("_p"), key.alias("_a"))
-    after = rows.select("graph_id", (F.col("pos") - 1).alias("_p"), key.alias("_b"))
-    wrong = here.join(after, ["graph_id", "_p"]).where("_a > _b").select("graph_id").distinct()
-    return wrong.join(bad.select("graph_id").distinct(), "graph_id", "left_anti").select(*_whole(code, path))
+def _disorder(rows: DataFrame, key: tuple[str, ...], bad: DataFrame, code: str, path: str) -> DataFrame:
+    """One fault a graph whose rows are not in order of ``key``. Rows are compared in runs of places, each with the first row of
+    the next, so that a graph with a third of all rows is dealt over all tasks. Graphs with unusable keys (``bad``) are not judged."""
+    run = F.floor(F.col("pos") / _RUN)
+    runs = F.when((F.col("pos") % _RUN == 0) & (F.col("pos") > 0), F.array(run - 1, run)).otherwise(F.array(run))
+    places = Window.partitionBy("graph_id", "_run").orderBy("pos")
+    here = rows.select("graph_id", "pos", *key, F.explode(runs).alias("_run"))
+    before = {f"_{k}": F.lag(k).over(places) for k in ("pos", *key)}
+    wrong = here.withColumns(before).where((F.col("_pos") == F.col("pos") - 1) & (F.struct(*(F.col(f"_{k}").alias(k) for k in key)) > F.struct(*key)))
+    return wrong.select("graph_id").distinct().join(bad.select("graph_id").distinct(), "graph_id", "left_anti").select(*_whole(code, path))
 
 
 def artifact_faults(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,7 +106,11 @@ def artifact_faults(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
         faults.append(rows.select("graph_id", F.explode(_codes(*checks)).alias("code"), _at(kind).alias("path")))
 
     usable = nodes.where(_said(c("id")))
-    counts = usable.groupBy("graph_id", "id").agg(F.count("*").alias("_n"), F.bool_or(F.coalesce("is_focus", F.lit(False))).alias("_focus"), F.count_if(F.coalesce("is_focus", F.lit(False))).alias("_nf"))
+    # nodes and the ends of edges meet in one aggregation: _n nodes of an id, _nf of them focal, and _e ends
+    own_ids = usable.select("graph_id", "id", F.lit(1).alias("_n"), F.coalesce("is_focus", F.lit(False)).cast("int").alias("_nf"), F.lit(0).alias("_e"))
+    end_ids = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).where("id is not null").select("*", F.lit(0).alias("_n"), F.lit(0).alias("_nf"), F.lit(1).alias("_e"))
+    met = materialize(own_ids.unionByName(end_ids).groupBy("graph_id", "id").agg(*(F.sum(x).alias(x) for x in ("_n", "_nf", "_e"))), "contract-ids")
+    counts = met.where("_n > 0")
     told(nodes, "nodes", ("node_id", ~_said(c("id"))), ("focus_flag", c("is_focus").isNull()),
          ("focus_seed", c("is_focus") & ~F.regexp(F.coalesce("seed", F.lit("")), F.lit(PAPER_ID))), ("node_seed", ~F.coalesce("is_focus", F.lit(False)) & ~F.regexp("seed", F.lit(PAPER_ID))))
     faults.append(usable.join(counts.where("_n > 1"), ["graph_id", "id"], "left_semi").select("graph_id", F.lit("node_id_duplicate").alias("code"), _at("nodes").alias("path")))
@@ -114,27 +125,28 @@ def artifact_faults(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     shared = own.groupBy("graph_id", "ns", "sid").agg(F.sum("_n").alias("_n")).where("_n > 1")
     faults.append(shared.select("graph_id", F.lit("node_alias_ambiguous").alias("code"), F.concat_ws(":", "ns", "sid").alias("path")))
 
-    ids = counts.select("graph_id", "id")
-    ends = edges
-    for end in ("src", "dst"):
-        ends = ends.join(ids.select("graph_id", c("id").alias(end), F.lit(True).alias(f"_{end}")), ["graph_id", end], "left")
-    inside = F.coalesce(c("_src"), F.lit(False)) & F.coalesce(c("_dst"), F.lit(False))
-    ends = ends.withColumn("_in", inside)
-    told(ends, "edges", ("edge_endpoint", ~c("_in")), ("edge_relation", ~F.coalesce(c("relation").isin(*RELATIONS), F.lit(False))), ("edge_relation_alias", ~c("rel").eqNullSafe(c("relation"))),
+    # edges that lack an end: it is null, or no node has its id
+    missing = materialize(met.where("_n = 0").select("graph_id", "id"), "contract-missing")
+    each = F.explode(F.array(F.struct(c("src").alias("id"), c("dst").alias("other")), F.struct(c("dst").alias("id"), c("src").alias("other")))).alias("x")
+    loose_ends = edges.where("src is not null and dst is not null").select("graph_id", "pos", each).select("graph_id", "pos", "x.id", "x.other").join(missing, ["graph_id", "id"], "left_semi")
+    null_ends = edges.where("src is null or dst is null").select("graph_id", "pos", c("src").alias("id"), c("dst").alias("other"))
+    broken = materialize(loose_ends.dropDuplicates(["graph_id", "pos"]).select(*null_ends.columns).unionByName(null_ends), "contract-broken")
+    told(broken, "edges", ("edge_endpoint", F.lit(True)))
+    told(edges, "edges", ("edge_relation", ~F.coalesce(c("relation").isin(*RELATIONS), F.lit(False))), ("edge_relation_alias", ~c("rel").eqNullSafe(c("relation"))),
          ("edge_confidence", ~F.coalesce(c("confidence").between(0, 1), F.lit(False))), ("edge_confidence_alias", ~c("conf").eqNullSafe(c("confidence"))), ("edge_rationale", ~_said(c("rationale"))))
     faults.append(edges.select("graph_id", F.explode(provenance_faults(c("provenance"))).alias("code"), _at("edges").alias("path")))
     keyed = edges.where(_said(c("src")) & _said(c("dst")) & c("relation").isNotNull())
-    first = keyed.groupBy("graph_id", "src", "dst", "relation").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    told(keyed.join(first, ["graph_id", "src", "dst", "relation"]).where("pos > _first"), "edges", ("edge_duplicate", F.lit(True)))
+    same = Window.partitionBy("graph_id", "src", "dst", "relation").orderBy("pos")
+    told(keyed.select("graph_id", "pos", F.row_number().over(same).alias("_k")).where("_k > 1"), "edges", ("edge_duplicate", F.lit(True)))
 
-    faults.append(_disorder(nodes, c("id"), nodes.where(~_said(c("id"))), "node_order", "nodes"))
+    faults.append(_disorder(nodes, ("id",), nodes.where(~_said(c("id"))), "node_order", "nodes"))
     loose = edges.where(~_said(c("src")) | ~_said(c("dst")) | c("relation").isNull())
-    faults.append(_disorder(edges, F.struct("src", "dst", "relation"), loose, "edge_order", "edges"))
+    faults.append(_disorder(edges, ("src", "dst", "relation"), loose, "edge_order", "edges"))
 
     filled = nodes.select("graph_id").distinct().withColumn("_nodes", F.lit(True))
-    degree = ends.where("_in").select("graph_id", F.explode(F.array("src", "dst")).alias("id")).groupBy("graph_id", "id").agg(F.count("*").alias("_d"))
-    ranked = counts.where("_focus").join(degree, ["graph_id", "id"], "left")
-    best = ranked.groupBy("graph_id").agg(F.min(F.struct(-F.coalesce("_d", F.lit(0)), c("id"))).alias("_b")).select("graph_id", c("_b.id").alias("_best"))
+    less = broken.select("graph_id", F.explode(F.array("id", "other")).alias("id")).groupBy("graph_id", "id").agg(F.count("*").alias("_l"))
+    ranked = counts.where("_nf > 0").join(less, ["graph_id", "id"], "left")
+    best = ranked.groupBy("graph_id").agg(F.min(F.struct(F.coalesce("_l", F.lit(0)) - c("_e"), c("id"))).alias("_b")).select("graph_id", c("_b.id").alias("_best"))
     rooted = graphs.select("graph_id", "root").join(filled, "graph_id", "left").join(best, "graph_id", "left").join(counts.withColumnRenamed("id", "root"), ["graph_id", "root"], "left")
     some = F.coalesce("_nodes", F.lit(False))
     one, focal = F.coalesce("_n", F.lit(0)) == 1, F.coalesce("_nf", F.lit(0)) == 1
